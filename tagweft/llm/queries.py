@@ -5,19 +5,60 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import bm25, leaks, pieces, pii, quotes, secrets, selection, simhash, toxicity
+
+MODEL = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(MODEL)
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"), model_path())
+
+
+def op4_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return selection.cross_entropy_difference(table(spark, sf_dir, "documents"), wanted)
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quotes.threads(table(spark, sf_dir, "conversations"))
+    return found.withColumn("text", F.sha2(F.col("text").cast("binary"), 256)).withColumnRenamed("text", "text_sha256")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {
-    "op9_simhash": op9_simhash,
-}
+def op10_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bm25.top_k(docs, docs.where("doc_id % 20 = 0"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_pieces, op4_selection, op5_pii, op6_leaks, op8_threads, op9_simhash, op10_bm25)}
 ORACLES: dict[str, str] = {}
