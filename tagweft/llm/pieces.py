@@ -72,7 +72,7 @@ class Codec:
         inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         if any(b == MARK and a != MARK for a, b in inside):
             return ".+"
-        marks = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+        marks = {x for p in self.ids for x in p if not (x.isalpha() or x.isdecimal())} - {MARK, "\n"}
         while held := {b for a, b in inside if b in marks and a not in marks and a != MARK}:
             marks -= held
         line = "" if any("\n" in x for x in inside) else "\n"
