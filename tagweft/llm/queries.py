@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, leaks, pieces, pii, quotes, secrets, selection, simhash, toxicity
+from . import bm25, leaks, pieces, pii, quotes, repeats, secrets, selection, simhash, toxicity
 
 MODEL = "piece_bpe_32k.model"
 
@@ -45,6 +45,10 @@ def op6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op8_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quotes.threads(table(spark, sf_dir, "conversations"))
     return found.withColumn("text", F.sha2(F.col("text").cast("binary"), 256)).withColumnRenamed("text", "text_sha256")
@@ -60,5 +64,17 @@ def op10_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.top_k(docs, docs.where("doc_id % 20 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_pieces, op4_selection, op5_pii, op6_leaks, op8_threads, op9_simhash, op10_bm25)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_pieces, op4_selection, op5_pii, op6_leaks, op7_repeats, op8_threads, op9_simhash, op10_bm25)}
+ORACLES: dict[str, str] = {
+    "op7_repeats": r"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        win AS (SELECT rid, s, array_to_string(w[s:s+34], ' ') AS k FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35)),
+        rep AS (SELECT k FROM win GROUP BY k HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT rid, p FROM (SELECT rid, unnest(range(s, s + 35)) AS p FROM win JOIN rep USING (k))),
+        word AS (SELECT rid, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+        kept AS (SELECT rid, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (rid, p) GROUP BY rid),
+        n AS (SELECT rid, count(*) AS c FROM gone GROUP BY rid)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(c, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (rid) LEFT JOIN n USING (rid)
+    """,
+}

@@ -101,12 +101,17 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; equal bytes, equal hash, wherever they stand."""
-    up, down = powers(len(data) + 1)
+def byte_sums(data: np.ndarray) -> np.ndarray:
+    """Of which span_hashes takes differences."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data) + 1)[0][: len(data)], out=sums[1:])
+    return sums
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; equal bytes, equal hash, wherever they stand."""
+    sums = byte_sums(data) if sums is None else sums
+    return mix((sums[ends] - sums[starts]) * powers(len(data) + 1)[1][starts])
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -1,7 +1,8 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are the words of a text (runs of ASCII letters and digits in lower case, and of other characters), pairs of
-neighbours, and pairs with one word between, each hashed to one of 2**BITS coordinates and counted once a text. Training
+Features are the words of a text (runs of ASCII letters and digits in lower case, and of other characters), their stems
+(the first 5, 6 and 7 bytes of longer words), pairs of neighbours, and pairs with one word between, each hashed to one of
+2**BITS coordinates and counted once a text. Training
 keeps a rate for each coordinate; the L1 term leaves most weights at zero, so what is broadcast is the list of the others.
 
 The classifier is fitted on a bounded sample: the SAMPLE labelled documents (at most) with the smallest hash of doc_id,
@@ -18,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import LOWER, chunks, mix, runs, span_hashes
+from .text import LOWER, byte_sums, chunks, mix, runs, span_hashes
 
 BITS = 20
 SAMPLE = 12_000
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 0.6, 0.5
+EPOCHS = 5
+ALPHA, BETA, L1, L2 = 3.0, 1.0, 3.0, 0.5
+STEMS = (5, 6, 7)
 THRESHOLD = 0.3
 
 WORD = np.zeros(256, bool)
@@ -35,12 +37,16 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[n
     """(row, coordinate) of every occurrence of a feature."""
     low = LOWER[data]
     starts, ends = runs(WORD[low], offsets)
-    h = span_hashes(low, starts, ends)
+    sums = byte_sums(low)
+    h = span_hashes(low, starts, ends, sums)
     row = np.searchsorted(offsets, starts, "right") - 1
     found = [(row, h)]
     for gap, factor in ((1, _PAIR), (2, _SKIP)):
         same = row[:-gap] == row[gap:]
         found.append((row[:-gap][same], mix(h[:-gap][same] * factor + h[gap:][same])))
+    for n in STEMS:
+        long = np.flatnonzero(ends - starts > n)
+        found.append((row[long], mix(span_hashes(low, starts[long], starts[long] + n, sums) + np.uint64(n))))
     shift = np.uint64(64 - bits)
     return np.concatenate([r for r, _ in found]), (np.concatenate([x for _, x in found]) >> shift).astype(np.int64)
 
