@@ -4,8 +4,9 @@ Words are runs of ASCII letters and digits in lower case and of other characters
 document if some passage of it is within floor((1 - SIMILARITY) * m) word edits. Windows of an item's size start at every
 word. Steps:
 
-1. Count filter, lossless: a passage within k edits has at least m - k words of the item in the window at its start, so
-   windows with fewer words of the vocabulary of that size's items are left out.
+1. Count filter, lossless: an edit loses one word of the item at most, so the window at the start of a passage within k
+   edits has all but k of the item's words, and all but k of its r rare words (those in few items). Windows with fewer
+   than r - k words (m - k, where r - k < 3) of those of that size's items are left out.
 2. CGK embedding: a random walk repeats or passes each word by a random bit of (step, word); it maps edit distance to
    Hamming distance. REPEATS walks, each read at SAMPLED random steps, give keys (bit-sampling LSH). A window and an item
    that share a key are a candidate. Where half of the steps agree, the recall is 1 - (1 - 0.5**SAMPLED)**REPEATS, 0.99.
@@ -56,13 +57,15 @@ def embed(tokens: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: np.nd
         s, size = starts[a : a + 512], sizes[a : a + 512]
         limit = np.minimum(s + size, ends[a : a + 512])[:, None]
         at = np.repeat(s[:, None], REPEATS, axis=1)
-        steps = (share[None] * (2 * size)[:, None, None]).astype(np.int64)  # (windows, REPEATS, SAMPLED)
+        steps = [(share[None, :, q] * (2 * size)[:, None]).astype(np.int32) for q in range(SAMPLED)]  # each (windows, REPEATS)
         key = np.repeat(mix(size.astype(np.uint64) + np.uint64(1))[:, None], REPEATS, axis=1) + np.arange(REPEATS, dtype=np.uint64)
-        for j in range(int(steps.max()) + 1):
+        for j in range(int(steps[-1].max()) + 1):
             token = padded[np.where(at < limit, at, len(tokens))]
-            hit = (steps == j).sum(2)
+            hit = steps[0] == j
+            for other in steps[1:]:
+                hit = hit | (other == j)
             if hit.any():
-                key = np.where(hit > 0, mix(key * np.uint64(0x9E3779B97F4A7C15) + token + hit.astype(np.uint64)), key)
+                key[hit] = mix(key[hit] * np.uint64(0x9E3779B97F4A7C15) + token[hit] + np.uint64(j))
             at += (mix(token ^ seeds[j]) >> np.uint64(63)).astype(np.int64)
         out[a : a + 512] = key
     return out
@@ -107,34 +110,38 @@ class Index:
         self.of = np.repeat(np.arange(len(self.ids)), REPEATS)
         order = np.argsort(keys.ravel(), kind="stable")
         self.keys, self.of = keys.ravel()[order], self.of[order]
-        self.any = np.zeros(1 << _BITS, np.int8)
-        self.any[(flat >> np.uint64(64 - _BITS)).astype(np.int64)] = 1
-        self.vocabulary = {int(m): np.unique(np.concatenate([t for t in self.tokens if len(t) == m])) for m in self.classes}
+        # groups of items for the count filter: (words, words of an item that count, how many of them a window must have).
+        # An item's rare words count, those in few items; an edit loses one at most. Items of common words count all.
+        unique, at = np.unique(np.concatenate([np.unique(t) for t in self.tokens]), return_counts=True)
+        common = unique[at > max(3, len(self.tokens) // 100)]
+        groups: dict[tuple[int, bool], tuple[list, list]] = {}
+        for t in self.tokens:
+            k, rare = edits(len(t)), t[~np.isin(t, common)]
+            strong = len(rare) - k >= 3
+            counted, need = groups.setdefault((len(t), strong), ([], []))
+            counted.append(rare if strong else t)
+            need.append((len(rare) if strong else len(t)) - k)
+        self.groups = [(m, np.concatenate(counted), min(need)) for (m, _), (counted, need) in sorted(groups.items())]
+        # bit c % 64 of table c // 64: a word that falls there counts in group c, or shares a slot with one
+        self.tables = [np.zeros(1 << _BITS, np.uint64) for _ in range(-(-len(self.groups) // 64))]
+        for c, (_, t, _) in enumerate(self.groups):
+            self.tables[c // 64][(t >> np.uint64(64 - _BITS)).astype(np.int64)] |= np.uint64(1 << (c % 64))
 
     def windows(self, h: np.ndarray, row_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(starts, sizes) of the windows that pass the count filter."""
-        known = self.any[(h >> np.uint64(64 - _BITS)).astype(np.int64)]
-        top = int(self.classes[-1])
-        sums = np.concatenate([[0], np.cumsum(known, dtype=np.int32)])
-        sums = np.concatenate([sums, np.full(top, sums[-1], np.int32)])
+        slot = (h >> np.uint64(64 - _BITS)).astype(np.int64)
+        bits = [t[slot] for t in self.tables]
+        own = np.zeros(len(h) + int(self.classes[-1]) + 1, np.int32)
         starts, sizes = [], []
-        for m in map(int, self.classes):
-            need = m - edits(m)
-            at = np.flatnonzero(sums[m : m + len(h)] - sums[: len(h)] >= need)
-            if not len(at):
-                continue
-            own = np.zeros(len(h) + 1, np.int32)  # of this size's items alone, and within the row
-            near = np.flatnonzero(known)
-            vocabulary = self.vocabulary[m]
-            place = np.minimum(np.searchsorted(vocabulary, h[near]), len(vocabulary) - 1)
-            own[near[vocabulary[place] == h[near]] + 1] = 1
-            own = np.cumsum(own, dtype=np.int32)
-            at = at[own[np.minimum(at + m, row_end[at])] - own[at] >= need]
+        for c, (m, _, need) in enumerate(self.groups):
+            np.cumsum(((bits[c // 64] >> np.uint64(c % 64)) & np.uint64(1)).astype(np.int8), out=own[1 : len(h) + 1])
+            own[len(h) + 1 :] = own[len(h)]
+            at = np.flatnonzero(own[m : m + len(h)] - own[: len(h)] >= need)
+            at = at[own[np.minimum(at + m, row_end[at])] - own[at] >= need]  # within the row
             starts.append(at)
             sizes.append(np.full(len(at), m, np.int64))
-        if not starts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(starts), np.concatenate(sizes)
+        both = np.unique(np.concatenate(starts) * (int(self.classes[-1]) + 1) + np.concatenate(sizes))
+        return both // (int(self.classes[-1]) + 1), both % (int(self.classes[-1]) + 1)
 
     def search(self, bounds: np.ndarray, h: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(row, item, distance, last word's place) of the best passage for each row and item."""
@@ -181,29 +188,51 @@ def _item_shards(items: DataFrame, id_column: str):
         yield rows.column(0).to_pylist(), rows.column(1).to_pylist()
 
 
+def _found(index: Index, texts: pa.Array):
+    """(row, item, distance, last word's place) of all rows of a column."""
+    for i, _, data, offsets in chunks(texts, 16 << 20):
+        # words in cache-sized pieces, windows over all of them
+        parts, base = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+        own = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(np.ascontiguousarray(data)))
+        for _, _, d, o in chunks(own):
+            bounds, h = words(d, o)
+            parts.append(h)
+            base.append(bounds[1:] + base[-1][-1])
+        for row, item, distance, last in index.search(np.concatenate(base), np.concatenate(parts)):
+            yield i + row, item, distance, last
+
+
 def hits(docs: DataFrame, items: DataFrame, item_column: str = "item_id") -> DataFrame:
     """doc_id, item_id, n_words (of the item), distance, last_word (the passage's last word in the document, from 0)."""
     spark, found = docs.sparkSession, None
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    for ids, texts in _item_shards(items, item_column):
-        shipped = spark.sparkContext.broadcast((ids, texts))
+    for shard in _item_shards(items, item_column):
+        shipped = spark.sparkContext.broadcast(shard)
 
         def scan(batches, shipped=shipped):
             index = Index(*shipped.value)
             for batch in batches:
-                for i, _, data, offsets in chunks(batch.column(1), 16 << 20):
-                    # words in cache-sized pieces, windows over all of them
-                    parts, base = [], [np.zeros(1, np.int64)]
-                    own = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(np.ascontiguousarray(data))])
-                    for _, _, d, o in chunks(own.cast(pa.large_string())):
-                        bounds, h = words(d, o)
-                        parts.append(h)
-                        base.append(bounds[1:] + base[-1][-1])
-                    rows = index.search(np.concatenate(base), np.concatenate(parts) if parts else np.zeros(0, np.uint64))
-                    if rows:
-                        row = pa.array([i + x[0] for x in rows])
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array([index.ids[x[1]] for x in rows], pa.int64()), pa.array([int(index.sizes[x[1]]) for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.int64()), pa.array([x[3] - 1 for x in rows], pa.int64())], ["doc_id", "item_id", "n_words", "distance", "last_word"])
+                rows = list(_found(index, batch.column(1)))
+                columns = [[index.ids[x[1]] for x in rows], [int(index.sizes[x[1]]) for x in rows], [x[2] for x in rows], [x[3] - 1 for x in rows]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([x[0] for x in rows], pa.int64())), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "item_id", "n_words", "distance", "last_word"])
 
         part = docs.mapInArrow(scan, "doc_id long, item_id long, n_words long, distance long, last_word long")
         found = part if found is None else found.union(part)
     return found
+
+
+def without_hits(docs: DataFrame, items: DataFrame, item_column: str = "item_id") -> DataFrame:
+    """The rows that hold no item, with all their columns; nothing is shuffled."""
+    place = docs.columns.index("text")
+    for shard in _item_shards(items, item_column):
+        shipped = docs.sparkSession.sparkContext.broadcast(shard)
+
+        def scan(batches, shipped=shipped):
+            index = Index(*shipped.value)
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[x[0] for x in _found(index, batch.column(place))]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(scan, docs.schema)
+    return docs

@@ -116,6 +116,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BIT
     """The columns named and the score of each row, by a model of fit()."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     kept = [f for f in docs.schema.fields if f.name in columns]
+    place = columns.index("text") if "text" in columns else len(columns)
 
     def scan(batches):
         at, value = shipped.value
@@ -124,15 +125,22 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BIT
         used = w[:-1] != 0
         for batch in batches:
             found = np.full(batch.num_rows, w[-1])
-            for i, j, data, offsets in chunks(batch.column(batch.num_columns - 1)):
+            for i, j, data, offsets in chunks(batch.column(place)):
                 row, at = features(data, offsets, bits)
                 hit = used[at]
                 both = np.unique((row[hit].astype(np.int64) << bits) | at[hit])
                 found[i:j] += np.bincount(both >> bits, w[both & ((1 << bits) - 1)], j - i)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(found, -35, 35))))], [*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(1 / (1 + np.exp(-np.clip(found, -35, 35))))], [*columns, "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", score double"
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col("text").cast("string").alias("__text")).mapInArrow(scan, schema)
+    kinds = {f.name: f.dataType.simpleString() for f in kept} | {"text": "string"}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", score double"
+    text = F.col("text").cast("string")
+    return docs.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in columns], *[text.alias("__text")] * ("text" not in columns)).mapInArrow(scan, schema)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, that classify() predicts as 0."""
+    return score(docs, fit(docs, labels), columns=tuple(docs.columns)).where(F.col("score") < threshold).drop("score")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
