@@ -42,7 +42,8 @@ def model(docs: DataFrame, wanted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Counts (words and marks, then pairs) of the target and the background. wanted: doc_id."""
     marked = wanted.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("w")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(marked, texts.doc_id == marked.w, "left").select(F.col("w").isNotNull().alias("target"), "text")
+    # a merge join at every size: a side that is broadcast while it is small would change the plan as the corpus grows
+    rows = texts.join(marked.hint("merge"), texts.doc_id == marked.w, "left").select(F.col("w").isNotNull().alias("target"), "text")
     size = (1 << WORD_BITS) + (1 << PAIR_BITS)
 
     def count(batches):
