@@ -1,8 +1,384 @@
-"""Registered queries over pages, and their oracles."""
+"""Registered queries of the HTML engine, and the SQL that must give the same rows.
+
+Over `pages`, the SQL reads the pages' fixed grammar with regular expressions. For rules that pages don't exercise, inputs are
+built from the rows of `nation`, and the SQL states the output that the standard asks for (cases.py).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..core.tokenizer import DATA
+from ..functions import html as H
+from ..operators import tables as X
+from ..streaming import chunks as C
+from . import cases
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages")
+
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _decoded(x: str) -> str:
+    """SQL for the references that pages hold; a cut-off &am or & stays."""
+    return rf"regexp_replace(replace(replace(replace({x}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')".replace('\\"', '"')
+
+
+# --- over pages ---------------------------------------------------------------------------------------------------------
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of each page with the page's title and the link's text, in one pass over the parse."""
+    found = X.parse(pages(spark, sf_dir))
+    nodes = F.col("p.nodes")
+    title = F.get(X.elements(nodes, "title"), F.lit(0))
+    anchors = F.filter(X.elements(nodes, "a"), lambda n: F.exists(n["attrs"], lambda a: a["name"] == "href"))
+    rows = F.transform(anchors, lambda n: F.struct(H.get_attribute(n["attrs"], "href").alias("href"), X.text_of(nodes, n).alias("text")))
+    return found.select("page_id", X.text_of(nodes, title).alias("title"), F.posexplode_outer(rows).alias("ord", "r")).select("page_id", "title", "ord", "r.href", "r.text")
+
+
+def _first_text(name: str):
+    def run(spark, sf_dir):
+        found = X.parse(pages(spark, sf_dir))
+        return found.select("page_id", X.text_of(F.col("p.nodes"), F.get(X.elements(F.col("p.nodes"), name), F.lit(0))).alias("text"))
+
+    return run
+
+
+for _name, _tag in (("page_titles", "title"), ("h1_text", "h1"), ("footer_text", "footer")):
+    QUERIES[_name] = _first_text(_tag)
+    ORACLES[_name] = f"SELECT page_id, {_decoded(f"regexp_extract(html, '<{_tag}>([^<]*)', 1)")} AS text FROM pages"
+
+
+@query(r"""SELECT page_id, (unnest(range(len(h))))::INTEGER AS ord, unnest(h) AS href, unnest(t) AS text FROM (
+    SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS h, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS t FROM pages)""")
+def page_links(spark, sf_dir):
+    return X.links(pages(spark, sf_dir))
+
+
+@query("""SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, regexp_extract(html, 'charset="([^"]*)"', 1) AS charset FROM pages""")
+def page_meta_lang(spark, sf_dir):
+    found = X.parse(pages(spark, sf_dir))
+    first = lambda name, attr: H.get_attribute(F.get(X.elements(F.col("p.nodes"), name), F.lit(0))["attrs"], attr)
+    return found.select("page_id", first("html", "lang").alias("lang"), first("meta", "charset").alias("charset"))
+
+
+@query("SELECT page_id, unnest(regexp_extract_all(html, '<!--(.*?)-->', 1)) AS comment FROM pages")
+def page_comments(spark, sf_dir):
+    return X.nodes(pages(spark, sf_dir)).where("node_type = 'comment'").select("page_id", F.col("value").alias("comment"))
+
+
+@query("SELECT page_id, 'no-quirks' AS mode FROM pages")
+def page_mode(spark, sf_dir):
+    return X.modes(pages(spark, sf_dir))
+
+
+@query("""SELECT name, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(html, '<script>.*?</script>', '<script>', 'g'), '<([a-z][a-z0-9]*)', 1)) AS name FROM pages) WHERE name <> 'b' GROUP BY name""")
+def tag_counts(spark, sf_dir):
+    found = X.nodes(pages(spark, sf_dir)).where("node_type = 'element' AND name <> 'b'")
+    return found.groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query("""WITH o AS (SELECT page_id, regexp_extract_all(regexp_replace(html, '<script>.*?</script>', '', 'g'), '<p>(?:<b>)?') AS p FROM pages),
+    e AS (SELECT page_id, i, CASE WHEN p[i] = '<p><b>' THEN 1 ELSE 0 END AS b FROM (SELECT page_id, p, unnest(range(1, len(p) + 1)) AS i FROM o)),
+    k AS (SELECT page_id, b, least(3, coalesce(sum(b) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS k FROM e)
+    SELECT page_id, (coalesce(sum(k.k + b), 0) + least(3, coalesce(sum(b), 0)))::BIGINT AS n_b_elements FROM pages LEFT JOIN k USING (page_id) GROUP BY page_id""")
+def b_reconstruction(spark, sf_dir):
+    found = X.parse(pages(spark, sf_dir))
+    return found.select("page_id", F.size(X.elements(F.col("p.nodes"), "b")).cast("long").alias("n_b_elements"))
+
+
+@query("""SELECT page_id, tag, text FROM (SELECT page_id, 'script' AS tag, regexp_extract(html, '<script>(.*?)</script>', 1) AS text FROM pages
+    UNION ALL SELECT page_id, 'style', regexp_extract(html, '<style>(.*?)</style>', 1) FROM pages)""")
+def script_style_text(spark, sf_dir):
+    nodes = X.nodes(pages(spark, sf_dir))
+    tags = nodes.where("node_type = 'element' AND name IN ('script', 'style')").select("page_id", F.col("node_id").alias("up"), F.col("name").alias("tag"))
+    texts = nodes.where("node_type = 'text'").select(F.col("page_id").alias("k"), "parent_id", F.col("value").alias("text"))
+    return tags.join(texts, (F.col("page_id") == F.col("k")) & (F.col("up") == F.col("parent_id"))).select("page_id", "tag", "text")
+
+
+@query(f"SELECT page_id, length({_decoded("regexp_replace(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<[^>]*>', '', 'g')")})::BIGINT AS n FROM pages")
+def article_text_len(spark, sf_dir):
+    found = X.parse(pages(spark, sf_dir))
+    return found.select("page_id", F.length(X.text_of(F.col("p.nodes"), F.get(X.elements(F.col("p.nodes"), "article"), F.lit(0)))).cast("long").alias("n"))
+
+
+@query("""WITH h AS (SELECT regexp_replace(html, '<script>.*?</script>', '<script></script>', 'g') AS html FROM pages)
+    SELECT type, n FROM (SELECT 'start' AS type, sum(len(regexp_extract_all(html, '<[a-z]')))::BIGINT AS n FROM h UNION ALL SELECT 'end', sum(len(regexp_extract_all(html, '</[a-z]')))::BIGINT FROM h
+    UNION ALL SELECT 'comment', sum(len(regexp_extract_all(html, '<!--')))::BIGINT FROM h UNION ALL SELECT 'doctype', sum(len(regexp_extract_all(html, '<!DOCTYPE')))::BIGINT FROM h)""")
+def events_type_counts(spark, sf_dir):
+    found = X.events(pages(spark, sf_dir), kinds=("start", "end", "comment", "doctype"))
+    return found.groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, html FROM pages")
+def raw_identity(spark, sf_dir):
+    return X.rewritten(pages(spark, sf_dir), lambda e: F.lit(None).cast("string"))
+
+
+@query("""SELECT page_id, regexp_replace(html, '<a href="([^"]*)">', '<a href="https://example.org\\1">', 'g') AS html FROM pages""")
+def rewrite_href(spark, sf_dir):
+    def rule(e: Column) -> Column:
+        href = H.get_attribute(e["attrs"], "href")
+        return F.when((e["type"] == "start") & (e["name"] == "a"), F.concat(F.lit('<a href="https://example.org'), H.escape_attribute(href), F.lit('">')))
+
+    return X.rewritten(pages(spark, sf_dir), rule)
+
+
+@query("SELECT page_id, regexp_replace(html, '<!--.*?-->', '', 'g') AS html FROM pages")
+def rewrite_drop_comments(spark, sf_dir):
+    return X.rewritten(pages(spark, sf_dir), lambda e: F.when(e["type"] == "comment", ""))
+
+
+@query("""SELECT page_id, replace(html, '</h1>', '</h2>') AS html FROM pages""")
+def rewrite_end_tags(spark, sf_dir):
+    return X.rewritten(pages(spark, sf_dir), lambda e: F.when((e["type"] == "end") & (e["name"] == "h1"), "</h2>"))
+
+
+@query("""SELECT page_id, regexp_replace(html, '<title>.*?</title>', '<title>x</title>') AS html FROM pages""")
+def rewrite_callback(spark, sf_dir):
+    def handler(event, raw):
+        return "x" if event.kind == "text" and event.last_tag == "title" else None
+
+    return X.spread(pages(spark, sf_dir)).select("page_id", H.html_rewrite(handler)("html").alias("html"))
+
+
+@query("""SELECT page_id, tag, (strpos(html, pat) - 1)::INTEGER AS start_offset, (1 + length(substr(html, 1, strpos(html, pat) - 1)) - length(replace(substr(html, 1, strpos(html, pat) - 1), chr(10), '')))::INTEGER AS start_line
+    FROM pages, (VALUES ('article', '<article>'), ('h1', '<h1>'), ('footer', '<footer>')) AS v(tag, pat)""")
+def locations_line_col(spark, sf_dir):
+    nodes = X.nodes(pages(spark, sf_dir), locations=True).where("name IN ('article', 'h1', 'footer')")
+    return nodes.select("page_id", F.col("name").alias("tag"), "loc.start_offset", "loc.start_line")
+
+
+@query("""SELECT page_id, count(*)::BIGINT AS n_nodes, true AS same FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li>|<a href="[^"]*">[^<]*</a>')) FROM pages) GROUP BY page_id""")
+def location_slices(spark, sf_dir):
+    """The source at an element's location is what the element serializes to."""
+    found = X.parse(pages(spark, sf_dir), facets=(H.NODES, H.LOC)).select("page_id", F.col("p.nodes").alias("nodes"))
+    own = found.select("page_id", "nodes", F.explode(F.filter("nodes", lambda n: n["name"].isin("li", "a"))).alias("n"))
+    own = own.select("page_id", "n", H.html_serialize(outer=True)("nodes", F.col("n.node_id")).alias("outer"))
+    own = own.join(pages(spark, sf_dir), "page_id")
+    same = H.raw_slice(F.col("html"), F.col("n.loc.start_offset"), F.col("n.loc.end_offset")) == F.col("outer")
+    return own.groupBy("page_id").agg(F.count("*").alias("n_nodes"), F.bool_and(same).alias("same"))
+
+
+@query("""SELECT page_id, len(h)::BIGINT AS n_items, (len(h) - 1)::BIGINT AS n_prev, (len(h) - 1)::BIGINT AS n_next FROM (SELECT page_id, regexp_extract_all(html, '<li>') AS h FROM pages) WHERE len(h) > 0""")
+def siblings_prev_next(spark, sf_dir):
+    items = X.siblings(X.nodes(pages(spark, sf_dir))).where("name = 'li'")
+    return items.groupBy("page_id").agg(F.count("*").alias("n_items"), F.count("prev_id").alias("n_prev"), F.count("next_id").alias("n_next"))
+
+
+@query("""SELECT page_id, len(regexp_extract_all(html, '<a href'))::BIGINT AS n FROM pages WHERE contains(html, '<a href')""")
+def descendant_links_in_nav(spark, sf_dir):
+    nodes = X.nodes(pages(spark, sf_dir)).where("node_type = 'element'")
+    pairs = X.descendants(nodes.where("name = 'nav'"), nodes.where("name = 'a'"))
+    return pairs.groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT page_id, len(regexp_extract_all(html, '<li>'))::BIGINT AS n FROM pages WHERE contains(html, '<li>')""")
+def list_children(spark, sf_dir):
+    nodes = X.nodes(pages(spark, sf_dir))
+    lists = nodes.where("name = 'ul'").select("page_id", "node_id")
+    return X.children(nodes).join(lists, ["page_id", "node_id"], "left_semi").groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT page_id, (unnest(range(len(v))))::INTEGER AS n, unnest(v) AS value FROM (SELECT page_id, regexp_extract_all(html, ' (?:lang|charset|href|class)="([^"]*)"', 1) AS v FROM pages)""")
+def attribute_values(spark, sf_dir):
+    found = X.parse(pages(spark, sf_dir))
+    values = F.flatten(F.transform(F.filter(F.col("p.nodes"), lambda n: n["node_type"] == "element"), lambda n: F.transform(n["attrs"], lambda a: a["value"])))
+    return found.select("page_id", F.posexplode(values).alias("n", "value"))
+
+
+@query("SELECT page_id FROM pages WHERE NOT contains(html, '</html>')")
+def pages_without_body_end(spark, sf_dir):
+    ends = X.events(pages(spark, sf_dir), kinds=("end",)).where("name = 'html'")
+    return pages(spark, sf_dir).select("page_id").join(ends, "page_id", "left_anti")
+
+
+@query("SELECT page_id, true AS same FROM pages")
+def serialize_idempotent(spark, sf_dir):
+    once = X.serialized(pages(spark, sf_dir)).withColumnRenamed("html", "a")
+    twice = once.select("page_id", "a", H.html_parse((H.TEXT_HTML,))("a").alias("p"))
+    return twice.select("page_id", (F.col("a") == F.col("p.html")).alias("same"))
+
+
+@query("SELECT page_id, true AS same FROM pages")
+def serialize_from_nodes(spark, sf_dir):
+    found = X.parse(pages(spark, sf_dir), facets=(H.NODES, H.TEXT_HTML, H.DUMP))
+    again = found.select("page_id", "p", H.html_serialize()("p.nodes", F.lit(0)).alias("inner"), H.html_dump("p.nodes").alias("dump"))
+    return again.select("page_id", ((F.col("inner") == F.col("p.html")) & (F.col("dump") == F.col("p.dump"))).alias("same"))
+
+
+def _cut(df: DataFrame, size: int = 700) -> DataFrame:
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("html") - 1), F.lit(size))
+    pieces = df.select(F.col("page_id").alias("doc_id"), "html", F.posexplode(starts).alias("seq", "at"))
+    return pieces.select("doc_id", F.col("seq").cast("long").alias("seq"), F.substring("html", F.col("at") + 1, F.lit(size)).alias("chunk"), (F.col("at") + size >= F.length("html")).alias("is_last"))
+
+
+@query("SELECT page_id, true AS same FROM pages")
+def chunked_equals_whole(spark, sf_dir):
+    whole = X.serialized(pages(spark, sf_dir)).withColumnRenamed("html", "a")
+    joined = C.assemble(_cut(pages(spark, sf_dir)))
+    again = X.serialized(joined.where("complete"), "doc_id").withColumnRenamed("html", "b")
+    return whole.join(again, F.col("page_id") == F.col("doc_id"), "left").select("page_id", F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("same"))
+
+
+@query("SELECT page_id, 'pop' AS op, count(*)::BIGINT AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li>')) FROM pages) GROUP BY page_id UNION ALL SELECT page_id, 'push', count(*)::BIGINT FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li>')) FROM pages) GROUP BY page_id")
+def open_element_events(spark, sf_dir):
+    found = X.parse(pages(spark, sf_dir), facets=(H.OPEN,)).select("page_id", F.inline_outer("p.open_events"))
+    return found.where("name = 'li'").groupBy("page_id", "op").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT page_id, len(regexp_extract_all(html, '<!DOCTYPE|<!--'))::BIGINT AS n_marks, len(regexp_extract_all(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<[a-z]'))::BIGINT AS n_article FROM pages""")
+def token_counts(spark, sf_dir):
+    """The tokenizer alone, from the data state; script text is markup to it, so counts are of what stands elsewhere."""
+    found = X.spread(pages(spark, sf_dir)).select("page_id", H.html_tokenize(DATA)("html").alias("t"))
+    at = lambda kind, name: F.array_position(F.transform("t", lambda x: F.concat(x["type"], F.lit(" "), F.coalesce(x["name"], F.lit("")))), f"{kind} {name}")
+    inside = F.slice("t", (at("start", "article") + 1).cast("int"), (at("end", "article") - at("start", "article") - 1).cast("int"))
+    count = lambda a, *kinds: F.size(F.filter(a, lambda x: x["type"].isin(*kinds))).cast("long")
+    return found.select("page_id", count(F.col("t"), "comment", "doctype").alias("n_marks"), count(inside, "start").alias("n_article"))
+
+
+# --- over documents -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), chr(160), '&nbsp;'), '<', '&lt;'), '>', '&gt;') AS value FROM documents")
+def escape_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", H.escape_text("text").alias("value"))
+
+
+@query("""SELECT doc_id, replace(replace(replace(text, '&', '&amp;'), chr(160), '&nbsp;'), '"', '&quot;') AS value FROM documents""")
+def escape_attr(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", H.escape_attribute("text").alias("value"))
+
+
+@query("""SELECT doc_id, '<html><head></head><body><pre>' || chr(10) || replace(replace(replace(replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '&', '&amp;'), chr(160), '&nbsp;'), '<', '&lt;'), '>', '&gt;') || '</pre></body></html>' AS html FROM documents""")
+def plain_text_doc(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", H.plain_text_document("text").alias("html"))
+
+
+@query("SELECT doc_id, text AS value FROM documents")
+def unescape_escaped(spark, sf_dir):
+    docs = X.spread(table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", H.html_unescape(H.escape_text("text")).alias("value"))
+
+
+# --- cases ----------------------------------------------------------------------------------------------------------------
+
+
+def _filled(template: str, name: Column) -> Column:
+    parts = template.split("{n}")
+    pieces = [F.lit(parts[0])]
+    for part in parts[1:]:
+        pieces += [name, F.lit(part)]
+    return F.concat(*pieces)
+
+
+def _sql(text: str) -> str:
+    """A string literal; control characters by chr()."""
+    out, plain = [], ""
+    for c in text:
+        if ord(c) < 32 or c == "�":
+            out += [f"'{plain}'", f"chr({ord(c)})"]
+            plain = ""
+        else:
+            plain += c.replace("'", "''")
+    return " || ".join([*out, f"'{plain}'"])
+
+
+def _sql_filled(template: str) -> str:
+    return "(" + " || n_name || ".join(_sql(p) for p in template.split("{n}")) + ")"
+
+
+def _inputs(spark, sf_dir, inputs: list[str]) -> DataFrame:
+    """key and html: each input filled with each nation's name."""
+    rows = F.array(*[F.struct(F.lit(k).alias("k"), _filled(x, F.col("n_name")).alias("html")) for k, x in enumerate(inputs)])
+    found = table(spark, sf_dir, "nation").select("n_nationkey", F.inline(rows))
+    return found.select((F.col("n_nationkey").cast("long") * 100 + F.col("k")).alias("key"), "html")
+
+
+def _outputs(outputs: list[str], column: str) -> str:
+    return " UNION ALL ".join(f"SELECT n_nationkey::BIGINT * 100 + {k} AS key, {_sql_filled(x)} AS {column} FROM nation" for k, x in enumerate(outputs))
+
+
+def _case(name: str, inputs: list[str], outputs: list[str], **options) -> None:
+    def run(spark, sf_dir):
+        return X.serialized(_inputs(spark, sf_dir, inputs), "key", **options)
+
+    QUERIES[name] = run
+    ORACLES[name] = _outputs(outputs, "html")
+
+
+for _name, _cases in cases.BODIES.items():
+    _case(_name, [cases.START + a for a, _ in _cases], [cases.START + cases.BETWEEN + b + cases.FINISH for _, b in _cases])
+for _name, _cases in cases.DOCUMENTS.items():
+    _case(_name, [a for a, _ in _cases], [b for _, b in _cases])
+for _name, (_context, _cases) in cases.FRAGMENTS.items():
+    _case(_name, [a for a, _ in _cases], [b for _, b in _cases], context=_context)
+_off = cases.NO_SCRIPTING
+_case("noscript_scripting_off", [cases.START + a for a, _ in _off["noscript_scripting_off"]], [cases.START + cases.BETWEEN + b + cases.FINISH for _, b in _off["noscript_scripting_off"]], scripting=False)
+_case("noscript_in_head", [a for a, _ in _off["noscript_in_head"]], [b for _, b in _off["noscript_in_head"]], scripting=False)
+
+
+@query(_outputs(["<html><head></head><body><script>w{n}</script><p>{n}</p>z</body></html>"], "html"))
+def document_write(spark, sf_dir):
+    """The script hook: what it returns is parsed where the script ends."""
+    hook = lambda script: f"<p>{script.children[0].value[1:]}</p>"
+    return X.serialized(_inputs(spark, sf_dir, ["<body><script>w{n}</script>z"]), "key", on_script=hook)
+
+
+def _doctype_rows(spark) -> DataFrame:
+    return spark.createDataFrame([(k, n, p, s) for k, (n, p, s, _) in enumerate(cases.DOCTYPES)], "key long, name string, public_id string, system_id string")
+
+
+@query(" UNION ALL ".join(f"SELECT {k}::BIGINT AS key, '{mode}' AS mode" for k, (*_, mode) in enumerate(cases.DOCTYPES)))
+def doctype_modes(spark, sf_dir):
+    return _doctype_rows(spark).select("key", H.doctype_mode("name", "public_id", "system_id").alias("mode"))
+
+
+@query(" UNION ALL ".join(f"SELECT {k}::BIGINT AS key, '{mode}' AS mode" for k, (*_, mode) in enumerate(cases.DOCTYPES)))
+def doctype_modes_parsed(spark, sf_dir):
+    rows = _doctype_rows(spark).select("key", F.concat(F.lit("<!"), F.substring(H.doctype_data("name", "public_id", "system_id"), 2, 10_000), F.lit(">")).alias("html"))
+    return X.modes(rows, "key")
+
+
+@query(_outputs([code for _, code in cases.ERRORS], "code"))
+def error_codes(spark, sf_dir):
+    found = X.errors(_inputs(spark, sf_dir, [a for a, _ in cases.ERRORS]), "key")
+    return found.select("key", "code").distinct()
 
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+@query(_outputs(["{n}|b", "<p a=\"&{n}\">", "&lt;{n}&gt;", "<!--{n}-->", "</{n}>"], "html"))
+def render_events(spark, sf_dir):
+    """Markup written anew from events, by a native expression."""
+    kinds = "struct<type:string,name:string,text:string,attrs:array<struct<name:string,value:string,prefix:string,namespace:string>>,self_closing:boolean,public_id:string,system_id:string,last_start_tag:string>"
+    made = lambda **x: F.struct(*[x.get(k, F.lit(None)).alias(k) for k in ("type", "name", "text", "attrs", "self_closing", "public_id", "system_id", "last_start_tag")]).cast(kinds)
+    n, s = F.col("n_name"), F.lit
+    attrs = F.array(F.struct(s("a").alias("name"), F.concat(s("\""), n).alias("value"), s(None).cast("string").alias("prefix"), s(None).cast("string").alias("namespace")))
+    rows = [
+        made(type=s("text"), text=F.concat(n, s("|b")), last_start_tag=s("p")),
+        made(type=s("start"), name=s("p"), attrs=attrs, self_closing=s(False)),
+        made(type=s("text"), text=F.concat(s("<"), n, s(">")), last_start_tag=s("p")),
+        made(type=s("comment"), text=n),
+        made(type=s("end"), name=n),
+    ]
+    found = table(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(F.array(*rows)).alias("k", "e"))
+    return found.select((F.col("n_nationkey").cast("long") * 100 + F.col("k")).alias("key"), F.replace(H.render_event(F.col("e")), F.lit("&quot;"), F.lit("&")).alias("html"))
