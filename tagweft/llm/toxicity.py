@@ -2,8 +2,8 @@
 
 Features are the words of a text (runs of ASCII letters and digits in lower case, and of other characters), their stems
 (the first 5, 6 and 7 bytes of longer words), pairs of neighbours, and pairs with one word between, each hashed to one of
-2**BITS coordinates and counted once a text. Training
-keeps a rate for each coordinate; the L1 term leaves most weights at zero, so what is broadcast is the list of the others.
+2**BITS coordinates and counted once a text. Training keeps a rate for each coordinate; the L1 term leaves most weights at
+zero, so what is broadcast is the list of the others.
 
 The classifier is fitted on a bounded sample: the SAMPLE labelled documents (at most) with the smallest hash of doc_id,
 those that are held out excluded. A label repeated for one doc_id counts as 1 if any of its rows is 1; null labels are
@@ -112,8 +112,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BI
     return found["at"].to_numpy(np.int64), found["w"].to_numpy(np.float64)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BITS, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns named and the score of each row, by a model of fit()."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BITS, columns: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
+    """The columns named and the score of each row (in column `out`), by a model of fit()."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     kept = [f for f in docs.schema.fields if f.name in columns]
     place = columns.index("text") if "text" in columns else len(columns)
@@ -130,17 +130,17 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BIT
                 hit = used[at]
                 both = np.unique((row[hit].astype(np.int64) << bits) | at[hit])
                 found[i:j] += np.bincount(both >> bits, w[both & ((1 << bits) - 1)], j - i)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(1 / (1 + np.exp(-np.clip(found, -35, 35))))], [*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(1 / (1 + np.exp(-np.clip(found, -35, 35))))], [*columns, out])
 
     kinds = {f.name: f.dataType.simpleString() for f in kept} | {"text": "string"}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", score double"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + f", `{out}` double"
     text = F.col("text").cast("string")
     return docs.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in columns], *[text.alias("__text")] * ("text" not in columns)).mapInArrow(scan, schema)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows, with all their columns, that classify() predicts as 0."""
-    return score(docs, fit(docs, labels), columns=tuple(docs.columns)).where(F.col("score") < threshold).drop("score")
+    return score(docs, fit(docs, labels), columns=tuple(docs.columns), out="__toxicity").where(F.col("__toxicity") < threshold).drop("__toxicity")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
