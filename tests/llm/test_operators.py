@@ -174,7 +174,7 @@ def test_ftrl_learns_and_is_sparse():
     m = toxicity.Ftrl(1000)
     for _ in range(2000):
         y = int(r.integers(0, 2))
-        m.learn(np.unique(np.r_[r.integers(10, 1000, 20), [3] * y]), y)
+        m.learn(np.unique(np.concatenate([r.integers(10, 1000, 20), np.full(y, 3)])), y)
     w = m.weights(np.arange(1000))
     assert w[3] > 1 and (w != 0).sum() < 600
 
@@ -189,7 +189,7 @@ def test_secrets_base():
     assert kinds == ["assign", "assign", "access", "hex"]
     a, _, b = secrets.base_spans(SECRETS)[0]
     assert SECRETS[a:b] == "password=abcdefgh1"
-    assert secrets.base_spans("ſecret=abcdefgh1 toKen=abcdefgh1") == []  # letters of other scripts are no letters in either case
+    assert secrets.base_spans("\u017fecret=abcdefgh1 to\u212aen=abcdefgh1") == []  # letters of other scripts are no letters in either case
 
 
 def test_secrets_lexer():
@@ -212,7 +212,7 @@ def test_secrets_rows(spark, docs):
 
 # --- personal data --------------------------------------------------------------------------------------------------------
 
-PII = "mail a.b+c@x-1.example.com or 10.0.0.255, 1.2.3.4.5.6.7.8 4111 1111-1111 1111 +1 (555) 010-2345 +12 300.1.1.1"
+PII = "mail a.b+c@x-1.example.com or 10.0.0.255, 1.2.3.4.5.6.7.8; 4111 1111-1111 1111 +1 (555) 010-2345 +12 300.1.1.1"
 
 
 def slow_base(text):
@@ -263,7 +263,7 @@ def test_pii_tagger_on_held_out_spans():
     codes, tags = pii.examples(300, 64, seed=99)
     got = model.decode(codes)
     assert (got == tags).mean() > 0.97
-    text = "Write to john (at) mail (dot) org today. " + "x " * 300 + "Call (415) 555-0134 now. On 2024-05-17 version 1.2.3."
+    text = "Write to john (at) mail (dot) org today. " + "then all of us went on. " * 30 + "Call (415) 555-0134 now. On 2024-05-17 version 1.2.3."
     _, every = pii.spans(model, [text])[0]
     assert {text[a:b] for a, _, b in every} <= {"john (at) mail (dot) org", "(415) 555-0134"} and every
 
@@ -273,7 +273,7 @@ def test_pii_rows(spark):
     assert (rows[9].n_email, rows[9].n_ip, rows[9].n_card, rows[9].n_phone) == (1, 3, 1, 1)
     assert rows[9].base_sha256 == hashlib.sha256(pii.joined(slow_base(PII)).encode()).hexdigest()
     masked = [r.text for r in pii.masked(frame(spark, [(1, PII), (2, None), (3, "clean")])).orderBy("doc_id").collect()]
-    assert masked[0].startswith("mail [EMAIL] or [IP], [IP].[IP] [CARD] [PHONE]") and masked[1:] == [None, "clean"]
+    assert masked[0].startswith("mail [EMAIL] or [IP], [IP].[IP]; [CARD] [PHONE]") and masked[1:] == [None, "clean"]
 
 
 # --- leaks ----------------------------------------------------------------------------------------------------------------
