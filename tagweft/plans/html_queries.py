@@ -6,12 +6,16 @@ built from the rows of `nation`, and the SQL states the output that the standard
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core.tokenizer import DATA
 from ..functions import html as H
 from ..operators import tables as X
+from ..sources import html as S
 from ..streaming import chunks as C
 from . import cases
 
@@ -382,3 +386,17 @@ def render_events(spark, sf_dir):
     ]
     found = table(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(F.array(*rows)).alias("k", "e"))
     return found.select((F.col("n_nationkey").cast("long") * 100 + F.col("k")).alias("key"), F.replace(H.render_event(F.col("e")), F.lit("&quot;"), F.lit("&")).alias("html"))
+
+
+def _shared(spark) -> str:
+    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tagweft-')}"
+
+
+@query("SELECT page_id AS doc_id, true AS complete, length(html)::BIGINT AS n FROM pages")
+def stream_assembled(spark, sf_dir):
+    """Chunks through Structured Streaming: state until a document is whole."""
+    at = f"{_shared(spark)}/{uuid.uuid4().hex}"
+    _cut(pages(spark, sf_dir)).repartition(4, "seq").write.parquet(f"{at}/in")
+    out = C.assemble_stream(S.read_chunks(spark.newSession(), f"{at}/in", streaming=True)).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    out.awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("doc_id", "complete", F.length("html").cast("long").alias("n"))

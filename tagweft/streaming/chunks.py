@@ -23,31 +23,33 @@ def assemble(chunks: DataFrame) -> DataFrame:
     return whole.select("doc_id", html.alias("html"), complete.alias("complete"))
 
 
-def _collect(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    seqs, texts, last = state.get if state.exists else ([], [], -1)
-    pieces = dict(zip(seqs, texts))
-    if state.hasTimedOut:
-        state.remove()
-        yield pd.DataFrame({"doc_id": [key[0]], "html": ["".join(pieces[s] for s in sorted(pieces))], "complete": [False]})
-        return
-    for batch in batches:
-        for row in batch.itertuples():
-            pieces.setdefault(int(row.seq), row.chunk or "")
-            if row.is_last:
-                last = int(row.seq)
-    if last >= 0 and all(s in pieces for s in range(last + 1)):
-        if state.exists:
+def _collector(wait_ms: int | None):
+    def collect(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seqs, texts, last = state.get if state.exists else ([], [], -1)
+        pieces = dict(zip(seqs, texts))
+        if state.hasTimedOut:
             state.remove()
-        yield pd.DataFrame({"doc_id": [key[0]], "html": ["".join(pieces[s] for s in range(last + 1))], "complete": [True]})
-    else:
-        state.update((list(pieces), list(pieces.values()), last))
-        state.setTimeoutDuration(_WAIT_MS)
-
-
-_WAIT_MS = 600_000
-
-
-def assemble_stream(chunks: DataFrame) -> DataFrame:
-    """doc_id, html, complete of a stream, as documents become whole; what stays incomplete for ten minutes is given as it
-    is, marked."""
-    return chunks.groupBy("doc_id").applyInPandasWithState(_collect, "doc_id long, html string, complete boolean", "seqs array<long>, texts array<string>, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+            yield pd.DataFrame({"doc_id": [key[0]], "html": ["".join(pieces[s] for s in sorted(pieces))], "complete": [False]})
+            return
+        for batch in batches:
+            for row in batch.itertuples():
+                pieces.setdefault(int(row.seq), row.chunk or "")
+                if row.is_last:
+                    last = int(row.seq)
+        if last >= 0 and all(s in pieces for s in range(last + 1)):
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame({"doc_id": [key[0]], "html": ["".join(pieces[s] for s in range(last + 1))], "complete": [True]})
+        else:
+            state.update((list(pieces), list(pieces.values()), last))
+            if wait_ms is not None:
+                state.setTimeoutDuration(wait_ms)
+
+    return collect
+
+
+def assemble_stream(chunks: DataFrame, wait_ms: int | None = None) -> DataFrame:
+    """doc_id, html, complete of a stream, as documents become whole. With wait_ms, what gets no piece for so long is given
+    as it is, marked as incomplete; that takes a trigger that goes on (a run over what is available would never end)."""
+    timeout = GroupStateTimeout.NoTimeout if wait_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return chunks.groupBy("doc_id").applyInPandasWithState(_collector(wait_ms), "doc_id long, html string, complete boolean", "seqs array<long>, texts array<string>, last long", "append", timeout)
