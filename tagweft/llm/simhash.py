@@ -12,7 +12,16 @@ trees inside each shard:
 * A shard above SHARD_ROWS is cut into salted parts, and every pair of parts is searched as a shard of its own.
 
 Equal fingerprints are one point, so copies are never paired. A shard emits a tree of links for each component it finds,
-never all its pairs. Null texts count as empty; empty texts have fingerprint zero; repeated rows repeat in the result; a
+never all its pairs.
+
+`similar` is for a threshold on the similarity of shingle sets, as the pipeline needs it: sets with a Jaccard similarity of
+0.8 differ in 39 of 256 bits on average (the angle between their count vectors is 27 degrees), too far for agreement on
+blocks, and in 10 of 64, too near to chance. It takes WIDE_BITS bits of WIDE_WORDS-word shingles and a radius that nine in
+ten of such pairs are within, while unrelated texts are 128 +- 8 bits apart. Its shards are balls of radius 0 on SAMPLED
+random bits, one for each of TABLES samples; a pair at 39 bits shares one with probability 0.97, a pair at 27 bits (0.9)
+with 0.9999.
+
+Null texts count as empty; empty texts have fingerprint zero; repeated rows repeat in the result; a
 null doc_id gets a fingerprint and its group's component_id. An empty table gives no rows. Other columns are ignored.
 """
 
@@ -26,31 +35,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .text import chunks, durable, roots
+from .text import chunks, durable, mix, roots
 
 WORDS, SEED, RADIUS, BLOCKS = 4, 42, 4, 6
+WIDE_WORDS, WIDE_BITS, WIDE_RADIUS = 5, 256, 46
+TABLES, SAMPLED = 48, 16
 #: Points of a shard above which it is cut into parts.
 SHARD_ROWS = 4000
 LEAF = 32
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """Of one text in UTF-8."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """Of each run of so many words of a text in UTF-8, repeats included; of the whole text if it has fewer."""
     parts = text.lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(parts)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
     k = min(words, len(parts))
-    hashes = np.fromiter((xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts[: len(parts) - k + 1].tolist(), ends[k - 1 :].tolist())), np.uint64, len(parts) - k + 1)
+    return np.fromiter((xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts[: len(parts) - k + 1].tolist(), ends[k - 1 :].tolist())), np.uint64, len(parts) - k + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 14):
         counts += np.unpackbits(hashes[i : i + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: bytes, words: int = WORDS) -> int:
+    """Of one text in UTF-8."""
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of each row."""
 
@@ -77,12 +97,18 @@ def shard_keys(radius: int = RADIUS, blocks: int = BLOCKS) -> list:
     return keys
 
 
+def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Hamming distances of points; a point is a row of 64-bit values."""
+    d = np.bitwise_count(x ^ y)
+    return d[..., 0] if d.shape[-1] == 1 else d.sum(axis=-1, dtype=np.int16)
+
+
 def _pairs(points: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, found: list) -> None:
     """Links between points a and points b, cut to a forest block by block."""
     for i in range(0, len(a), 1024):
         for j in range(0, len(b), 1024):
             x, y = a[i : i + 1024], b[j : j + 1024]
-            p, q = np.nonzero(np.bitwise_count(points[x][:, None] ^ points[y][None, :]) <= radius)
+            p, q = np.nonzero(_distance(points[x][:, None], points[y][None, :]) <= radius)
             if len(p) > len(x) + len(y):
                 both, where = np.unique(np.concatenate([x, y]), return_inverse=True)
                 up = roots(len(both), where[p], where[len(x) + q])
@@ -92,7 +118,7 @@ def _pairs(points: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, found:
 
 
 def vantage_links(points: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join every two points within the radius into one component, by a vantage-point tree."""
+    """Links that join every two points (rows) within the radius into one component, by a vantage-point tree."""
     found: list = []
     stack = [np.arange(len(points))]
     while stack:
@@ -101,7 +127,7 @@ def vantage_links(points: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray,
             _pairs(points, own, own, radius, found)
             continue
         v = own[len(own) // 2]
-        d = np.bitwise_count(points[own] ^ points[v])
+        d = _distance(points[own], points[v])
         ball, rest = own[d <= radius], own[d > radius]
         d_ball, d = d[d <= radius].astype(int), d[d > radius].astype(int)
         found.append((ball, np.full(len(ball), v)))
@@ -127,10 +153,11 @@ def vantage_links(points: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray,
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
-def shard_links(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """For rows of several shards: for each component in a shard, links of each member to another, as a tree of low degree."""
+def shard_links(keys: np.ndarray, points: np.ndarray, names: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of several shards: for each component in a shard, links of each member's name to another, as a tree of low
+    degree."""
     order = np.argsort(keys, kind="stable")
-    keys, fps = keys[order], fps[order]
+    keys, points, names = keys[order], points[order], names[order]
     n = len(keys)
     bounds = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
     sizes = np.diff(bounds)
@@ -142,15 +169,15 @@ def shard_links(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndar
         at = at[keys[at] == keys[at + step]]
         if not len(at):
             break
-        near = at[np.bitwise_count(fps[at] ^ fps[at + step]) <= radius]
+        near = at[_distance(points[at], points[at + step]) <= radius]
         a.append(near)
         b.append(near + step)
     for k in np.flatnonzero(sizes > LEAF):
-        x, y = vantage_links(fps[bounds[k] : bounds[k + 1]], radius)
+        x, y = vantage_links(points[bounds[k] : bounds[k + 1]], radius)
         a.append(x + bounds[k])
         b.append(y + bounds[k])
     if not a:
-        return fps[:0], fps[:0]
+        return names[:0], names[:0]
     root = roots(n, np.concatenate(a), np.concatenate(b))
     order = np.argsort(root, kind="stable")
     root = root[order]
@@ -158,34 +185,41 @@ def shard_links(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndar
     rank = np.arange(n) - np.repeat(first, np.diff(np.r_[first, n]))
     child = np.flatnonzero(rank > 0)
     parent = child - rank[child] + (rank[child] - 1) // 8
-    x, y = fps[order[child]], fps[order[parent]]
+    x, y = names[order[child]], names[order[parent]]
     apart = x != y
     return x[apart], y[apart]
 
 
-def links(points: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Links a, b between the distinct values of points.fp, so that components are those of all pairs within the radius."""
-    rows = points.select("fp", F.explode(F.array(*shard_keys(radius, blocks))).alias("key"))
+def _dealt(rows: DataFrame, shard_rows: int) -> DataFrame:
+    """Rows (key, name, then the point) dealt by key; a key of more than shard_rows rows is cut into salted parts, and each
+    pair of parts is a shard of its own."""
     large = rows.groupBy("key").count().where(F.col("count") > shard_rows).select(F.col("key").alias("hot"), F.ceil(F.col("count") / shard_rows).cast("int").alias("parts"))
-    # the few shards that are cut come from an aggregate of their own; all others keep their key
-    large = durable(large)
-    rows = rows.join(large, rows.key == large.hot, "left")
-    part = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int")
+    rows = rows.join(durable(large), F.col("key") == F.col("hot"), "left")
+    part = F.pmod(F.xxhash64("name", F.lit(1)), F.col("parts")).cast("int")
     cut = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.xxhash64("key", F.least(part, j), F.greatest(part, j)))
-    rows = rows.select(F.explode(F.when(F.col("parts").isNull(), F.array("key")).otherwise(cut)).alias("key"), "fp").repartition("key")
+    point = [c for c in rows.columns if c not in ("key", "hot", "parts")]
+    return rows.select(F.explode(F.when(F.col("parts").isNull(), F.array("key")).otherwise(cut)).alias("key"), *point).repartition("key")
+
+
+def _linked(rows: DataFrame, radius: int) -> DataFrame:
+    """Links a, b between the names of dealt rows."""
 
     def search(batches):
-        keys, fps = [], []
-        for batch in batches:
-            keys.append(batch.column(0).to_numpy(zero_copy_only=False))
-            fps.append(batch.column(1).to_numpy(zero_copy_only=False))
-        if keys:
-            a, b = shard_links(np.concatenate(keys), np.concatenate(fps).view(np.uint64), radius)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        held = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches if batch.num_rows]
+        if held:
+            keys, names, *point = (np.concatenate(c) for c in zip(*held))
+            a, b = shard_links(keys, np.stack(point, axis=1).view(np.uint64), names, radius)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return rows.mapInArrow(search, "a long, b long").distinct()
 
 
+def links(points: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Links a, b between the distinct values of points.fp, so that components are those of all pairs within the radius."""
+    rows = points.select(F.explode(F.array(*shard_keys(radius, blocks))).alias("key"), F.col("fp").alias("name"), "fp")
+    return _linked(_dealt(rows, shard_rows), radius)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root (its component's smallest node) for every node of the edges a, b, by contraction: each round every
     node takes its smallest neighbour, pointers are doubled, and the edges are redrawn between what they point to."""
@@ -223,3 +257,60 @@ def groups(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFra
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
     """doc_id of each row that has a row with a smaller doc_id in its group; repeated doc_ids count once."""
     return groups(docs, radius, words).where("component_id < doc_id").select("doc_id").distinct()
+
+
+# --- by similarity of shingle sets ------------------------------------------------------------------------------------------
+
+
+def wide_fingerprints(docs: DataFrame, words: int = WIDE_WORDS) -> DataFrame:
+    """doc_id and f0 to f3, the 256 bits, of each row; the bits beyond the first 64 are those of remixed hashes."""
+    planes = WIDE_BITS // 64
+    names = [f"f{i}" for i in range(planes)]
+
+    def scan(batches):
+        for batch in batches:
+            found = np.zeros((planes, batch.num_rows), np.uint64)
+            for i, _, data, offsets in chunks(batch.column(1)):
+                raw = data.tobytes()
+                for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                    h = shingle_hashes(raw[a:b], words)
+                    for p in range(planes if len(h) else 0):
+                        found[p, i + k] = majority(mix(h + np.uint64(p)) if p else h)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in found)], ["doc_id", *names])
+
+    schema = "doc_id long, " + ", ".join(f"{n} long" for n in names)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, schema)
+
+
+def _sampled(points: DataFrame) -> DataFrame:
+    """A row for each point and sample of bits: key, name, f0 to f3."""
+    r = np.random.default_rng(23)
+    samples = [np.sort(r.choice(WIDE_BITS, SAMPLED, replace=False)) for _ in range(TABLES)]
+
+    def spread(batches):
+        for batch in batches:
+            bits = np.stack([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns[1:]], axis=1)
+            bits = np.unpackbits(bits.astype(">u8").view(np.uint8).reshape(batch.num_rows, -1), axis=1)
+            for t, own in enumerate(samples):
+                low = np.packbits(bits[:, own], axis=1).astype(np.int64)
+                key = pa.array((t << 16) | (low[:, 0] << 8) | low[:, 1])
+                yield pa.RecordBatch.from_arrays([key, *batch.columns], ["key", *batch.schema.names])
+
+    return points.mapInArrow(spread, "key long, " + ", ".join(f"{n} long" for n in points.columns))
+
+
+def similar(docs: DataFrame, words: int = WIDE_WORDS, radius: int = WIDE_RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """doc_id and component_id (the smallest doc_id of the group) of each row with a doc_id; empty texts are one group."""
+    marked = durable(wide_fingerprints(docs, words).where("doc_id is not null"))
+    bits = [c for c in marked.columns if c != "doc_id"]
+    points = durable(marked.groupBy(*bits).agg(F.min("doc_id").alias("name")).select("name", *bits))
+    member = components(_linked(_dealt(_sampled(points), shard_rows), radius))
+    points = points.join(member, points["name"] == member["node"], "left").select(*[F.col(c).alias(f"p{c}") for c in bits], F.coalesce("root", "name").alias("component_id"))
+    same = [F.col(c) == F.col(f"p{c}") for c in bits]
+    found = marked.join(durable(points), same[0] & same[1] & same[2] & same[3])
+    return found.select("doc_id", "component_id")
+
+
+def similar_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id of each row whose group has a smaller one; repeated doc_ids count once."""
+    return similar(docs).where("component_id < doc_id").select("doc_id").distinct()

@@ -91,7 +91,7 @@ def test_vantage_tree_finds_all_links():
     from tagweft.llm.text import roots
 
     a, b = np.nonzero(np.bitwise_count(f[:, None] ^ f[None]) <= 4)
-    x, y = simhash.vantage_links(f)
+    x, y = simhash.vantage_links(f[:, None])
     assert (np.bitwise_count(f[x] ^ f[y]) <= 4).sum() >= 1
     assert np.array_equal(roots(len(f), a, b), roots(len(f), x, y))
 
@@ -105,6 +105,32 @@ def test_simhash_odd_rows(spark):
     assert [r.doc_id for r in simhash.near_duplicates(frame(spark, [(1, "a b"), (2, "a b"), (2, "a b")])).collect()] == [2]
 
 
+def jaccard(a, b, k=5):
+    x, y = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_documents(spark, texts):
+    """Copies at a similarity of 0.8 and more are found, and unrelated texts stay apart."""
+    r = random.Random(6)
+    base = [(i, t) for i, t in texts.items() if 100 < len(t.split()) < 2000]
+    rows, planted = [(i, t) for i, t in base], []
+    for k, (i, t) in enumerate(base):
+        w = t.split()
+        for p in r.sample(range(len(w)), max(1, int(len(w) * r.choice([0.005, 0.01, 0.02])))):
+            w[p] = "changed" + str(r.randint(0, 99))
+        rows.append((10_000 + k, " ".join(w)))
+        planted.append((i, 10_000 + k, jaccard(t, " ".join(w))))
+    for shard_rows in (4000, 40):
+        group = {x.doc_id: x.component_id for x in simhash.similar(frame(spark, [*rows, (5, None), (6, ""), (None, "a")]), shard_rows=shard_rows).collect()}
+        near = [group[a] == group[b] for a, b, s in planted if s >= 0.8]
+        assert len(near) > 40 and np.mean(near) > 0.9 and group[5] == group[6]
+    by = {}
+    for i, t in rows:
+        by.setdefault(group[i], []).append(t)
+    assert all(max(jaccard(x, y) for y in own if y is not x) > 0.5 for own in by.values() if 1 < len(own) < 8 for x in own if own.count(x) == 1)
+
+
 # --- pieces ---------------------------------------------------------------------------------------------------------------
 
 
