@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .text import SPACE, chunks, durable, mix, runs, span_hashes, stored
 
 WINDOW, GRAM = 35, 8
-SHARD_WORDS, KEY_SEGMENTS = 100_000, 2000
+SHARD_WORDS, KEY_SEGMENTS = 100_000, 256
 _F1, _F2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
