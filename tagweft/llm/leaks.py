@@ -190,7 +190,7 @@ def _item_shards(items: DataFrame, id_column: str):
 
 def _found(index: Index, texts: pa.Array):
     """(row, item, distance, last word's place) of all rows of a column."""
-    for i, _, data, offsets in chunks(texts, 16 << 20):
+    for i, _, data, offsets in chunks(texts, 4 << 20):
         # words in cache-sized pieces, windows over all of them
         parts, base = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
         own = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(np.ascontiguousarray(data)))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Kept runs (of two generations each) and pairs.
-KEPT, KEPT_PAIRS = 150_000, 1_000_000
+KEPT, KEPT_PAIRS = 100_000, 500_000
 KEPT_LENGTH = 64
 #: Codes of characters that are in no piece begin here, above all ids.
 CHARACTER = 1 << 16
