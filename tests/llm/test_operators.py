@@ -445,6 +445,21 @@ def test_selection_against_plain_counts(spark):
     assert selection.cross_entropy_difference(frame(spark, []), wanted).count() == 0
 
 
+def test_selection_counts_do_not_collide(spark):
+    """Over a corpus with more distinct words than 2**18 slots hold, scores are those of plain counts."""
+    sf = "/root/testdata/sf0.1"
+    marked = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()}
+    rows = [(r.doc_id, ["<s>", *w]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect() if (w := tokens(r.text or ""))]
+    counts = [(Counter(x for _, w in own for x in w), Counter(p for _, w in own for p in zip(w, w[1:]))) for own in ([x for x in rows if x[0] in marked], rows)]
+    shared = len(counts[1][0])
+    assert shared > 1 << 18
+    got = {r.doc_id: r for r in queries.op4_selection(spark, sf).collect()}
+    totals = [one.total() for one, _ in counts]
+    for i, w in rows[::40]:
+        losses = [-sum(np.log(0.7 * two[p] / max(1, one[p[0]]) + 0.3 * (one[p[1]] + 0.5) / (total + 0.5 * shared)) for p in zip(w, w[1:])) / (len(w) - 1) for (one, two), total in zip(counts, totals)]
+        assert got[i].n_words == len(w) - 1 and np.allclose([got[i].target_loss, got[i].background_loss, got[i].difference], [*losses, losses[0] - losses[1]])
+
+
 # --- BM25 -----------------------------------------------------------------------------------------------------------------
 
 
