@@ -14,12 +14,12 @@ trees inside each shard:
 Equal fingerprints are one point, so copies are never paired. A shard emits a tree of links for each component it finds,
 never all its pairs.
 
-`similar` is for a threshold on the similarity of shingle sets, as the pipeline needs it: sets with a Jaccard similarity of
-0.8 differ in 39 of 256 bits on average (the angle between their count vectors is 27 degrees), too far for agreement on
-blocks, and in 10 of 64, too near to chance. It takes WIDE_BITS bits of WIDE_WORDS-word shingles and a radius that nine in
-ten of such pairs are within, while unrelated texts are 128 +- 8 bits apart. Its shards are balls of radius 0 on SAMPLED
-random bits, one for each of TABLES samples; a pair at 39 bits shares one with probability 0.97, a pair at 27 bits (0.9)
-with 0.9999.
+`similar` is for a threshold on the similarity of shingle sets, as the pipeline needs it, and exact: it links every pair of
+texts whose sets of WIDE_WORDS-word shingles have a Jaccard similarity of NEAR or more, and no other pair. Two such sets
+share one of the first few shingles of each (a fifth of the set, and one) in any common order; the order is by frequency,
+so that these prefixes are rare shingles. Texts that share one are candidates and their sets are compared. First each
+text is compared with two others of each shared shingle; then, with all that it isn't grouped with yet, so a large group of
+copies takes no more comparisons than it has texts. Shingles are known by a 64-bit hash.
 
 Null texts count as empty; empty texts have fingerprint zero; repeated rows repeat in the result; a
 null doc_id gets a fingerprint and its group's component_id. An empty table gives no rows. Other columns are ignored.
@@ -31,15 +31,19 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .text import chunks, durable, mix, roots
+from .text import chunks, durable, roots, stored
 
 WORDS, SEED, RADIUS, BLOCKS = 4, 42, 4, 6
-WIDE_WORDS, WIDE_BITS, WIDE_RADIUS = 5, 256, 46
-TABLES, SAMPLED = 48, 16
+WIDE_WORDS = 5
+#: The least similarity, as a fraction.
+NEAR = (4, 5)
+#: Counters of the frequency of shingles.
+SLOTS, _BLOCK = 1 << 20, 1 << 14
 #: Points of a shard above which it is cut into parts.
 SHARD_ROWS = 4000
 LEAF = 32
@@ -262,53 +266,182 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -
 # --- by similarity of shingle sets ------------------------------------------------------------------------------------------
 
 
-def wide_fingerprints(docs: DataFrame, words: int = WIDE_WORDS) -> DataFrame:
-    """doc_id and f0 to f3, the 256 bits, of each row; the bits beyond the first 64 are those of remixed hashes."""
-    planes = WIDE_BITS // 64
-    names = [f"f{i}" for i in range(planes)]
+def shingle_set(text: bytes, words: int = WIDE_WORDS) -> np.ndarray:
+    """Distinct hashes of a text's shingles, in order."""
+    return np.unique(shingle_hashes(text, words))
 
-    def scan(batches):
+
+def _sets(batches, words: int):
+    """(doc_id column, for each text its shingle set and the set's hash, 0 for an empty one) of runs of rows."""
+    for batch in batches:
+        for i, j, data, offsets in chunks(batch.column(1)):
+            raw = data.tobytes()
+            sets = [shingle_set(raw[a:b], words) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            nodes = np.array([xxh64_intdigest(x.tobytes(), SEED) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
+            yield batch.column(0).slice(i, j - i), sets, nodes
+
+
+def _frequencies(docs: DataFrame, words: int) -> np.ndarray:
+    """How many texts have a shingle of each slot. Only the order of shingles depends on it, never what is found."""
+
+    def count(batches):
+        sums = np.zeros(SLOTS, np.int64)
+        for _, sets, _ in _sets(batches, words):
+            sums += np.bincount((np.concatenate(sets) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        for k in range(0, SLOTS, _BLOCK):
+            if sums[k : k + _BLOCK].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([sums[k : k + _BLOCK].tobytes()], pa.binary())], ["block", "counts"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            found = np.zeros((planes, batch.num_rows), np.uint64)
-            for i, _, data, offsets in chunks(batch.column(1)):
-                raw = data.tobytes()
-                for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-                    h = shingle_hashes(raw[a:b], words)
-                    for p in range(planes if len(h) else 0):
-                        found[p, i + k] = majority(mix(h + np.uint64(p)) if p else h)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in found)], ["doc_id", *names])
+            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[block] = sums.get(block, 0) + np.frombuffer(raw, np.int64)
+        for block, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["block", "counts"])
+
+    schema = "block int, counts binary"
+    total = np.zeros(SLOTS, np.int64)
+    for row in docs.mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).toLocalIterator():
+        total[row.block : row.block + _BLOCK] = np.frombuffer(row.counts, np.int64)
+    return total.astype(np.uint32) if total.max() < 1 << 32 else total
+
+
+def _prefixes(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, node, and the prefix: the shingles of which two sets at the threshold share one, the rarest first."""
+    shipped = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, words))
+
+    def scan(batches):
+        seen = shipped.value
+        for ids, sets, nodes in _sets(batches, words):
+            short = []
+            for x in sets:
+                n = len(x) - -(-len(x) * NEAR[0] // NEAR[1]) + 1 if len(x) else 0
+                order = np.lexsort((x, seen[(x & np.uint64(SLOTS - 1)).astype(np.int64)]))
+                short.append(x[order[:n]].view(np.int64))
+            ends = np.cumsum([0, *map(len, short)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(short)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(nodes), pa.array([len(x) for x in sets], pa.int64()), lists], ["doc_id", "node", "size", "prefix"])
+
+    return docs.mapInArrow(scan, "doc_id long, node long, size long, prefix array<long>")
+
+
+def _grouped(batches, columns: int):
+    """All rows as arrays, in order of token, size, node, without repeats; bounds of the tokens."""
+    held = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches if batch.num_rows]
+    if not held:
+        return [np.zeros(0, np.int64)] * columns, np.zeros(1, np.int64)
+    rows = [np.concatenate(c) for c in zip(*held)]
+    order = np.lexsort((rows[1], rows[2], rows[0]))
+    token, node = rows[0][order], rows[1][order]
+    order = order[np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]]
+    rows = [c[order] for c in rows]
+    return rows, np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1], True])
 
-    schema = "doc_id long, " + ", ".join(f"{n} long" for n in names)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, schema)
 
+def _near_sizes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return NEAR[1] * np.minimum(a, b) >= NEAR[0] * np.maximum(a, b)
 
-def _sampled(points: DataFrame) -> DataFrame:
-    """A row for each point and sample of bits: key, name, f0 to f3."""
-    r = np.random.default_rng(23)
-    samples = [np.sort(r.choice(WIDE_BITS, SAMPLED, replace=False)) for _ in range(TABLES)]
 
-    def spread(batches):
+def _batch(*columns, names):
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+
+def _shared(tokens: DataFrame) -> DataFrame:
+    """Rows token, node, size of the tokens that several nodes have."""
+
+    def keep(batches):
+        rows, bounds = _grouped(batches, 3)
+        kept = np.repeat(np.diff(bounds) > 1, np.diff(bounds))
+        yield _batch(*(c[kept] for c in rows), names=["token", "node", "size"])
+
+    return tokens.repartition("token").mapInArrow(keep, "token long, node long, size long")
+
+
+def _first_pairs(shared: DataFrame) -> DataFrame:
+    """Of each token, each node with the one before it and with the first: as many pairs as rows."""
+
+    def emit(batches):
+        (token, node, size), bounds = _grouped(batches, 3)
+        at = np.arange(1, max(1, len(node)))
+        lead = np.repeat(bounds[:-1], np.diff(bounds))[1:]
+        at, lead = at[lead != at], lead[lead != at]
+        a, b = np.r_[at, at], np.r_[at - 1, lead]
+        ok = _near_sizes(size[a], size[b])
+        a, b = node[a[ok]], node[b[ok]]
+        yield _batch(np.minimum(a, b), np.maximum(a, b), names=["a", "b"])
+
+    return shared.repartition("token").mapInArrow(emit, "a long, b long").distinct()
+
+
+def _other_pairs(shared: DataFrame, member: DataFrame) -> DataFrame:
+    """All pairs of nodes of a token that aren't in one component yet."""
+    rows = shared.join(member.select(F.col("node").alias("m"), "root").hint("merge"), F.col("node") == F.col("m"), "left")
+    rows = rows.select("token", "node", "size", F.coalesce("root", "node").alias("root"))
+
+    def emit(batches):
+        (token, node, size, root), bounds = _grouped(batches, 4)
+        for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            if j - i < 3 or (root[i:j] == root[i]).all():
+                continue
+            for k in range(i, j - 1):
+                end = i + int(np.searchsorted(size[i:j], NEAR[1] * size[k] // NEAR[0], "right"))
+                other = np.arange(k + 1, max(k + 1, end))
+                other = other[root[other] != root[k]]
+                if len(other):
+                    yield _batch(np.minimum(node[k], node[other]), np.maximum(node[k], node[other]), names=["a", "b"])
+
+    return rows.repartition("token").mapInArrow(emit, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The pairs whose sets reach the threshold."""
+    one, two = (texts.select(F.col("node").alias(f"n{k}"), F.col("text").alias(f"h{k}")) for k in (1, 2))
+    rows = pairs.join(one.hint("merge"), F.col("a") == F.col("n1")).select("a", "b", "h1").join(two.hint("merge"), F.col("b") == F.col("n2"))
+
+    def test(batches):
         for batch in batches:
-            bits = np.stack([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns[1:]], axis=1)
-            bits = np.unpackbits(bits.astype(">u8").view(np.uint8).reshape(batch.num_rows, -1), axis=1)
-            for t, own in enumerate(samples):
-                low = np.packbits(bits[:, own], axis=1).astype(np.int64)
-                key = pa.array((t << 16) | (low[:, 0] << 8) | low[:, 1])
-                yield pa.RecordBatch.from_arrays([key, *batch.columns], ["key", *batch.schema.names])
-
-    return points.mapInArrow(spread, "key long, " + ", ".join(f"{n} long" for n in points.columns))
-
-
-def similar(docs: DataFrame, words: int = WIDE_WORDS, radius: int = WIDE_RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """doc_id and component_id (the smallest doc_id of the group) of each row with a doc_id; empty texts are one group."""
-    marked = durable(wide_fingerprints(docs, words).where("doc_id is not null"))
-    bits = [c for c in marked.columns if c != "doc_id"]
-    points = durable(marked.groupBy(*bits).agg(F.min("doc_id").alias("name")).select("name", *bits))
-    member = components(_linked(_dealt(_sampled(points), shard_rows), radius))
-    points = points.join(member, points["name"] == member["node"], "left").select(*[F.col(c).alias(f"p{c}") for c in bits], F.coalesce("root", "name").alias("component_id"))
-    same = [F.col(c) == F.col(f"p{c}") for c in bits]
-    found = marked.join(durable(points), same[0] & same[1] & same[2] & same[3])
-    return found.select("doc_id", "component_id")
+            near = np.zeros(batch.num_rows, bool)
+            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+                x, y = (shingle_set(v.as_buffer().to_pybytes(), words) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near[k] = NEAR[1] * both >= NEAR[0] * (len(x) + len(y) - both)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near))
+
+    return rows.select("a", "b", "h1", "h2").mapInArrow(test, "a long, b long")
+
+
+def similar(docs: DataFrame, words: int = WIDE_WORDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """doc_id and component_id (the smallest doc_id of the group) of each row with a doc_id; empty texts are one group.
+    shard_rows is without effect."""
+    gc = docs.sparkSession.sparkContext._jvm.System.gc  # lets Spark remove the shuffle files of what is stored
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    made = stored(_prefixes(docs, words))
+    marked = made.select("doc_id", "node")
+    points = durable(marked.groupBy("node").agg(F.min("doc_id").alias("least")))
+    shared = stored(_shared(made.select(F.explode("prefix").alias("token"), "node", "size")))
+    gc()
+
+    # the text of one document of each node that shares a token
+    needed = shared.select(F.col("node").alias("n")).distinct().join(points.hint("merge"), F.col("n") == F.col("node")).select("node", F.col("least").alias("own"))
+    texts = docs.join(needed.hint("merge"), docs.doc_id == needed.own).select("node", "text")
+
+    def own(batches):
+        for batch in batches:
+            at = 0
+            for wanted, _, nodes in _sets([batch], words):
+                yield batch.slice(at, len(nodes)).filter(pc.equal(wanted, pa.array(nodes)))
+                at += len(nodes)
+
+    sets = stored(texts.mapInArrow(own, "node long, text string"))
+    gc()
+    links = durable(_verified(durable(_first_pairs(shared)), sets, words))
+    more = durable(_other_pairs(shared, components(links)))
+    member = components(links.union(_verified(more, sets, words)))
+    points = points.join(member.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    lowest = points.groupBy("root").agg(F.min("least").alias("component_id"))
+    points = durable(points.join(lowest, "root").select(F.col("node").alias("n2"), "component_id"))
+    return marked.join(points, marked["node"] == points["n2"]).select("doc_id", "component_id")
 
 
 def similar_duplicates(docs: DataFrame) -> DataFrame:

@@ -131,6 +131,32 @@ def test_similar_documents(spark, texts):
     assert all(max(jaccard(x, y) for y in own if y is not x) > 0.3 for own in by.values() if 1 < len(own) < 8 for x in own if own.count(x) == 1)
 
 
+def test_similar_is_exact(spark):
+    """Groups are the components of all pairs at 0.8 or more, around the threshold and with a much repeated line."""
+    r = random.Random(8)
+    rows, line = [], " ".join(f"line{k}" for k in range(9))
+    for k in range(60):
+        base = [f"w{r.randint(0, 9999)}" for _ in range(r.choice([5, 30, 120]))]
+        rows.append(" ".join(base))
+        for _ in range(4):
+            w = list(base)
+            for p in r.sample(range(len(w)), max(1, int(len(w) * r.choice([0.01, 0.02, 0.025, 0.03])))):
+                w[p] = f"x{r.randint(0, 999)}"
+            rows.append(" ".join(w))
+        rows.append(" ".join([*base[:12], *[line] * 30]))
+    got = dict(simhash.similar(frame(spark, list(enumerate(rows)))).collect())
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    up = list(range(len(rows)))
+    for _ in rows:
+        before = list(up)
+        for i, j in near:
+            up[i] = up[j] = min(up[i], up[j])
+        if up == before:
+            break
+    assert len(near) > 30 and got == dict(enumerate(up))
+
+
 # --- pieces ---------------------------------------------------------------------------------------------------------------
 
 
