@@ -1,7 +1,8 @@
 """Secrets: fixed patterns, and an assignment-aware lexer with constant propagation.
 
 The lexer reads name-literal pairs from source and configuration syntax: `name = "x"`, `name: x`, `"name": "x"`,
-`name := 'x'`, `NAME=x`, with string literals joined by `+` or by standing side by side. A literal given to a name is a
+`name := 'x'`, `NAME=x`, with string literals joined by `+` or by standing side by side,
+of any length; triple quotes, template literals and YAML block scalars go over lines. A literal given to a name is a
 constant of that name; a right side that is a known name takes over its constant. Each constant is scored by how
 sensitive the names are that it reaches and by how much it looks like a generated value. What reaches THRESHOLD is a span
 of kind `literal` at the place where the literal stands, unless it overlaps a span of the fixed patterns.
@@ -40,9 +41,11 @@ PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{?.*|%.*%|change_?me.*|exa
 
 _OPERATOR = re.compile(r"[:=]")
 _NAME = re.compile(r"""([A-Za-z_][A-Za-z0-9_.-]{0,63})["'\]]?[ \t]{0,8}$""")
-_STRING = re.compile(r"""[ \t]{0,8}(?:"((?:[^"\\\n]|\\.){0,400})"|'((?:[^'\\\n]|\\.){0,400})')""")
-_JOIN = re.compile(r"[ \t]{0,8}\+?[ \t]{0,8}(?=[\"'])")
-_BARE = re.compile(r"""[ \t]{0,8}([A-Za-z0-9_+/=.~!@#$%^&*:-]{1,200})""")
+_STRING = re.compile(r"""(?s)[ \t]{0,8}(?:"{3}((?:[^"\\]|\\.|"(?!""))*+)"{3}|'{3}((?:[^'\\]|\\.|'(?!''))*+)'{3}|`((?:[^`\\]|\\.)*+)`|"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)')""")
+_JOIN = re.compile(r"[ \t]{0,8}\+?[ \t]{0,8}(?=[\"'`])")
+_BLANK = re.compile(r"[ \t]{0,8}")
+_BARE = re.compile(r"[A-Za-z0-9_+/=.~!@#$%^&*:-]+")
+_BLOCK = re.compile(r"[ \t]{0,8}[|>][-+0-9]{0,2}[ \t]*\n")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -63,10 +66,21 @@ def looks_generated(value: str) -> float:
     return min(1.0, entropy / 3.0) * min(1.0, 0.4 + 0.3 * kinds)
 
 
-def constants(text: str) -> list[tuple[str, str, int, int]]:
-    """(name, value, start, end) for each literal and each name that it reaches, in the order of the assignments."""
-    known: dict[str, tuple[str, int, int]] = {}
+def _block(text: str, name: int, at: int) -> tuple[int, int]:
+    """Start and end of a YAML block scalar: lines that are indented more than the line of its name, or blank."""
+    line = text.rfind("\n", 0, name) + 1
+    depth = len(text[line:name]) - len(text[line:name].lstrip(" "))
+    end = re.compile(rf"(?:[ ]{{{depth + 1}}}[^\n]*+(?:\n|$)|[ \t]*+\n)*+").match(text, at).end()
+    inner = text[at:end]
+    return at + len(inner) - len(inner.lstrip()), at + len(inner.rstrip())
+
+
+def constants(text: str) -> list[tuple[str, str | None, int, int]]:
+    """(name, value, start, end) for each literal and each name that it reaches, in the order of the assignments. The value
+    is None where it is text[start:end] as it stands: runs like a=b=c are values of each other, and copies would add up."""
+    known: dict[str, tuple[str | None, int, int]] = {}
     found = []
+    over = 0  # the end of the last run of unquoted characters
     for m in _OPERATOR.finditer(text):
         p = m.start()
         after = text[p + 1 : p + 2]
@@ -82,7 +96,7 @@ def constants(text: str) -> list[tuple[str, str, int, int]]:
             continue
         value, start, at = "", None, p + 1
         while s := _STRING.match(text, at):
-            k = 1 if s[1] is not None else 2
+            k = s.lastindex
             value += s[k]
             start, at = s.start(k) if start is None else start, s.end()
             end = s.end(k)
@@ -91,13 +105,20 @@ def constants(text: str) -> list[tuple[str, str, int, int]]:
                 break
             at = joined.end()
         if start is None:
-            s = _BARE.match(text, at)
-            if not s:
-                continue
-            value, start, end = s[1].rstrip(".,:"), s.start(1), s.start(1) + len(s[1].rstrip(".,:"))
-            if value in known:  # the name takes over the other's constant
-                value, start, end = known[value]
-        if value:
+            value = None
+            if m[0] == ":" and (s := _BLOCK.match(text, at)):
+                start, end = _block(text, name.start(), s.end())
+            else:
+                start = _BLANK.match(text, at).end()
+                if start >= over:
+                    s = _BARE.match(text, start)
+                    over = s.end() if s else start
+                end = over
+                while end > start and text[end - 1] in ".,:":
+                    end -= 1
+                if end - start <= 64 and text[start:end] in known:  # the name takes over the other's constant
+                    value, start, end = known[text[start:end]]
+        if value or value is None and end > start:
             known[name[1]] = (value, start, end)
             found.append((name[1], value, start, end))
     return found
@@ -113,14 +134,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def literal_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Of the lexer, apart from the spans given and from each other."""
-    best: dict[tuple[int, int], float] = {}
+    best: dict[tuple[int, int], tuple[float, str | None]] = {}
     for name, value, start, end in constants(text):
-        score = name_weight(name) * looks_generated(value)
-        best[start, end] = max(best.get((start, end), 0.0), score)
+        weight = name_weight(name)
+        if weight >= THRESHOLD and weight > best.get((start, end), (0.0, None))[0]:
+            best[start, end] = (weight, value)
     found: list[tuple[int, int, int]] = []
     last = 0
-    for (start, end), score in sorted(best.items()):
-        if score >= THRESHOLD and start >= last and not any(a < end and start < b for a, _, b in base):
+    for (start, end), (weight, value) in sorted(best.items(), key=lambda x: x[0]):
+        if start < last or any(a < end and start < b for a, _, b in base):
+            continue
+        if weight * looks_generated(text[start:end] if value is None else value) >= THRESHOLD:
             found.append((start, 3, end))
             last = end
     return found

@@ -252,6 +252,22 @@ def test_secrets_lexer():
     assert ("é" + SECRETS)[secrets.base_spans("é" + SECRETS)[0][0]] == "p"  # offsets are code points
 
 
+def test_secrets_long_and_multiline_literals():
+    r = random.Random(2)
+    key = "".join(r.choice("ABCDEFabcdef0123456789+/") for _ in range(5000))
+    lines = "\n".join(key[i : i + 64] for i in range(0, 640, 64))
+    block = lines.replace("\n", "\n    ")
+    for text, want in (
+        (f'{{"private_key": "{key}"}}', key),
+        (f"db_pwd = {key} # end", key),
+        (f'credentials = """{lines}"""', lines),
+        (f"db_pwd = `{lines}`", lines),
+        (f"  private_key: |\n    {block}\n  name: x\n", block),
+    ):
+        assert [text[a:b] for a, _, b in secrets.literal_spans(text, [])] == [want]
+    secrets.literal_spans("a=" * 200_000, [])  # linear
+
+
 def test_secrets_rows(spark, docs):
     got = {r.doc_id: r for r in queries.op2_secrets(spark, SF).collect()}
     for r in docs.collect():
