@@ -44,6 +44,8 @@ WIDE_WORDS = 5
 NEAR = (4, 5)
 #: Counters of the frequency of shingles.
 SLOTS, _BLOCK = 1 << 20, 1 << 14
+#: Bits of the sketch of a set.
+SKETCH_BITS = 1024
 #: Points of a shard above which it is cut into parts.
 SHARD_ROWS = 4000
 LEAF = 32
@@ -271,6 +273,13 @@ def shingle_set(text: bytes, words: int = WIDE_WORDS) -> np.ndarray:
     return np.unique(shingle_hashes(text, words))
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """For each of SKETCH_BITS slots, whether an odd number of the hashes falls there. The sketches of two sets differ in at
+    most as many bits as the sets do in members."""
+    odd = np.bincount((hashes >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _sets(batches, words: int):
     """(doc_id column, for each text its shingle set and the set's hash, 0 for an empty one) of runs of rows."""
     for batch in batches:
@@ -321,9 +330,9 @@ def _prefixes(docs: DataFrame, words: int) -> DataFrame:
                 short.append(x[order[:n]].view(np.int64))
             ends = np.cumsum([0, *map(len, short)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(short)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(nodes), pa.array([len(x) for x in sets], pa.int64()), lists], ["doc_id", "node", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(nodes), pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x) for x in sets], pa.binary()), lists], ["doc_id", "node", "size", "sketch", "prefix"])
 
-    return docs.mapInArrow(scan, "doc_id long, node long, size long, prefix array<long>")
+    return docs.mapInArrow(scan, "doc_id long, node long, size long, sketch binary, prefix array<long>")
 
 
 def _grouped(batches, columns: int):
@@ -374,24 +383,72 @@ def _first_pairs(shared: DataFrame) -> DataFrame:
     return shared.repartition("token").mapInArrow(emit, "a long, b long").distinct()
 
 
-def _other_pairs(shared: DataFrame, member: DataFrame) -> DataFrame:
-    """All pairs of nodes of a token that aren't in one component yet."""
-    rows = shared.join(member.select(F.col("node").alias("m"), "root").hint("merge"), F.col("node") == F.col("m"), "left")
-    rows = rows.select("token", "node", "size", F.coalesce("root", "node").alias("root"))
+def _rooted(rows: DataFrame, member: DataFrame) -> DataFrame:
+    """The rows with the root of their node's component."""
+    own = rows.join(member.select(F.col("node").alias("m"), F.col("root").alias("r")).hint("merge"), F.col("node") == F.col("m"), "left")
+    return own.select(*rows.columns, F.coalesce("r", "node").alias("root"))
+
+
+def _open(shared: DataFrame, member: DataFrame) -> DataFrame:
+    """The rows of tokens whose nodes aren't all in one component yet."""
+    rows = _rooted(shared, member)
+    apart = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(F.col("token").alias("t"))
+    return rows.join(apart.hint("merge"), F.col("token") == F.col("t"), "left_semi").select("token", "node", "size")
+
+
+def near_pairs(size: np.ndarray, sketches: np.ndarray, root: np.ndarray, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows, in order of size, with different roots whose sizes and sketches allow the threshold: all of them, or
+    a forest of them that joins the same rows."""
+    label = root.copy()
+    found: list = []
+    for i in range(0, len(size), 64):
+        own = slice(i, min(i + 64, len(size)))
+        end = int(np.searchsorted(size, NEAR[1] * size[own.stop - 1] // NEAR[0], "right"))
+        a, b = size[own][:, None], size[None, i:end]
+        ok = (label[own][:, None] != label[None, i:end]) & (NEAR[1] * a >= NEAR[0] * b) & (np.arange(i, own.stop)[:, None] < np.arange(i, end)[None])
+        p, q = np.nonzero(ok)
+        for k in range(0, len(p), 1 << 16):
+            x, y = p[k : k + (1 << 16)] + i, q[k : k + (1 << 16)] + i
+            differ = np.bitwise_count(sketches[x] ^ sketches[y]).sum(axis=1, dtype=np.int64)
+            # sets of similarity s differ in at most (1 - s) / (1 + s) of the sum of their sizes
+            good = (NEAR[1] + NEAR[0]) * differ <= (NEAR[1] - NEAR[0]) * (size[x] + size[y])
+            x, y = x[good], y[good]
+            if forest and len(x):
+                low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+                order = np.lexsort((high, low))
+                order = order[np.r_[True, (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)]]
+                for u, v in zip(x[order].tolist(), y[order].tolist()):
+                    if label[u] != label[v]:
+                        label[label == label[v]] = label[u]
+                        found.append((np.array([u]), np.array([v])))
+            elif len(x):
+                found.append((x, y))
+    if not found:
+        return np.zeros(0, int), np.zeros(0, int)
+    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+
+
+def _across(rows: DataFrame, member: DataFrame, forest: bool, shard_rows: int) -> DataFrame:
+    """Pairs of open rows (token, node, size, sketch) of a token that aren't in one component and that near_pairs finds."""
+    rows = _rooted(rows, member).select(F.col("token").alias("key"), F.col("node").alias("name"), "size", "sketch", "root")
 
     def emit(batches):
-        (token, node, size, root), bounds = _grouped(batches, 4)
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        key, node, size, root = (table.column(c).to_numpy() for c in ("key", "name", "size", "root"))
+        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(key), -1)
+        order = np.lexsort((node, size, key))
+        key, node, size, root, bits = (c[order] for c in (key, node, size, root, bits))
+        bounds = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
         for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            if j - i < 3 or (root[i:j] == root[i]).all():
-                continue
-            for k in range(i, j - 1):
-                end = i + int(np.searchsorted(size[i:j], NEAR[1] * size[k] // NEAR[0], "right"))
-                other = np.arange(k + 1, max(k + 1, end))
-                other = other[root[other] != root[k]]
-                if len(other):
-                    yield _batch(np.minimum(node[k], node[other]), np.maximum(node[k], node[other]), names=["a", "b"])
+            if j - i > 1 and (root[i:j] != root[i]).any():
+                x, y = near_pairs(size[i:j], bits[i:j], root[i:j], forest)
+                if len(x):
+                    yield _batch(np.minimum(node[i + x], node[i + y]), np.maximum(node[i + x], node[i + y]), names=["a", "b"])
 
-    return rows.repartition("token").mapInArrow(emit, "a long, b long").distinct()
+    return _dealt(rows, shard_rows).mapInArrow(emit, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -412,8 +469,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
 
 
 def similar(docs: DataFrame, words: int = WIDE_WORDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """doc_id and component_id (the smallest doc_id of the group) of each row with a doc_id; empty texts are one group.
-    shard_rows is without effect."""
+    """doc_id and component_id (the smallest doc_id of the group) of each row with a doc_id; empty texts are one group."""
     gc = docs.sparkSession.sparkContext._jvm.System.gc  # lets Spark remove the shuffle files of what is stored
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     made = stored(_prefixes(docs, words))
@@ -436,8 +492,14 @@ def similar(docs: DataFrame, words: int = WIDE_WORDS, shard_rows: int = SHARD_RO
     sets = stored(texts.mapInArrow(own, "node long, text string"))
     gc()
     links = durable(_verified(durable(_first_pairs(shared)), sets, words))
-    more = durable(_other_pairs(shared, components(links)))
-    member = components(links.union(_verified(more, sets, words)))
+    member = components(links)
+    sketches = made.groupBy("node").agg(F.first("sketch").alias("sketch")).withColumnRenamed("node", "s")
+    open_ = _open(shared, member)
+    open_ = stored(open_.join(sketches.hint("merge"), F.col("node") == F.col("s")).select("token", "node", "size", "sketch"))
+    for forest in (True, False):
+        more = durable(_across(open_, member, forest, shard_rows))
+        links = durable(links.union(_verified(more, sets, words)))
+        member = components(links)
     points = points.join(member.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     lowest = points.groupBy("root").agg(F.min("least").alias("component_id"))
     points = durable(points.join(lowest, "root").select(F.col("node").alias("n2"), "component_id"))
