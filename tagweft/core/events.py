@@ -1,8 +1,14 @@
 """SAX-like events without a tree, and rewriting by tokens.
 
-The parser's feedback to the tokenizer is guessed from a stack of namespaces, so events differ from the tree in known ways:
-`noscript` is always raw text, a breakout tag leaves one level of foreign content, and a first line feed is skipped after
-<pre> even if tags come between. Text is one event between two others, whatever its length.
+The parser's feedback to the tokenizer is guessed from the tags alone, so events differ from the tree in known ways:
+
+* `noscript` is always raw text.
+* A breakout tag leaves one level of foreign content, and is no HTML tag yet: no text mode and no line feed depend on it.
+* A self-closing `svg` or `math` opens foreign content that only its end tag leaves; `</p>` and `</br>` don't leave it.
+* The end of `annotation-xml` is only noticed if the end tag itself has the encoding.
+* A first line feed is skipped after <pre> even if tags come between.
+
+Text is one event between two others, whatever its length.
 """
 
 from __future__ import annotations
@@ -27,75 +33,77 @@ class Event:
         self.attrs, self.self_closing = [], False
 
 
-class Feedback:
-    """What the parser would tell the tokenizer."""
+#: Tags whose start opens foreign content, and at whose end it is over.
+_ROOTS = {"svg": SVG, "math": MATHML}
+#: Elements of foreign content that hold HTML.
+_HOLD_HTML = {SVG: ("foreignObject", "desc", "title"), MATHML: ("mi", "mo", "mn", "ms", "mtext")}
+_LEAVE = "leave"
+
+
+def _written(space: str, name: str) -> str:
+    """A tag's name as its namespace writes it."""
+    return SVG_TAGS.get(name, name) if space == SVG else name
+
+
+def _holds_html(space: str, name: str, attrs: list) -> bool:
+    if space == MATHML and name == "annotation-xml":
+        return any(a[0] == "encoding" and lower(a[1]) in ("text/html", "application/xhtml+xml") for a in attrs)
+    return _written(space, name) in _HOLD_HTML.get(space, ())
+
+
+def _effect(kind: str, name: str, attrs: list, self_closing: bool, here: str, around: str) -> str | None:
+    """What a tag does to the namespace `here`, which stands in `around`: it enters the one returned, _LEAVEs, or neither."""
+    if kind == END:
+        over = _holds_html(around, name, attrs) if here == HTML else _ROOTS.get(name) == here
+        return _LEAVE if over else None
+    if name in _ROOTS:
+        return _ROOTS[name]
+    if here == HTML:
+        return None
+    if name in BREAKOUT or name == "font" and any(a[0] in ("color", "face", "size") for a in attrs):
+        return _LEAVE
+    return HTML if not self_closing and _holds_html(here, name, attrs) else None
+
+
+def _foreign_attribute(space: str, a) -> tuple:
+    if a[0] in FOREIGN_ATTRIBUTES:
+        prefix, name, own = FOREIGN_ATTRIBUTES[a[0]]
+        return name, a[1], prefix, own
+    name = SVG_ATTRIBUTES.get(a[0], a[0]) if space == SVG else "definitionURL" if a[0] == "definitionurl" else a[0]
+    return name, a[1], "", ""
+
+
+class Guess:
+    """What the tree would tell the tokenizer, guessed from the tags alone."""
 
     def __init__(self, tokens: Tokenizer):
-        self.tokens = tokens
-        self.stack: list[str] = []
-        self.foreign = False
-        self.skip_newline = False
-
-    def _enter(self, ns: str) -> None:
-        self.stack.insert(0, ns)
-        self.foreign = self.tokens.foreign = ns != HTML
-
-    def _leave(self) -> None:
-        self.stack.pop(0)
-        self.foreign = self.tokens.foreign = bool(self.stack) and self.stack[0] != HTML
-
-    def start(self, name: str, attrs: list, self_closing: bool) -> tuple[str, list]:
-        attrs = [(a[0], a[1], "", "") for a in attrs]
-        if name == "svg":
-            self._enter(SVG)
-        elif name == "math":
-            self._enter(MATHML)
-        if not self.foreign:
-            if name in ("pre", "textarea", "listing"):
-                self.skip_newline = True
-            elif name == "image":
-                name = "img"
-            if name in _TEXT_MODES:
-                self.tokens.mode = _TEXT_MODES[name]
-                if name == "plaintext":
-                    self.tokens.mode = PLAINTEXT
-            return name, attrs
-        ns = self.stack[0]
-        if name in BREAKOUT or name == "font" and any(a[0] in ("color", "face", "size") for a in attrs):
-            self._leave()
-            return name, attrs
-        if ns == MATHML:
-            attrs = [("definitionURL" if n == "definitionurl" else n, v, p, s) for n, v, p, s in attrs]
-        else:
-            attrs = [(SVG_ATTRIBUTES.get(n, n), v, p, s) for n, v, p, s in attrs]
-        attrs = [(FOREIGN_ATTRIBUTES[n][1], v, FOREIGN_ATTRIBUTES[n][0], FOREIGN_ATTRIBUTES[n][2]) if n in FOREIGN_ATTRIBUTES else (n, v, p, s) for n, v, p, s in attrs]
-        own = SVG_TAGS.get(name, name) if ns == SVG else name
-        if self_closing and name in ("svg", "math"):
-            self._leave()
-        elif not self_closing and self._integration(own, ns, attrs):
-            self._enter(HTML)
-        return own, attrs
-
-    def _integration(self, name: str, ns: str, attrs: list) -> bool:
-        if ns == SVG:
-            return name in ("foreignObject", "desc", "title")
-        if name == "annotation-xml":
-            return any(n == "encoding" and lower(v) in ("text/html", "application/xhtml+xml") for n, v, _, _ in attrs)
-        return name in ("mi", "mo", "mn", "ms", "mtext")
-
-    def end(self, name: str) -> str:
-        if not self.foreign:
-            below = self.stack[1] if len(self.stack) > 1 else None
-            own = SVG_TAGS.get(name, name) if below == SVG else name
-            if below is not None and below != HTML and (own in ("foreignObject", "desc", "title") if below == SVG else name in ("mi", "mo", "mn", "ms", "mtext", "annotation-xml")):
-                self._leave()
-                return own
-            return name
-        ns = self.stack[0]
-        own = SVG_TAGS.get(name, name) if ns == SVG else name
-        if name == "svg" and ns == SVG or name == "math" and ns == MATHML or name in ("p", "br"):
-            self._leave()
-        return own
+        self.tokens, self.spaces, self.skip_newline = tokens, [HTML], False
+
+    @property
+    def foreign(self) -> bool:
+        return self.spaces[-1] != HTML
+
+    def tag(self, kind: str, name: str, attrs: list, self_closing: bool) -> tuple[str, list]:
+        """The name and attributes of the event."""
+        here, around = self.spaces[-1], self.spaces[-2] if len(self.spaces) > 1 else HTML
+        effect = _effect(kind, name, attrs, self_closing, here, around)
+        if effect == _LEAVE:
+            self.spaces.pop()
+        elif effect:
+            self.spaces.append(effect)
+        self.tokens.foreign = self.foreign
+        plain = [(a[0], a[1], "", "") for a in attrs]
+        if kind == END:
+            return _written(self.spaces[-1], name), plain
+        if effect == _LEAVE:
+            return name, plain
+        space = _ROOTS.get(name, here)
+        if space != HTML:
+            return _written(space, name), [_foreign_attribute(space, a) for a in attrs]
+        self.skip_newline = self.skip_newline or name in ("pre", "textarea", "listing")
+        if name in _TEXT_MODES:
+            self.tokens.mode = PLAINTEXT if name == "plaintext" else _TEXT_MODES[name]
+        return "img" if name == "image" else name, plain
 
 
 def events(html: str, raw_newlines: bool = False) -> tuple[Input, Iterator[Event]]:
@@ -104,22 +112,22 @@ def events(html: str, raw_newlines: bool = False) -> tuple[Input, Iterator[Event
 
     def run() -> Iterator[Event]:
         tokens = Tokenizer(source.text)
-        feedback = Feedback(tokens)
+        guess = Guess(tokens)
         text: Event | None = None
         while True:
             token = tokens.next()
             if token.kind == TEXT:
                 value = token.text
-                if feedback.foreign:
+                if guess.foreign:
                     value = value.replace("\0", "�")
-                if feedback.skip_newline and not raw_newlines:
+                if guess.skip_newline and not raw_newlines:
                     # white space that doesn't begin with a line feed leaves the flag as it is
                     if value.startswith("\n"):
-                        value, feedback.skip_newline = value[1:], False
+                        value, guess.skip_newline = value[1:], False
                     elif value.strip("\t\n\f\r "):
-                        feedback.skip_newline = False
+                        guess.skip_newline = False
                 else:
-                    feedback.skip_newline = False
+                    guess.skip_newline = False
                 if text is None:
                     text = Event(TEXT, token.start, token.end)
                     text.text, text.last_tag = value, tokens.last_start_tag
@@ -134,12 +142,10 @@ def events(html: str, raw_newlines: bool = False) -> tuple[Input, Iterator[Event
                 return
             event = Event(token.kind, token.start, token.end)
             event.last_tag = tokens.last_start_tag
-            if token.kind == START:
-                event.name, event.attrs = feedback.start(token.name, token.attrs, token.self_closing)
-                event.self_closing = token.self_closing
-            elif token.kind == END:
-                event.name = feedback.end(token.name)
+            if token.kind in (START, END):
+                event.name, attrs = guess.tag(token.kind, token.name, token.attrs, token.self_closing)
                 event.self_closing = token.self_closing
+                event.attrs = attrs if token.kind == START else []
             elif token.kind == COMMENT:
                 event.text = token.data
             elif token.kind == DOCTYPE:

@@ -138,26 +138,68 @@ QUIRKS_IDS = frozenset(["-//w3o//dtd w3 html strict 3.0//en//", "-/w3c/dtd html
 QUIRKS_SYSTEM_ID = "http://www.ibm.com/data/dtd/v11/ibmxhtml1-transitional.dtd"
 LEGACY_SYSTEM_ID = "about:legacy-compat"
 
-ERROR_CODES = tuple(
-    """control-character-in-input-stream noncharacter-in-input-stream surrogate-in-input-stream
-    non-void-html-element-start-tag-with-trailing-solidus end-tag-with-attributes end-tag-with-trailing-solidus
-    unexpected-solidus-in-tag unexpected-null-character unexpected-question-mark-instead-of-tag-name
-    invalid-first-character-of-tag-name unexpected-equals-sign-before-attribute-name missing-end-tag-name
-    unexpected-character-in-attribute-name unknown-named-character-reference missing-semicolon-after-character-reference
-    unexpected-character-after-doctype-system-identifier unexpected-character-in-unquoted-attribute-value
-    eof-before-tag-name eof-in-tag missing-attribute-value missing-whitespace-between-attributes
-    missing-whitespace-after-doctype-public-keyword missing-whitespace-between-doctype-public-and-system-identifiers
-    missing-whitespace-after-doctype-system-keyword missing-quote-before-doctype-public-identifier
-    missing-quote-before-doctype-system-identifier missing-doctype-public-identifier missing-doctype-system-identifier
-    abrupt-doctype-public-identifier abrupt-doctype-system-identifier cdata-in-html-content incorrectly-opened-comment
-    eof-in-script-html-comment-like-text eof-in-doctype nested-comment abrupt-closing-of-empty-comment eof-in-comment
-    incorrectly-closed-comment eof-in-cdata absence-of-digits-in-numeric-character-reference null-character-reference
-    surrogate-character-reference character-reference-outside-unicode-range control-character-reference
-    noncharacter-character-reference missing-whitespace-before-doctype-name missing-doctype-name
-    invalid-character-sequence-after-doctype-name duplicate-attribute non-conforming-doctype missing-doctype
-    misplaced-doctype end-tag-without-matching-open-element closing-of-element-with-open-child-elements
-    disallowed-content-in-noscript-in-head open-elements-left-after-eof abandoned-head-element-child
-    misplaced-start-tag-for-head-element nested-noscript-in-head eof-in-element-that-can-contain-only-text""".split()
+#: Codes of the standard's tokenizer, and after them the tree builder's, which the standard has no names for.
+ERROR_CODES = (
+    "abrupt-closing-of-empty-comment",
+    "abrupt-doctype-public-identifier",
+    "abrupt-doctype-system-identifier",
+    "absence-of-digits-in-numeric-character-reference",
+    "cdata-in-html-content",
+    "character-reference-outside-unicode-range",
+    "control-character-in-input-stream",
+    "control-character-reference",
+    "duplicate-attribute",
+    "end-tag-with-attributes",
+    "end-tag-with-trailing-solidus",
+    "eof-before-tag-name",
+    "eof-in-cdata",
+    "eof-in-comment",
+    "eof-in-doctype",
+    "eof-in-script-html-comment-like-text",
+    "eof-in-tag",
+    "incorrectly-closed-comment",
+    "incorrectly-opened-comment",
+    "invalid-character-sequence-after-doctype-name",
+    "invalid-first-character-of-tag-name",
+    "missing-attribute-value",
+    "missing-doctype-name",
+    "missing-doctype-public-identifier",
+    "missing-doctype-system-identifier",
+    "missing-end-tag-name",
+    "missing-quote-before-doctype-public-identifier",
+    "missing-quote-before-doctype-system-identifier",
+    "missing-semicolon-after-character-reference",
+    "missing-whitespace-after-doctype-public-keyword",
+    "missing-whitespace-after-doctype-system-keyword",
+    "missing-whitespace-before-doctype-name",
+    "missing-whitespace-between-attributes",
+    "missing-whitespace-between-doctype-public-and-system-identifiers",
+    "nested-comment",
+    "non-void-html-element-start-tag-with-trailing-solidus",
+    "noncharacter-character-reference",
+    "noncharacter-in-input-stream",
+    "null-character-reference",
+    "surrogate-character-reference",
+    "surrogate-in-input-stream",
+    "unexpected-character-after-doctype-system-identifier",
+    "unexpected-character-in-attribute-name",
+    "unexpected-character-in-unquoted-attribute-value",
+    "unexpected-equals-sign-before-attribute-name",
+    "unexpected-null-character",
+    "unexpected-question-mark-instead-of-tag-name",
+    "unexpected-solidus-in-tag",
+    "unknown-named-character-reference",
+    "abandoned-head-element-child",
+    "closing-of-element-with-open-child-elements",
+    "disallowed-content-in-noscript-in-head",
+    "end-tag-without-matching-open-element",
+    "eof-in-element-that-can-contain-only-text",
+    "misplaced-doctype",
+    "misplaced-start-tag-for-head-element",
+    "missing-doctype",
+    "nested-noscript-in-head",
+    "non-conforming-doctype",
+    "open-elements-left-after-eof",
 )
 
 

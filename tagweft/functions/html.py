@@ -20,6 +20,8 @@ from ..core import events as core_events
 from ..core.builder import Node
 from ..core.tokenizer import DATA, EOF, TEXT, Input, Tokenizer
 
+#: The type of markup that makes no event.
+GAP = "gap"
 NODES, LOC, ERRORS, TEXT_HTML, DUMP, OPEN = "nodes", "loc", "errors", "html", "dump", "open_events"
 
 
@@ -144,21 +146,33 @@ def html_tokenize(mode: str = DATA, last_start_tag: str | None = None):
     return arrow_function(T.ArrayType(schemas.TOKEN))(lambda html: token_rows(html, mode, last_start_tag))
 
 
-def event_rows(html: str, kinds: frozenset | None = None, limit: int | None = None, locations: bool = True) -> list[dict]:
-    source, found = core_events.events(html)
+def event_rows(html: str, kinds: frozenset | None = None, limit: int | None = None, locations: bool = True, source_kept: bool = False) -> list[dict]:
+    """source_kept: with the line feed after <pre>, and the markup that makes no event as rows of type `gap`, so that the raw
+    columns together are the source."""
+    source, found = core_events.events(html, raw_newlines=source_kept)
     rows: list[dict] = []
+    last = 0
+
+    def gap(to: int) -> None:
+        if source_kept and to > last:
+            rows.append({"tok_idx": len(rows), "type": GAP, "name": None, "text": None, "attrs": [], "self_closing": False, "force_quirks": False, "public_id": None, "system_id": None, "loc": None, "raw": source.raw_slice(last, to), "last_start_tag": None})
+
     for e in found:
+        gap(e.start)
+        last = e.end
         if kinds is None or e.kind in kinds:
             if limit is not None and len(rows) >= limit:
                 break
             rows.append({"tok_idx": len(rows), "type": e.kind, "name": e.name, "text": e.text, "attrs": _attributes(e.attrs), "self_closing": e.self_closing, "force_quirks": False, "public_id": e.public_id, "system_id": e.system_id, "loc": _location(source, (e.start, e.end)) if locations else None, "raw": source.raw_slice(e.start, e.end), "last_start_tag": e.last_tag})
+    gap(len(source.text))
     return rows
 
 
-def html_events(kinds=None, limit: int | None = None, locations: bool = True):
-    """A function of a text column to array<TOKEN>: SAX-like events. kinds: those to give; limit: stop after so many."""
+def html_events(kinds=None, limit: int | None = None, locations: bool = True, source_kept: bool = False):
+    """A function of a text column to array<TOKEN>: SAX-like events. kinds: those to give; limit: stop after so many;
+    source_kept: as in event_rows."""
     wanted = None if kinds is None else frozenset(kinds)
-    return arrow_function(T.ArrayType(schemas.TOKEN))(lambda html: event_rows(html, wanted, limit, locations))
+    return arrow_function(T.ArrayType(schemas.TOKEN))(lambda html: event_rows(html, wanted, limit, locations, source_kept))
 
 
 def html_rewrite(handler: Callable):
@@ -180,6 +194,16 @@ def html_serialize(scripting: bool = True, outer: bool = False):
     return arrow_function(T.StringType(), types=(1, 2))(one)
 
 
+def html_serialize_each(scripting: bool = True):
+    """A function of (nodes, array of node_id): the outer HTML of each of these nodes, from one tree."""
+
+    def each(rows, wanted):
+        nodes = tree_of(rows)
+        return [output.serialize([nodes[k]], scripting) for k in wanted]
+
+    return arrow_function(T.ArrayType(T.StringType()), types=(1, 2))(each)
+
+
 html_dump = arrow_function(T.StringType())(lambda rows: output.dump(tree_of(rows)[0].children))
 
 
@@ -260,8 +284,9 @@ def has_unescaped_text(name, scripting: bool = True) -> Column:
 
 
 def raw_slice(html, start, end) -> Column:
-    """The source at UTF-16 offsets, for texts without characters beyond U+FFFF."""
-    return F.substring(_col(html), _col(start) + 1, _col(end) - _col(start))
+    """The source at UTF-16 offsets."""
+    units = F.encode(_col(html), "UTF-16BE")
+    return F.decode(F.substring(units, 2 * _col(start) + 1, 2 * (_col(end) - _col(start))), "UTF-16BE")
 
 
 def render_event(e: Column) -> Column:
@@ -281,6 +306,48 @@ def render_event(e: Column) -> Column:
     )
 
 
+# --- classes of code points, as Columns over a number ---------------------------------------------------------------------
+
+
+def is_white_space(point) -> Column:
+    """Tab, line feed, form feed, space; carriage returns are line feeds by then."""
+    return _col(point).isin(0x09, 0x0A, 0x0C, 0x20)
+
+
+def is_ascii_digit(point) -> Column:
+    return _col(point).between(0x30, 0x39)
+
+
+def is_ascii_upper(point) -> Column:
+    return _col(point).between(0x41, 0x5A)
+
+
+def is_ascii_lower(point) -> Column:
+    return _col(point).between(0x61, 0x7A)
+
+
+def is_ascii_letter(point) -> Column:
+    return is_ascii_upper(point) | is_ascii_lower(point)
+
+
+def is_ascii_hex_digit(point) -> Column:
+    return is_ascii_digit(point) | _col(point).between(0x41, 0x46) | _col(point).between(0x61, 0x66)
+
+
+def is_surrogate(point) -> Column:
+    return _col(point).between(0xD800, 0xDFFF)
+
+
+def is_control(point) -> Column:
+    """Controls other than NUL and white space."""
+    return (_col(point).between(0x01, 0x1F) & ~_col(point).isin(0x09, 0x0A, 0x0C, 0x0D)) | _col(point).between(0x7F, 0x9F)
+
+
+def is_noncharacter(point) -> Column:
+    """U+FDD0 to U+FDEF, and the last two of every plane."""
+    return _col(point).between(0xFDD0, 0xFDEF) | (_col(point).between(0, 0x10FFFF) & (F.pmod(_col(point), F.lit(0x10000)) >= 0xFFFE))
+
+
 def error_codes(spark):
     """The parse error codes, as a table."""
     return spark.createDataFrame([(k, c) for k, c in enumerate(names.ERROR_CODES)], "position int, code string")

@@ -65,10 +65,12 @@ def events(df: DataFrame, key: str = "page_id", column: str = "html", kinds=None
 
 def rewritten(df: DataFrame, rule, key: str = "page_id", column: str = "html") -> DataFrame:
     """key and html, each event's markup replaced by rule(event column), a string column; null keeps the source. The pieces
-    stay in one array a document, so nothing is shuffled. Markup that makes no event is dropped."""
+    stay in one array a document, so nothing is shuffled. Where the rule gives null, and between events, the source stays as
+    it is."""
     text_only(df, column)
-    found = spread(df.select(key, column)).select(key, H.html_events(locations=False)(F.col(column)).alias("t"))
-    return found.select(key, F.array_join(F.transform("t", lambda e: F.coalesce(rule(e), e["raw"])), "").alias("html"))
+    found = spread(df.select(key, column)).select(key, H.html_events(locations=False, source_kept=True)(F.col(column)).alias("t"))
+    written = F.transform("t", lambda e: F.when(e["type"] == H.GAP, e["raw"]).otherwise(F.coalesce(rule(e), e["raw"])))
+    return found.select(key, F.array_join(written, "").alias("html"))
 
 
 # --- node tables ----------------------------------------------------------------------------------------------------------
@@ -94,8 +96,8 @@ def descendants(above: DataFrame, below: DataFrame, key: str = "page_id") -> Dat
 
 def text_of(nodes_array: Column, node: Column) -> Column:
     """The text below a node of a nodes array, in order, in one expression over the array."""
-    inside = F.filter(nodes_array, lambda n: (n["node_type"] == "text") & (n["node_id"] > node["node_id"]) & (n["node_id"] <= node["subtree_end"]))
-    return F.array_join(F.transform(inside, lambda n: n["value"]), "")
+    below = F.slice(nodes_array, (node["node_id"] + 2).cast("int"), (node["subtree_end"] - node["node_id"]).cast("int"))  # node_id is the place in the array
+    return F.array_join(F.transform(F.filter(below, lambda n: n["node_type"] == "text"), lambda n: n["value"]), "")
 
 
 def elements(nodes_array: Column, name: str) -> Column:
@@ -103,12 +105,15 @@ def elements(nodes_array: Column, name: str) -> Column:
 
 
 def siblings(nodes: DataFrame, key: str = "page_id") -> DataFrame:
-    """The second tree format: attributes as maps, links to the siblings, a template's content as its first child."""
+    """The second tree format: attributes as maps by plain name, with maps of their namespaces and prefixes; links to the
+    siblings; a template's content as its first child; with locations, the offsets of the source."""
     order = Window.partitionBy(key, "parent_id").orderBy("sib_idx", "node_id")
-    attribs = F.map_from_entries(F.transform("attrs", lambda a: F.struct(F.coalesce(F.concat(a["prefix"], F.lit(":"), a["name"]), a["name"]), a["value"])))
+    # of attributes that differ in their prefix alone, the last stays
+    by_name = lambda field: F.map_from_entries(F.transform(F.filter("attrs", lambda a, i: ~F.exists(F.slice("attrs", i + 2, F.size("attrs")), lambda b: b["name"] == a["name"])), lambda a: F.struct(a["name"], a[field])))
+    places = [F.col(f"loc.{x}_offset").alias(f"{x}_index") for x in ("start", "end")] if "loc" in nodes.columns else []
     kind = F.when(F.col("node_type").isin("document", "fragment", "template_content"), "root").when(F.col("node_type") == "doctype", "directive").when(F.col("name") == "script", "script").when(F.col("name") == "style", "style").when(F.col("node_type") == "element", "tag").otherwise(F.col("node_type"))
     data = F.when(F.col("node_type") == "doctype", H.doctype_data("name", "public_id", "system_id")).otherwise(F.col("value"))
-    return nodes.select(key, "node_id", "parent_id", kind.alias("type"), "name", "namespace", data.alias("data"), attribs.alias("attribs"), F.lag("node_id").over(order).alias("prev_id"), F.lead("node_id").over(order).alias("next_id"))
+    return nodes.select(key, "node_id", "parent_id", kind.alias("type"), "name", "namespace", data.alias("data"), by_name("value").alias("attribs"), by_name("namespace").alias("attribs_namespace"), by_name("prefix").alias("attribs_prefix"), *places, F.lag("node_id").over(order).alias("prev_id"), F.lead("node_id").over(order).alias("next_id"))
 
 
 def links(df: DataFrame, key: str = "page_id", column: str = "html") -> DataFrame:

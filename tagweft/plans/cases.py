@@ -10,7 +10,7 @@ BODIES: dict[str, list[tuple[str, str]]] = {
     "adoption_agency": [
         ("<p>1<b>2<i>{n}</b>4</i>5</p>", "<p>1<b>2<i>{n}</i></b><i>4</i>5</p>"),
         ("<b>1<p>{n}</b>3</p>", "<b>1</b><p><b>{n}</b>3</p>"),
-        ("<a>1<div>{n}<div>3</a>4</div>5</div>", "<a>1</a><div><a>{n}</a><div><a>3</a>4</div>5</div>"),
+        ("<i>1<p>{n}<em>2</i>3</em>4</p>", "<i>1</i><p><i>{n}<em>2</em></i><em>3</em>4</p>"),
         ("<b><em><u>{n}<p></b>x", "<b><em><u>{n}</u></em></b><em><u><p><b></b>x</p></u></em>"),
     ],
     "nested_anchor": [("<a href=1>{n}<a href=2>y", '<a href="1">{n}</a><a href="2">y</a>')],
@@ -182,3 +182,43 @@ ERRORS = [
     ("<!DOCTYPE html>{n}<template><b></template>", "closing-of-element-with-open-child-elements"),
     ("<!DOCTYPE html>{n}\x01", "control-character-in-input-stream"),
 ]
+
+#: Inputs with all the codes that they give.
+MORE_ERRORS = [
+    ("<!DOCTYPE html>{n}<b></b/>", ("end-tag-with-trailing-solidus",)),
+    ("<!DOCTYPE html>{n}\0", ("unexpected-null-character",)),
+    ("<!DOCTYPE html>{n}\ufdd0", ("noncharacter-in-input-stream",)),
+    ('<!DOCTYPE html SYSTEM "about:legacy-compat" x>{n}', ("unexpected-character-after-doctype-system-identifier",)),
+    ('<!DOCTYPE html PUBLIC"x">{n}', ("missing-whitespace-after-doctype-public-keyword", "non-conforming-doctype")),
+    ("<!DOCTYPE html PUBLIC 'x''y'>{n}", ("missing-whitespace-between-doctype-public-and-system-identifiers", "non-conforming-doctype")),
+    ("<!DOCTYPE html SYSTEM'about:legacy-compat'>{n}", ("missing-whitespace-after-doctype-system-keyword",)),
+    ("<!DOCTYPE html PUBLIC x>{n}", ("missing-quote-before-doctype-public-identifier",)),
+    ("<!DOCTYPE html SYSTEM x>{n}", ("missing-quote-before-doctype-system-identifier",)),
+    ("<!DOCTYPE html PUBLIC>{n}", ("missing-doctype-public-identifier",)),
+    ("<!DOCTYPE html SYSTEM>{n}", ("missing-doctype-system-identifier",)),
+    ('<!DOCTYPE html PUBLIC "x>{n}', ("abrupt-doctype-public-identifier", "non-conforming-doctype")),
+    ("<!DOCTYPE html SYSTEM 'x>{n}", ("abrupt-doctype-system-identifier", "non-conforming-doctype")),
+    ("<!DOCTYPE>{n}", ("missing-doctype-name", "non-conforming-doctype")),
+    ("<!DOCTYPE html x {n}>", ("invalid-character-sequence-after-doctype-name",)),
+    ("<!DOCTYPE html", ("eof-in-doctype",)),
+    ("<!DOCTYPE html>{n}<script><!--a", ("eof-in-script-html-comment-like-text", "eof-in-element-that-can-contain-only-text")),
+]
+#: The same without scripting.
+NOSCRIPT_ERRORS = [
+    ("<!DOCTYPE html><head><noscript><p>{n}", ("disallowed-content-in-noscript-in-head",)),
+    ("<!DOCTYPE html><head><noscript><noscript></noscript></head>{n}", ("nested-noscript-in-head",)),
+]
+#: Events in foreign content: each event's type and name, or text, in order.
+EVENTS = [
+    ("<svg><foreignobject><p>{n}</p></foreignobject><lineargradient/></svg><p>", "start svg|start foreignObject|start p|text {n}|end p|end foreignObject|start linearGradient|end svg|start p"),
+    ("<svg><title>{n}</title><![CDATA[<b>]]></svg>", "start svg|start title|text {n}|end title|text <b>|end svg"),
+    ("<math><mi>{n}<image></mi><image></math><image>", "start math|start mi|text {n}|start img|end mi|start image|end math|start img"),
+    ("<svg><p>{n}<foreignobject></svg>", "start svg|start p|text {n}|start foreignobject|end svg"),
+    ("<svg/><lineargradient>{n}</p><lineargradient></svg><lineargradient>", "start svg|start linearGradient|text {n}|end p|start linearGradient|end svg|start lineargradient"),
+    ("<math><annotation-xml encoding=text/html><svg></svg><image></annotation-xml><image>{n}", "start math|start annotation-xml|start svg|end svg|start img|end annotation-xml|start img|text {n}"),
+    ("<svg><font>{n}<font color=a><lineargradient>", "start svg|start font|text {n}|start font|start lineargradient"),
+    ("<svg><style><b>{n}</b></style></svg><style><b>{n}</b></style>", "start svg|start style|start b|text {n}|end b|end style|end svg|start style|text <b>{n}</b>|end style"),
+    ("<pre>\n{n}</pre><noscript><b></noscript>", "start pre|text {n}|end pre|start noscript|text <b>|end noscript"),
+]
+#: Markup that a rewriter must keep, whatever it means.
+KEPT = ["<pre>\n{n}</pre>", "<pre>\n</pre>{n}", "a</>{n}", "<p>{n}</p", "<p>{n}<", "<p a='{n}", "<!doctype  HTML ><P  A=1>{n}&amp</P >", "<!x{n}><?y>", "<textarea>\n\n{n}", "<script><!--{n}<script>", "\n{n}\n"]

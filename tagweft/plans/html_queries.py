@@ -114,10 +114,10 @@ def b_reconstruction(spark, sf_dir):
 @query("""SELECT page_id, tag, text FROM (SELECT page_id, 'script' AS tag, regexp_extract(html, '<script>(.*?)</script>', 1) AS text FROM pages
     UNION ALL SELECT page_id, 'style', regexp_extract(html, '<style>(.*?)</style>', 1) FROM pages)""")
 def script_style_text(spark, sf_dir):
-    nodes = X.nodes(pages(spark, sf_dir))
-    tags = nodes.where("node_type = 'element' AND name IN ('script', 'style')").select("page_id", F.col("node_id").alias("up"), F.col("name").alias("tag"))
-    texts = nodes.where("node_type = 'text'").select(F.col("page_id").alias("k"), "parent_id", F.col("value").alias("text"))
-    return tags.join(texts, (F.col("page_id") == F.col("k")) & (F.col("up") == F.col("parent_id"))).select("page_id", "tag", "text")
+    nodes = F.col("p.nodes")
+    tags = F.filter(nodes, lambda n: (n["node_type"] == "element") & n["name"].isin("script", "style"))
+    rows = F.transform(tags, lambda n: F.struct(n["name"].alias("tag"), X.text_of(nodes, n).alias("text")))
+    return X.parse(pages(spark, sf_dir)).select("page_id", F.inline(rows))
 
 
 @query(f"SELECT page_id, length({_decoded("regexp_replace(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<[^>]*>', '', 'g')")})::BIGINT AS n FROM pages")
@@ -176,11 +176,12 @@ def locations_line_col(spark, sf_dir):
 @query("""SELECT page_id, count(*)::BIGINT AS n_nodes, true AS same FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li>|<a href="[^"]*">[^<]*</a>')) FROM pages) GROUP BY page_id""")
 def location_slices(spark, sf_dir):
     """The source at an element's location is what the element serializes to."""
+    wanted = F.transform(F.filter("nodes", lambda n: n["name"].isin("li", "a")), lambda n: n["node_id"])
     found = X.parse(pages(spark, sf_dir), facets=(H.NODES, H.LOC)).select("page_id", F.col("p.nodes").alias("nodes"))
-    own = found.select("page_id", "nodes", F.explode(F.filter("nodes", lambda n: n["name"].isin("li", "a"))).alias("n"))
-    own = own.select("page_id", "n", H.html_serialize(outer=True)("nodes", F.col("n.node_id")).alias("outer"))
+    outer = H.html_serialize_each()("nodes", wanted)  # all of a page in one call
+    own = found.select("page_id", F.inline(F.arrays_zip(outer.alias("outer"), F.transform(wanted, lambda k: F.element_at("nodes", (k + 1).cast("int"))["loc"]).alias("loc"))))
     own = own.join(pages(spark, sf_dir), "page_id")
-    same = H.raw_slice(F.col("html"), F.col("n.loc.start_offset"), F.col("n.loc.end_offset")) == F.col("outer")
+    same = H.raw_slice(F.col("html"), F.col("loc.start_offset"), F.col("loc.end_offset")) == F.col("outer")
     return own.groupBy("page_id").agg(F.count("*").alias("n_nodes"), F.bool_and(same).alias("same"))
 
 
@@ -360,7 +361,7 @@ def doctype_modes(spark, sf_dir):
 
 @query(" UNION ALL ".join(f"SELECT {k}::BIGINT AS key, '{mode}' AS mode" for k, (*_, mode) in enumerate(cases.DOCTYPES)))
 def doctype_modes_parsed(spark, sf_dir):
-    rows = _doctype_rows(spark).select("key", F.concat(F.lit("<!"), F.substring(H.doctype_data("name", "public_id", "system_id"), 2, 10_000), F.lit(">")).alias("html"))
+    rows = _doctype_rows(spark).withColumn("d", H.doctype_data("name", "public_id", "system_id")).select("key", F.concat(F.lit("<!"), F.expr("substring(d, 2)"), F.lit(">")).alias("html"))
     return X.modes(rows, "key")
 
 
@@ -370,6 +371,80 @@ def error_codes(spark, sf_dir):
     return found.select("key", "code").distinct()
 
 
+def _all_codes(found: list) -> str:
+    return " UNION ALL ".join(f"SELECT n_nationkey::BIGINT * 100 + {k} AS key, '{code}' AS code FROM nation" for k, (_, codes) in enumerate(found) for code in codes)
+
+
+@query(_all_codes(cases.MORE_ERRORS))
+def error_codes_doctypes(spark, sf_dir):
+    return X.errors(_inputs(spark, sf_dir, [a for a, _ in cases.MORE_ERRORS]), "key").select("key", "code").distinct()
+
+
+@query(_all_codes(cases.NOSCRIPT_ERRORS))
+def error_codes_noscript(spark, sf_dir):
+    return X.errors(_inputs(spark, sf_dir, [a for a, _ in cases.NOSCRIPT_ERRORS]), "key", scripting=False).select("key", "code").distinct()
+
+
+@query(_outputs([b for _, b in cases.EVENTS], "events"))
+def events_foreign(spark, sf_dir):
+    """Names that events give tags in foreign content, and where it ends."""
+    found = X.spread(_inputs(spark, sf_dir, [a for a, _ in cases.EVENTS])).select("key", H.html_events(locations=False)("html").alias("t"))
+    return found.select("key", F.array_join(F.transform("t", lambda e: F.concat_ws(" ", e["type"], F.coalesce(e["name"], e["text"]))), "|").alias("events"))
+
+
+@query(_outputs(["xlink|href|http://www.w3.org/1999/xlink|{n}", "|viewBox||{n}", "|definitionURL||{n}"], "attr"))
+def events_foreign_attributes(spark, sf_dir):
+    inputs = ["<svg><a xlink:href='{n}'>", "<svg viewbox='{n}'>", "<math definitionurl='{n}'>"]
+    found = X.events(_inputs(spark, sf_dir, inputs), "key").select("key", F.inline("attrs"))
+    return found.select("key", F.concat_ws("|", F.coalesce("prefix", F.lit("")), "name", F.coalesce("namespace", F.lit("")), "value").alias("attr"))
+
+
+@query(_outputs(cases.KEPT, "html"))
+def rewritten_keeps_source(spark, sf_dir):
+    """Without a rule the source stays byte for byte."""
+    return X.rewritten(_inputs(spark, sf_dir, cases.KEPT), lambda e: F.lit(None).cast("string"), "key")
+
+
+@query(_outputs(["<pre>\n#</pre>", "<b></>#", "<p>#</p"], "html"))
+def rewritten_text(spark, sf_dir):
+    """A rule for text; what stands between events stays."""
+    return X.rewritten(_inputs(spark, sf_dir, ["<pre>\n{n}</pre>", "<b></>{n}", "<p>{n}</p"]), lambda e: F.when(e["type"] == "text", F.when(F.startswith(e["text"], F.lit("\n")), "\n#").otherwise("#")), "key")
+
+
+@query(_outputs(['<!DOCTYPE html PUBLIC "{n}">', '<!DOCTYPE html SYSTEM "{n}">', '<!DOCTYPE html PUBLIC "a" "{n}">', "<!DOCTYPE null>{n}"], "html"))
+def render_doctypes(spark, sf_dir):
+    """Doctypes written anew."""
+    inputs = ["<!doctype html public '{n}'>", "<!doctype html system '{n}'>", "<!doctype html public 'a' '{n}'>", "<!doctype>{n}"]
+    return X.rewritten(_inputs(spark, sf_dir, inputs), lambda e: F.when(e["type"] == "doctype", H.render_event(e)), "key")
+
+
+@query("SELECT key, mode FROM (SELECT 0::BIGINT AS key, true AS mode UNION ALL SELECT 1, true UNION ALL SELECT 2, false UNION ALL SELECT 3, false UNION ALL SELECT 4, false)")
+def doctype_conforming(spark, sf_dir):
+    rows = spark.createDataFrame([(0, "html", None, None), (1, "html", None, "about:legacy-compat"), (2, "html", None, "x"), (3, "html", "x", None), (4, None, None, None)], "key long, name string, public_id string, system_id string")
+    return rows.select("key", H.doctype_conforming("name", "public_id", "system_id").alias("mode"))
+
+
+@query("SELECT n_nationkey, 'a�' || n_name AS nul_replaced, translate(n_name || 'É', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered, n_nationkey % 2 = 0 AS void FROM nation")
+def text_functions(spark, sf_dir):
+    tag = F.when(F.col("n_nationkey") % 2 == 0, "br").otherwise("b")
+    return table(spark, sf_dir, "nation").select("n_nationkey", H.replace_nul(F.concat(F.lit("a\0"), "n_name")).alias("nul_replaced"), H.ascii_lower(F.concat("n_name", F.lit("É"))).alias("lowered"), H.is_void(tag).alias("void"))
+
+
+@query("""SELECT p AS point, p IN (9, 10, 12, 32) AS white, chr(p::INTEGER) SIMILAR TO '[0-9]' AS digit, chr(p::INTEGER) SIMILAR TO '[A-Za-z]' AS letter, chr(p::INTEGER) SIMILAR TO '[0-9A-Fa-f]' AS hex_digit,
+    p BETWEEN 1 AND 8 OR p = 11 OR p BETWEEN 14 AND 31 OR p BETWEEN 127 AND 159 AS control, p BETWEEN 64976 AND 65007 OR p IN (65534, 65535) AS nonchar FROM (SELECT unnest(range(1, 55296)) AS p UNION ALL SELECT unnest(range(57344, 66000)))""")
+def character_classes(spark, sf_dir):
+    points = spark.range(1, 55296).union(spark.range(57344, 66000)).withColumnRenamed("id", "point")
+    return points.select("point", H.is_white_space("point").alias("white"), H.is_ascii_digit("point").alias("digit"), H.is_ascii_letter("point").alias("letter"), H.is_ascii_hex_digit("point").alias("hex_digit"), H.is_control("point").alias("control"), H.is_noncharacter("point").alias("nonchar"))
+
+
+@query(_outputs(["{n}", "<b>{n}</b>", "é"], "part"))
+def raw_slices(spark, sf_dir):
+    """Slices by UTF-16 offsets, behind characters beyond U+FFFF."""
+    rows = _inputs(spark, sf_dir, ["😀<p>{n}", "😀<p><b>{n}</b>", "😀😀<i>é"])
+    nodes = X.nodes(rows, "key", locations=True).where("sib_idx = 0 and depth = 4 and (key % 100 <> 1 or name = 'b')").select(F.col("key").alias("k"), "loc")
+    return rows.join(nodes, F.col("key") == F.col("k")).select("key", H.raw_slice("html", F.col("loc.start_offset"), F.col("loc.end_offset")).alias("part"))
+
+
 @query(_outputs(["{n}|b", "<p a=\"&{n}\">", "&lt;{n}&gt;", "<!--{n}-->", "</{n}>"], "html"))
 def render_events(spark, sf_dir):
     """Markup written anew from events, by a native expression."""

@@ -8,6 +8,7 @@ from tagweft.core import events, output
 from tagweft.core.builder import parse, parse_fragment
 from tagweft.core.entities import unescape
 from tagweft.core.names import ERROR_CODES, doctype_mode
+from tagweft.functions.html import event_rows
 from tagweft.core.tokenizer import END, EOF, RAWTEXT, RCDATA, START, Input, Tokenizer
 from tagweft.plans import cases
 
@@ -43,6 +44,16 @@ def test_error_codes(html, code):
     assert code in ERROR_CODES and len(ERROR_CODES) == 60
 
 
+@pytest.mark.parametrize(("html", "codes"), [(x, set(c)) for x, c in cases.MORE_ERRORS])
+def test_more_error_codes(html, codes):
+    assert {c for c, _, _ in parse(fill(html), errors=True).found} == codes
+
+
+@pytest.mark.parametrize(("html", "expected"), cases.EVENTS)
+def test_foreign_events(html, expected):
+    assert "|".join(f"{e.kind} {e.name or e.text}" for e in events.events(fill(html))[1]) == fill(expected)
+
+
 @pytest.mark.parametrize(("name", "public", "system", "mode"), cases.DOCTYPES)
 def test_doctype_mode(name, public, system, mode):
     assert doctype_mode(name, public, system) == mode
@@ -70,6 +81,7 @@ def test_any_markup(html):
 @given(MARKUP)
 def test_rewriting_keeps_the_source(html):
     assert events.rewrite(html, lambda e, raw: None) == html
+    assert "".join(r["raw"] for r in event_rows(html, locations=False, source_kept=True)) == html
 
 
 @settings(max_examples=100, deadline=None)
