@@ -55,7 +55,7 @@ def test_siblings_format(spark):
     df = spark.createDataFrame([(1, '<!DOCTYPE html PUBLIC "a"><p a=1>x<b>y')], "page_id int, html string")
     rows = {(r.type, r.name): r for r in X.siblings(X.nodes(df)).collect()}
     assert rows["directive", "html"].data == '!DOCTYPE html PUBLIC "a"' and rows["tag", "p"].attribs == {"a": "1"}
-    assert rows["tag", "p"].attribs_prefix == {"a": None} and "start_index" not in rows["tag", "p"]
+    assert rows["tag", "p"].attribs_prefix == {"a": None} and rows["tag", "p"].start_index is None
     assert rows["tag", "b"].prev_id is not None and rows["tag", "b"].next_id is None
 
 
