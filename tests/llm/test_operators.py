@@ -536,6 +536,25 @@ def test_bm25_odd_rows(spark):
     assert [(r.query_id, r.rank, r.doc_id) for r in got] == [(70, 1, 8), (70, 2, 7)]
     assert bm25.top_k(frame(spark, []), frame(spark, [(1, "a")])).count() == 0
     assert bm25.top_k(df, frame(spark, [])).count() == 0
+    # query rows that share a doc_id, equal or not, have results of their own
+    both = bm25.top_k(df, frame(spark, [(70, "alpha"), (70, "alpha"), (70, "beta")]), k=2).collect()
+    assert sorted((r.query_id, r.rank, r.doc_id) for r in both) == [(70, 1, 7), (70, 1, 8), (70, 1, 8), (70, 2, 7), (70, 2, 7), (70, 2, 8)]
+
+
+def test_bm25_in_small_shards_and_blocks(spark, docs, texts, monkeypatch):
+    """Many shards, of few rows or of few words, and many blocks of queries, give what one does."""
+    rows = sorted(texts.items())[:120]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for name, value in (("QUERY_TERMS", 700), ("FIRST", 2)):
+        monkeypatch.setattr(bm25, name, value)
+    got = {}
+    for r in bm25.top_k(df, df.where("doc_id % 10 = 0"), 5, shard_docs=40, shard_words=9000, batch=3).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.doc_id, round(r.score, 6)))
+    for i, t in rows:
+        if i % 10 == 0:
+            want = slow_bm25(rows, t, 5)
+            assert [x for _, x, _ in sorted(got[i])] == [x for _, x in want]
+            assert [x for _, _, x in sorted(got[i])] == pytest.approx([x for x, _ in want], abs=2e-6)
 
 
 # --- quotes ---------------------------------------------------------------------------------------------------------------
