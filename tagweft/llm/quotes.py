@@ -1,12 +1,15 @@
 """Chat formatting by quotation linking: reply-ordered conversations without their quotes.
 
 A message's lines that begin with `>` are quotes; the number of marks is the level. Each run of lines of one level is cut
-at blank lines into passages, which are hashed after lower-casing and folding of white space; so are the passages that a
-message says itself, and each of its lines. A line such as `On Monday A wrote:` just before a quote goes with it.
-
-A quoted passage of level 1 is linked to the message that said it first: in the same conversation at a smaller turn, or
-else in the whole table at a smaller (conv_id, turn). A message replies to the linked message with the greatest (same
-conversation, conv_id, turn); without links, to the conversation's previous turn. Since a parent is always smaller, there
+at blank lines into passages, which are hashed after lower-casing and folding of white space, and so is each of their lines;
+so are the passages that a message says itself, and each of its lines. A line such as `On Monday A wrote:` just before a
+quote goes with it.
+
+A quoted passage or line of any level is linked to the message that said it first: in the same conversation at a smaller
+turn, or else in the whole table at a smaller (conv_id, turn), if it has LONG words or only one conversation says it (a
+short line that many say, as "Yes", tells nothing). A message replies to the linked message of the lowest level, and there
+to the one with the greatest (same conversation, conv_id, turn); without links, to the conversation's previous turn.
+n_links counts the passages that are linked, as a whole or by a line. Since a parent is always smaller, there
 are no cycles; roots and depths come from pointer doubling in O(log depth) joins. Ordering by (root_conv, root_turn,
 depth, conv_id, turn) puts every message after the one it replies to.
 
@@ -27,7 +30,9 @@ from xxhash import xxh64_intdigest
 from .text import durable, stored
 
 _MARKS = re.compile(r"((?:\x20{0,3}>)+)\x20?")
-_WROTE = re.compile(r"(?i)^.{0,200}\b(?:wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$")
+_WROTE = re.compile(r"(?i)\b(?:wrote|writes|said|schrieb|a écrit|escribió)\s*:$")
+#: Words from which on a passage is linked across conversations even if several of them say it.
+LONG = 5
 #: Turns of a conversation that are looked at together for the turn before.
 TURNS = 1000
 
@@ -48,13 +53,14 @@ def levels(text: str) -> list[tuple[int, str]]:
         m = _MARKS.match(line)
         out.append((m[1].count(">"), line[m.end() :]) if m else (0, line))
     for i in range(len(out) - 1):
-        if out[i][0] == 0 and out[i + 1][0] > 0 and _WROTE.match(out[i][1]):
+        if out[i][0] == 0 and out[i + 1][0] > 0 and _WROTE.search(out[i][1].rstrip()):
             out[i] = (-1, out[i][1])
     return out
 
 
-def parse(text: str) -> tuple[str, list[int], list[int], int]:
-    """(text without quotes, hashes of what it says, hashes of level-1 passages that it quotes, number of passages at any level)."""
+def parse(text: str) -> tuple[str, list[int], list[tuple[int, int, int, int]], int]:
+    """(text without quotes, hashes of what it says, (level, words, hash, passage's hash) of the passages that it quotes and of
+    their lines, each at its lowest level, number of quoted passages)."""
     lines = levels(text)
     clean = re.sub(r"\n{3,}", "\n\n", "\n".join(x for k, x in lines if k == 0)).strip()
     passages: list[tuple[int, str]] = []
@@ -71,8 +77,13 @@ def parse(text: str) -> tuple[str, list[int], list[int], int]:
     said = {passage_hash(p) for k, p in passages if k == 0} | {passage_hash(x) for k, x in lines if k == 0 and x.strip()}
     if clean:
         said.add(passage_hash(clean))
-    quoted = {passage_hash(p) for k, p in passages if k == 1}
-    return clean, sorted(said), sorted(quoted), sum(k > 0 for k, _ in passages)
+    quoted: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+    for k, p in sorted((x for x in passages if x[0] > 0), key=lambda x: x[0]):
+        whole = passage_hash(p)
+        for part in [p, *p.split("\n")]:
+            h = passage_hash(part)
+            quoted.setdefault((h, whole), (k, len(part.split()), h, whole))
+    return clean, sorted(said), sorted(quoted.values()), sum(k > 0 for k, _ in passages)
 
 
 def parsed(messages: DataFrame) -> DataFrame:
@@ -81,10 +92,10 @@ def parsed(messages: DataFrame) -> DataFrame:
     def read(batches):
         for batch in batches:
             found = [parse(t or "") for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.list_(pa.int64())), pa.array([x[2] for x in found], pa.list_(pa.int64())), pa.array([x[3] for x in found], pa.int64())], ["conv_id", "turn", "role", "text", "said", "quoted", "n_quotes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.list_(pa.int64())), pa.array([[dict(zip(("level", "words", "h", "passage"), q)) for q in x[2]] for x in found], pa.list_(pa.struct([("level", pa.int64()), ("words", pa.int64()), ("h", pa.int64()), ("passage", pa.int64())]))), pa.array([x[3] for x in found], pa.int64())], ["conv_id", "turn", "role", "text", "said", "quoted", "n_quotes"])
 
     rows = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    return rows.mapInArrow(read, "conv_id long, turn long, role string, text string, said array<long>, quoted array<long>, n_quotes long")
+    return rows.mapInArrow(read, "conv_id long, turn long, role string, text string, said array<long>, quoted array<struct<level:bigint,words:bigint,h:bigint,passage:bigint>>, n_quotes long")
 
 
 def previous(keys: DataFrame) -> DataFrame:
@@ -98,19 +109,22 @@ def previous(keys: DataFrame) -> DataFrame:
 
 
 def links(rows: DataFrame) -> DataFrame:
-    """conv_id, turn, n_links, link (same, conv_id, turn of the greatest original) of each message that has one."""
-    asked = rows.select("conv_id", "turn", F.explode("quoted").alias("h")).where("conv_id is not null and turn is not null").distinct()
-    asked = durable(asked)
+    """conv_id, turn, n_links, link (near, same, conv_id, turn of the best original) of each message that has one."""
+    asked = rows.select("conv_id", "turn", F.inline("quoted")).where("conv_id is not null and turn is not null")
+    asked = durable(asked.groupBy("conv_id", "turn", "h", "passage").agg(F.min("level").alias("level"), F.max("words").alias("words")))
     said = rows.select(F.col("conv_id").alias("oc"), F.col("turn").alias("ot"), F.explode("said").alias("sh")).where("oc is not null and ot is not null")
-    said = durable(said.join(asked.select("h").distinct(), F.col("sh") == F.col("h"), "left_semi").distinct())
-    here = said.groupBy("sh", "oc").agg(F.min("ot").alias("ot"))
-    anywhere = said.groupBy("sh").agg(F.min(F.struct("oc", "ot")).alias("first"))
-    found = asked.join(here, (F.col("h") == F.col("sh")) & (F.col("conv_id") == F.col("oc")) & (F.col("ot") < F.col("turn")), "left").select("conv_id", "turn", "h", F.col("ot").alias("own"))
+    said = said.join(asked.select("h").distinct(), F.col("sh") == F.col("h"), "left_semi")
+    here = durable(said.groupBy("sh", "oc").agg(F.min("ot").alias("ot")))  # a passage that one conversation repeats is one row
+    anywhere = here.groupBy("sh").agg(F.min(F.struct("oc", "ot")).alias("first"), (F.min("oc") == F.max("oc")).alias("one"))
+    found = asked.join(here, (F.col("h") == F.col("sh")) & (F.col("conv_id") == F.col("oc")) & (F.col("ot") < F.col("turn")), "left").select("conv_id", "turn", "h", "passage", "level", "words", F.col("ot").alias("own"))
+    # who said a passage here too, at a later turn, doesn't make it ambiguous: only other conversations do
     found = found.join(anywhere, F.col("h") == F.col("sh"), "left")
-    outside = F.when(F.col("first") < F.struct(F.col("conv_id").alias("oc"), F.col("turn").alias("ot")), F.struct(F.lit(0).alias("same"), F.col("first.oc").alias("oc"), F.col("first.ot").alias("ot")))
-    link = F.when(F.col("own").isNotNull(), F.struct(F.lit(1).alias("same"), F.col("conv_id").alias("oc"), F.col("own").alias("ot"))).otherwise(outside)
+    near = (-F.col("level")).alias("near")
+    sure = (F.col("words") >= LONG) | F.col("one")
+    outside = F.when(sure & (F.col("first") < F.struct(F.col("conv_id").alias("oc"), F.col("turn").alias("ot"))), F.struct(near, F.lit(0).alias("same"), F.col("first.oc").alias("oc"), F.col("first.ot").alias("ot")))
+    link = F.when(F.col("own").isNotNull(), F.struct(near, F.lit(1).alias("same"), F.col("conv_id").alias("oc"), F.col("own").alias("ot"))).otherwise(outside)
     found = found.withColumn("link", link).where("link is not null")
-    return found.groupBy("conv_id", "turn").agg(F.count("*").alias("n_links"), F.max("link").alias("link"))
+    return found.groupBy("conv_id", "turn").agg(F.count_distinct("passage").alias("n_links"), F.max("link").alias("link"))
 
 
 def rooted(parents: DataFrame) -> DataFrame:

@@ -336,6 +336,35 @@ def test_pii_tagger_on_held_out_spans():
     assert {text[a:b] for a, _, b in every} <= {"john (at) mail (dot) org", "(415) 555-0134"} and every
 
 
+def test_labels_are_one_path_over_merged_windows():
+    """Transitions that the CRF forbids don't occur where windows meet, and one window's tags are those of decode."""
+    r = np.random.default_rng(4)
+    t = tagger.Tagger(3, hidden=4, seed=1)
+    t.w["move"][0, 2] = -50  # inside without a start
+    for k in ("out",):
+        t.w[k] = t.w[k] * 8
+    texts = [r.integers(1, 99, n).astype(np.uint8) for n in (1, 5, 96, 97, 500, 1003)]
+    found = tagger.label(t, texts, np.ones(256, bool), rows=4)
+    for x, tags in zip(texts, found):
+        assert len(tags) == len(x) and not ((tags[:-1] == 0) & (tags[1:] == 2)).any()
+    assert np.array_equal(found[2], t.decode(texts[2][None])[0])
+    anchor = np.zeros(256, bool)
+    assert all(not x.any() for x in tagger.label(t, texts, anchor))
+
+
+def test_pii_recall_on_other_texts():
+    """Whole spans in sentences that the generator didn't write."""
+    r, model = random.Random(21), pii.trained()
+    num = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    for make, least in ((lambda: f"({num(3)}) {num(3)}-{num(4)}", 0.9), (lambda: ":".join(f"{r.randint(4096, 65535):x}" for _ in range(8)), 0.9)):
+        hits = 0
+        for _ in range(60):
+            span = make()
+            text = r.choice(["Our office can be reached at ", "She noted down ", "Please use "]) + span + r.choice([" before noon.", " and wait for an answer.", ", as agreed."])
+            hits += any(text[a:b] == span for a, _, b in pii.spans(model, [text])[0][1])
+        assert hits >= least * 60
+
+
 def test_pii_rows(spark):
     rows = {r.doc_id: r for r in pii.scan(frame(spark, [*ODD, (9, PII), (9, PII)])).collect()}
     assert (rows[9].n_email, rows[9].n_ip, rows[9].n_card, rows[9].n_phone) == (1, 3, 1, 1)
@@ -396,6 +425,10 @@ def test_leaks_odd_rows(spark):
     assert sorted((r.doc_id, r.item_id, r.distance) for r in got) == [(9, 1, 0), (9, 1, 0), (9, 4, 0), (9, 4, 0)]
     assert leaks.hits(frame(spark, [(1, item)]), bench.where("false")).count() == 0
     assert leaks.without_hits(frame(spark, ODD), bench).count() == len(ODD)
+    # short items allow no edit and are found by their words, within a row
+    short = spark.createDataFrame([(1, "four small words here"), (2, "one"), (3, "One!"), (4, item), (5, "b c")], "item_id long, text string")
+    found = leaks.hits(frame(spark, [(1, "x Four, small words here"), (2, "four small word here"), (3, "one " + item), (4, "a b"), (5, "c")]), short).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_words, r.distance, r.last_word) for r in found) == [(1, 1, 4, 0, 4), (3, 2, 1, 0, 0), (3, 3, 1, 0, 0), (3, 4, 8, 0, 8)]
 
 
 # --- repeats --------------------------------------------------------------------------------------------------------------
@@ -451,6 +484,13 @@ def test_automaton():
         assert a.statistics(t) == longest
 
 
+def test_repeats_window_bounds(spark):
+    rows = [(1, " ".join(f"w{k}" for k in range(90))), (2, "x " + " ".join(f"w{k}" for k in range(90)))]
+    assert {r.n_removed for r in repeats.remove_repeats(frame(spark, rows), window=70).collect()} == {90}
+    with pytest.raises(ValueError):
+        repeats.remove_repeats(frame(spark, rows), window=71)
+
+
 def test_remove_reference(spark):
     ref = frame(spark, [(1, "a b c d e f"), (2, None)])
     got = repeats.remove_reference(frame(spark, [(1, "x a b c d y"), (2, "a b x"), (3, None)]), ref, longest=3).collect()
@@ -564,7 +604,59 @@ def test_quotes_parse():
     text = "I agree.\n\nOn Monday, A wrote:\n> Hello  World\n>> deeper\n> again\n\nBye"
     clean, said, quoted, n = quotes.parse(text)
     assert clean == "I agree.\n\nBye" and n == 3
-    assert quoted == sorted({quotes.passage_hash("hello world"), quotes.passage_hash("again")}) and quotes.passage_hash("Bye") in said
+    assert quoted == sorted((k, len(x.split()), quotes.passage_hash(x), quotes.passage_hash(x)) for k, x in ((1, "hello world"), (1, "again"), (2, "deeper"))) and quotes.passage_hash("Bye") in said
+    assert quotes.parse("On " + "x " * 300 + "A wrote:\n> q\nz")[0] == "z"  # however long
+
+
+def test_threads_by_deeper_levels_lines_and_short_passages(spark):
+    rows = [
+        (1, 0, "u", "first line here\nsecond line of it\nthird"), (1, 1, "a", "Yes"), (1, 2, "u", "filler"), (1, 3, "u", ">> second line of it\nmine"),
+        (2, 0, "u", "hello"), (2, 1, "a", "Yes"), (3, 0, "u", "> Yes\nwhose?"), (3, 1, "u", "> one long passage that two say\nx"), (4, 0, "u", "one long passage that two say"), (5, 0, "u", "> first line here\nok"),
+        (6, 0, "u", "one long passage that two say"), (7, 0, "u", "> one long passage that two say\n>> first line here\ny"),
+    ]
+    got = {(r.conv_id, r.turn): (r.parent_conv, r.parent_turn, r.n_links) for r in quotes.threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1, 3] == (1, 0, 1)  # a trimmed quote of the second level
+    assert got[3, 0] == (None, None, 0)  # several conversations say it
+    assert got[3, 1] == (3, 0, 0)  # said only later
+    assert got[5, 0] == (1, 0, 1) and got[7, 0] == (4, 0, 2)  # the lowest level decides
+
+
+def slow_threads(rows):
+    """(parent, n_links) of each message with distinct keys, by trying every pair."""
+    said, quoted = {}, {}
+    for c, t, _, text in rows:
+        _, own, q, _ = quotes.parse(text)
+        said[c, t], quoted[c, t] = set(own), q
+    out = {}
+    for c, t in said:
+        links = []
+        for level, words, h, passage in quoted[c, t]:
+            inside = [k for k in sorted(said) if k[0] == c and k[1] < t and h in said[k]]
+            every = [k for k in sorted(said) if h in said[k]]
+            if inside:
+                links.append((-level, 1, *inside[0], passage))
+            elif every and every[0] < (c, t) and (words >= quotes.LONG or len({k[0] for k in every}) == 1):
+                links.append((-level, 0, *every[0], passage))
+        before = max((k for k in said if k[0] == c and k[1] < t), default=None)
+        out[c, t] = (max(links)[2:4] if links else before, len({x[4] for x in links}))
+    return out
+
+
+def test_threads_against_brute_force(spark):
+    r = random.Random(12)
+    rows = []
+    for c in range(25):
+        for t in range(r.randint(1, 8)):
+            lines = []
+            for _ in range(r.randint(0, 3)):
+                if rows and r.random() < 0.7:
+                    old = r.choice(rows)[3].split("\n")
+                    a = r.randrange(len(old))
+                    lines += [">" * r.randint(1, 2) + " " + x for x in old[a : a + r.randint(1, 3)]]
+                lines += ["", " ".join(f"w{r.randint(0, 3)}" for _ in range(r.choice([1, 2, 6])))]
+            rows.append((c, t, "u", "\n".join(lines)))
+    got = {(x.conv_id, x.turn): (None if x.parent_conv is None else (x.parent_conv, x.parent_turn), x.n_links) for x in quotes.threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == slow_threads(rows) and sum(n for _, n in got.values()) > 30
 
 
 def test_threads(spark):
