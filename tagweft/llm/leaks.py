@@ -13,8 +13,8 @@ word. Steps:
 3. Exact verification of each candidate: the least edit distance of the item to any passage that touches the window.
 
 The items are broadcast in shards of at most SHARD_CHARS characters; a larger benchmark takes several, one after another,
-so what is broadcast never grows. Documents aren't shuffled. Items of fewer than MIN_WORDS words are not searched for,
-since any text would hold them; null or empty texts hold and are nothing. Repeated rows repeat in the result, once for
+so what is broadcast never grows. Documents aren't shuffled. Items of fewer than MIN_WORDS words allow no edit and are found
+by their words alone; null or empty texts hold and are nothing. Repeated rows repeat in the result, once for
 each pair; null ids stay null. Empty tables give no rows; other columns are ignored.
 """
 
@@ -87,12 +87,23 @@ def distances(items: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return best, end
 
 
+def _joined(h: np.ndarray, m: int) -> np.ndarray:
+    """A hash of each run of m words."""
+    if len(h) < m:
+        return h[:0]
+    out = np.zeros(len(h) - m + 1, np.uint64)
+    for k in range(m):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(out)])
+    return out
+
+
 class Index:
     """Of the items of one shard."""
 
     def __init__(self, ids: list, texts: list[str]):
         col = pa.array(texts, pa.string())
         self.ids, self.tokens = [], []
+        short: list[tuple[object, np.ndarray]] = []
         for i, j, data, offsets in chunks(col):
             bounds, h = words(data, offsets)
             for k in range(j - i):
@@ -100,14 +111,28 @@ class Index:
                 if len(own) >= MIN_WORDS:
                     self.ids.append(ids[i + k])
                     self.tokens.append(own)
+                elif len(own):
+                    short.append((ids[i + k], own))
+        self.long = len(self.ids)
+        # short items come last; by number of words, the keys in order and whose they are
+        self.short = {}
+        for m in {len(t) for _, t in short}:
+            own = [x for x in short if len(x[1]) == m]
+            keys = _joined(np.concatenate([t for _, t in own]), m)[::m]
+            order = np.argsort(keys, kind="stable")
+            self.short[m] = keys[order], len(self.ids) + order
+            self.ids += [x for x, _ in own]
+            self.tokens += [t for _, t in own]
         self.sizes = np.array([len(t) for t in self.tokens], np.int64)
+        every, self.tokens = self.sizes, self.tokens[: self.long]
+        self.sizes, self.all_sizes = every[: self.long], every
         self.classes = np.unique(self.sizes)
-        if not len(self.tokens):
+        if not self.long:
             return
         flat = np.concatenate(self.tokens)
         starts = np.cumsum(np.r_[0, self.sizes[:-1]])
         keys = embed(flat, starts, starts + self.sizes, self.sizes)
-        self.of = np.repeat(np.arange(len(self.ids)), REPEATS)
+        self.of = np.repeat(np.arange(self.long), REPEATS)
         order = np.argsort(keys.ravel(), kind="stable")
         self.keys, self.of = keys.ravel()[order], self.of[order]
         # groups of items for the count filter: (words, words of an item that count, how many of them a window must have).
@@ -145,7 +170,22 @@ class Index:
 
     def search(self, bounds: np.ndarray, h: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(row, item, distance, last word's place) of the best passage for each row and item."""
-        if not len(h) or not len(self.ids):
+        return sorted(self._short(bounds, h) + self._long(bounds, h))
+
+    def _short(self, bounds: np.ndarray, h: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """The first place of each short item in each row."""
+        row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        first: dict[tuple[int, int], int] = {}
+        for m, (keys, items) in self.short.items():
+            joined = _joined(h, m)
+            left, right = np.searchsorted(keys, joined, "left"), np.searchsorted(keys, joined, "right")
+            for at in np.flatnonzero((right > left) & (row[: len(joined)] == row[m - 1 :])).tolist():
+                for item in items[left[at] : right[at]].tolist():
+                    first.setdefault((int(row[at]), item), at + m - int(bounds[row[at]]))
+        return [(*pair, 0, end) for pair, end in first.items()]
+
+    def _long(self, bounds: np.ndarray, h: np.ndarray) -> list[tuple[int, int, int, int]]:
+        if not len(h) or not self.long:
             return []
         row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         row_start, row_end = bounds[:-1][row], bounds[1:][row]
@@ -157,16 +197,17 @@ class Index:
         n = right - left
         window = np.repeat(np.arange(len(starts)).repeat(REPEATS), n)
         item = self.of[np.repeat(left - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        pairs = np.unique(window * len(self.ids) + item)
-        window, item = pairs // len(self.ids), pairs % len(self.ids)
+        pairs = np.unique(window * self.long + item)
+        window, item = pairs // self.long, pairs % self.long
         same = sizes[window] == self.sizes[item]
         window, item = window[same], item[same]
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for m in np.unique(self.sizes[item]):
             own = np.flatnonzero(self.sizes[item] == m)
             k = edits(int(m))
-            for i in range(0, len(own), 4096):
-                part = own[i : i + 4096]
+            step = max(1, (1 << 18) // int(m))  # so many words of candidates at a time
+            for i in range(0, len(own), step):
+                part = own[i : i + step]
                 s = starts[window[part]]
                 at = s[:, None] + np.arange(-k, m + k)[None]
                 inside = (at >= row_start[s][:, None]) & (at < row_end[s][:, None])
@@ -176,7 +217,7 @@ class Index:
                     pair, found = (int(row[w]), x), (dist, int(w - k + e - row_start[w]))
                     if pair not in best or found < best[pair]:
                         best[pair] = found
-        return [(*pair, *found) for pair, found in sorted(best.items())]
+        return [(*pair, *found) for pair, found in best.items()]
 
 
 def _item_shards(items: DataFrame, id_column: str):
@@ -213,7 +254,7 @@ def hits(docs: DataFrame, items: DataFrame, item_column: str = "item_id") -> Dat
             index = Index(*shipped.value)
             for batch in batches:
                 rows = list(_found(index, batch.column(1)))
-                columns = [[index.ids[x[1]] for x in rows], [int(index.sizes[x[1]]) for x in rows], [x[2] for x in rows], [x[3] - 1 for x in rows]]
+                columns = [[index.ids[x[1]] for x in rows], [int(index.all_sizes[x[1]]) for x in rows], [x[2] for x in rows], [x[3] - 1 for x in rows]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([x[0] for x in rows], pa.int64())), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "item_id", "n_words", "distance", "last_word"])
 
         part = docs.mapInArrow(scan, "doc_id long, item_id long, n_words long, distance long, last_word long")
