@@ -134,25 +134,36 @@ class Tagger:
     def decode(self, codes):
         """The best tag sequence of each row: (rows, steps)."""
         e, _, _ = self.emissions(codes)
+        return self.viterbi(e, np.full(e.shape[1], len(e)))
+
+    def viterbi(self, e, lengths):
+        """The best tag sequence of each row of scores e (steps, rows, tags), of which the first `lengths` steps count."""
         steps, rows, _ = e.shape
         best, back = self.w["start"] + e[0], np.empty(e.shape, np.uint8)
+        at = np.arange(rows)
+        ends = best.copy()
         for t in range(1, steps):
             s = best[:, :, None] + self.w["move"]
             back[t] = s.argmax(1)
             best = s.max(1) + e[t]
-        path = np.empty((steps, rows), np.uint8)
-        path[-1] = best.argmax(1)
-        at = np.arange(rows)
-        for t in range(steps - 1, 0, -1):
-            path[t - 1] = back[t][at, path[t]]
+            over = lengths == t + 1
+            ends[over] = best[over]
+        last = ends.argmax(1)
+        path = np.zeros((steps, rows), np.uint8)
+        for t in range(steps - 1, -1, -1):
+            own = lengths > t
+            path[t, own] = last[own]
+            if t:
+                last = np.where(own, back[t][at, last], last)
         return path.T
 
 
 def label(tagger: Tagger, texts: list[np.ndarray], anchor: np.ndarray, width: int = 96, rows: int = 512) -> list[np.ndarray]:
-    """The tags of each text's characters. Windows of `width` characters overlap by half; a character's tag is that of the
-    window in which it stands nearest to the middle. A window without an anchor character (a code that every span holds)
-    has no span; its characters are untagged and the network is not asked."""
-    step, quarter = width // 2, width // 4
+    """The tags of each text's characters. Windows of `width` characters overlap by half; a character's scores are the mean of
+    those of its windows, weighted by how far it stands from the window's ends. Then one path is decoded over each stretch of
+    windows that touch, so the transitions hold across their borders. A window without an anchor character (a code that every
+    span holds) has no span; the network isn't asked, and characters in no other window are untagged."""
+    step = width // 2
     found = [np.zeros(len(t), np.uint8) for t in texts]
     jobs = []
     for k, codes in enumerate(texts):
@@ -162,16 +173,48 @@ def label(tagger: Tagger, texts: list[np.ndarray], anchor: np.ndarray, width: in
             first = np.maximum(0, -(-(hits - width + 1) // step))
             final = np.minimum(last, hits // step)
             own = np.unique(np.concatenate([np.minimum(first + j, final) for j in range(width // step + 1)]))
-            jobs += [(k, int(i), i == last) for i in own]
+            jobs += [(k, int(i)) for i in own]
+    # stretches of windows that touch: (text, first character, end), and each window's place in one
+    stretches: list[list[int]] = []
+    for k, i in jobs:
+        a, b = i * step, min(i * step + width, len(texts[k]))
+        if stretches and stretches[-1][0] == k and a <= stretches[-1][2]:
+            stretches[-1][2] = b
+        else:
+            stretches.append([k, a, b])
+    starts = np.cumsum([0, *(b - a for _, a, b in stretches)])
+    score, weight = np.zeros((starts[-1], tagger.tags), np.float32), np.zeros(starts[-1], np.float32)
+    pull = np.minimum(np.arange(width), np.arange(width)[::-1]).astype(np.float32) + 1
+    of = 0
     for j in range(0, len(jobs), rows):
         part = jobs[j : j + rows]
         block = np.zeros((len(part), width), np.uint8)
-        for r, (k, i, _) in enumerate(part):
+        for r, (k, i) in enumerate(part):
             piece = texts[k][i * step : i * step + width]
             block[r, : len(piece)] = piece
-        tags = tagger.decode(block)
-        for r, (k, i, end) in enumerate(part):
-            a = 0 if i == 0 else quarter
-            b = min(width if end else width - quarter, len(texts[k]) - i * step)
-            found[k][i * step + a : i * step + b] = tags[r, a:b]
+        e, _, _ = tagger.emissions(block)
+        for r, (k, i) in enumerate(part):
+            while stretches[of][0] != k or not stretches[of][1] <= i * step < stretches[of][2]:
+                of += 1
+            a = int(starts[of]) + i * step - stretches[of][1]
+            n = min(width, len(texts[k]) - i * step)
+            score[a : a + n] += e[:n, r] * pull[:n, None]
+            weight[a : a + n] += pull[:n]
+    score /= weight[:, None]
+    # stretches of like length are decoded together
+    order = sorted(range(len(stretches)), key=lambda x: stretches[x][2] - stretches[x][1])
+    i = 0
+    while i < len(order):
+        j, longest = i, stretches[order[i]][2] - stretches[order[i]][1]
+        while j < len(order) and j - i < rows and (stretches[order[j]][2] - stretches[order[j]][1]) <= 2 * longest:
+            j += 1
+        own = order[i:j]
+        lengths = np.array([stretches[x][2] - stretches[x][1] for x in own])
+        e = np.zeros((int(lengths.max()), len(own), tagger.tags), np.float32)
+        for r, x in enumerate(own):
+            e[: lengths[r], r] = score[starts[x] : starts[x + 1]]
+        for x, tags in zip(own, tagger.viterbi(e, lengths)):
+            k, a, b = stretches[x]
+            found[k][a:b] = tags[: b - a]
+        i = j
     return found
