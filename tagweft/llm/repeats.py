@@ -225,6 +225,8 @@ def _shards(batches, window: int):
 
 def marked_windows(rows: DataFrame, window: int = WINDOW, key_segments: int = KEY_SEGMENTS) -> DataFrame:
     """doc_id, th, first, marks: bit i of marks says that the window first + i of that document is a repeat."""
+    if not GRAM <= window <= 62 + GRAM:  # an anchor has window - GRAM + 1 windows at most, and marks have 63 bits
+        raise ValueError(f"window must be {GRAM} to {62 + GRAM}")
     every = stored(_segments(rows, window))
     twice = durable(every.groupBy("key").count().where("count > 1").select(F.col("key").alias("k")))
     near = stored(every.join(twice, F.col("key") == F.col("k"), "left_semi"))
