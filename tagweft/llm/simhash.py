@@ -396,39 +396,24 @@ def _open(shared: DataFrame, member: DataFrame) -> DataFrame:
     return rows.join(apart.hint("merge"), F.col("token") == F.col("t"), "left_semi").select("token", "node", "size")
 
 
-def near_pairs(size: np.ndarray, sketches: np.ndarray, root: np.ndarray, forest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows, in order of size, with different roots whose sizes and sketches allow the threshold: all of them, or
-    a forest of them that joins the same rows."""
-    label = root.copy()
-    found: list = []
+def near_pairs(size: np.ndarray, sketches: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows, in order of size, with different roots whose sizes and sketches allow the threshold."""
+    found = [(np.zeros(0, int), np.zeros(0, int))]
     for i in range(0, len(size), 64):
         own = slice(i, min(i + 64, len(size)))
         end = int(np.searchsorted(size, NEAR[1] * size[own.stop - 1] // NEAR[0], "right"))
         a, b = size[own][:, None], size[None, i:end]
-        ok = (label[own][:, None] != label[None, i:end]) & (NEAR[1] * a >= NEAR[0] * b) & (np.arange(i, own.stop)[:, None] < np.arange(i, end)[None])
-        p, q = np.nonzero(ok)
+        p, q = np.nonzero((root[own][:, None] != root[None, i:end]) & (NEAR[1] * a >= NEAR[0] * b) & (np.arange(i, own.stop)[:, None] < np.arange(i, end)[None]))
         for k in range(0, len(p), 1 << 16):
             x, y = p[k : k + (1 << 16)] + i, q[k : k + (1 << 16)] + i
             differ = np.bitwise_count(sketches[x] ^ sketches[y]).sum(axis=1, dtype=np.int64)
             # sets of similarity s differ in at most (1 - s) / (1 + s) of the sum of their sizes
             good = (NEAR[1] + NEAR[0]) * differ <= (NEAR[1] - NEAR[0]) * (size[x] + size[y])
-            x, y = x[good], y[good]
-            if forest and len(x):
-                low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
-                order = np.lexsort((high, low))
-                order = order[np.r_[True, (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)]]
-                for u, v in zip(x[order].tolist(), y[order].tolist()):
-                    if label[u] != label[v]:
-                        label[label == label[v]] = label[u]
-                        found.append((np.array([u]), np.array([v])))
-            elif len(x):
-                found.append((x, y))
-    if not found:
-        return np.zeros(0, int), np.zeros(0, int)
+            found.append((x[good], y[good]))
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
-def _across(rows: DataFrame, member: DataFrame, forest: bool, shard_rows: int) -> DataFrame:
+def _across(rows: DataFrame, member: DataFrame, shard_rows: int) -> DataFrame:
     """Pairs of open rows (token, node, size, sketch) of a token that aren't in one component and that near_pairs finds."""
     rows = _rooted(rows, member).select(F.col("token").alias("key"), F.col("node").alias("name"), "size", "sketch", "root")
 
@@ -444,7 +429,7 @@ def _across(rows: DataFrame, member: DataFrame, forest: bool, shard_rows: int) -
         bounds = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
         for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             if j - i > 1 and (root[i:j] != root[i]).any():
-                x, y = near_pairs(size[i:j], bits[i:j], root[i:j], forest)
+                x, y = near_pairs(size[i:j], bits[i:j], root[i:j])
                 if len(x):
                     yield _batch(np.minimum(node[i + x], node[i + y]), np.maximum(node[i + x], node[i + y]), names=["a", "b"])
 
@@ -496,10 +481,12 @@ def similar(docs: DataFrame, words: int = WIDE_WORDS, shard_rows: int = SHARD_RO
     sketches = made.groupBy("node").agg(F.first("sketch").alias("sketch")).withColumnRenamed("node", "s")
     open_ = _open(shared, member)
     open_ = stored(open_.join(sketches.hint("merge"), F.col("node") == F.col("s")).select("token", "node", "size", "sketch"))
-    for forest in (True, False):
-        more = durable(_across(open_, member, forest, shard_rows))
-        links = durable(links.union(_verified(more, sets, words)))
-        member = components(links)
+    gc()
+    more = durable(_across(open_, member, shard_rows))
+    links = durable(links.union(_verified(more, sets, words)))
+    gc()
+    member = components(links)
+    gc()
     points = points.join(member.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     lowest = points.groupBy("root").agg(F.min("least").alias("component_id"))
     points = durable(points.join(lowest, "root").select(F.col("node").alias("n2"), "component_id"))
