@@ -464,7 +464,11 @@ def render_events(spark, sf_dir):
 
 
 def _shared(spark) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tagweft-')}"
+    """The folder that driver and executors share; one of our own only on local masters."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return at or f"file://{tempfile.mkdtemp(prefix='tagweft-')}"
 
 
 @query("SELECT page_id AS doc_id, true AS complete, length(html)::BIGINT AS n FROM pages")
