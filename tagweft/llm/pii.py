@@ -3,9 +3,10 @@
 The tagger is trained in numpy, on the driver, from labelled spans that examples() writes: addresses, numbers and their
 disguises (`name (at) host dot org`, telephone numbers without a plus, cards with dots, IPv6), among words, dates, prices,
 versions and other numbers. Its windows overlap by half; a character's scores are merged over its windows, and one path is
-decoded over all windows that touch, so a span may cross windows. The tagger looks for spans with one of the ANCHORS and is
-only run on windows that have one: a disguise without any (`name at host dot org`, IPv6 without digits) is not looked for.
-An exact check of each tagged span (digits, Luhn, address syntax) follows, which may also tell that it is of another kind. Base spans always stay; tagged ones that overlap
+decoded over all windows that touch, so a span may cross windows. It is run on the windows that hold one of the ANCHORS, the
+word "dot" or two colons with at most four hexadecimal digits between them, and on the windows beside them: whatever passes
+the exact check holds one of these. A bare ` at ` only counts with a ` dot ` or a bracketed one, as `look at example.org` is
+no address. An exact check of each tagged span (digits, Luhn, address syntax) follows, which may also tell that it is of another kind. Base spans always stay; tagged ones that overlap
 them are dropped, the others are added.
 
 Null and empty texts have no spans. Offsets are code points, ends exclusive. Rows repeat as in the input, a null doc_id
@@ -14,9 +15,12 @@ stays null, an empty table gives no rows, and other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import ipaddress
+import itertools
+import random
 import re
 
 import numpy as np
@@ -29,6 +33,7 @@ from .text import chunks
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_LABEL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-")
 _HOST = re.compile(r"@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+")
 #: A run of digits that has failed from its start fails from each later digit too, so a look-behind changes no result.
 _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
@@ -36,9 +41,11 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
 
-#: What a text must hold for a span: ANCHORS for the tagger, any of them but brackets for the patterns.
+#: What a text must hold for a span: ANCHORS or _MORE for the tagger, any of the ANCHORS but brackets for the patterns.
 ANCHORS = "0123456789@(["
-_DISGUISED = re.compile(r"(?i)[a-z0-9._%+-]+ ?[(\[]? ?(?:at|@) ?[)\]]? ?[a-z0-9-]+(?: ?[(\[]? ?(?:dot|\.) ?[)\]]? ?[a-z0-9-]+)+")
+_MORE = re.compile(r"(?i)\x20dot\x20|:(?=[0-9a-f]{0,4}:)")
+_AT, _DOT = r"(?:\x20?[(\[]\x20?(?:at|@)\x20?[)\]]\x20?|\x20?@\x20?)", r"(?:\x20?[(\[]\x20?(?:dot|\.)\x20?[)\]]\x20?|\x20dot\x20)"
+_DISGUISED = re.compile(rf"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++(?:{_AT}[a-z0-9-]++(?:(?:{_DOT}|\x20?\.\x20?)[a-z0-9-]++)+|\x20at\x20[a-z0-9-]++(?:{_DOT}[a-z0-9-]++)+)")
 _DATE = re.compile(r"(?:[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./][0-9]{2,4})$")
 _NUMBER = re.compile(r"\+?[0-9(][0-9()\x20.-]*[0-9]$")
 
@@ -106,33 +113,53 @@ def holds(kind: int, span: str) -> bool:
 
 
 def _card(r) -> str:
-    digits = [int(x) for x in r.integers(0, 10, 15)]
-    digits[0] = int(r.integers(3, 7))
+    digits = [r.randrange(10) for _ in range(15)]
+    digits[0] = r.randrange(3, 7)
     body = "".join(map(str, digits))
     return next(body + str(d) for d in range(10) if luhn(body + str(d)))
 
 
 def examples(n: int, width: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """Windows of text and their tags: 0, or 1 + 2 * kind at a span's first character and 2 + 2 * kind inside."""
-    r = np.random.default_rng(seed)
+    r = random.Random(seed)
     parts = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve co me la que ció ñe ung sch ä ü ß é è ô aux".split()
-    word = lambda: r.choice(list("aeioxyé")) if r.random() < 0.08 else "".join(r.choice(parts, int(r.integers(1, 5))))
-    plain = lambda: "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), int(r.integers(3, 9))))
-    num = lambda k: "".join(map(str, r.integers(0, 10, k)))
-    pick = lambda *x: x[int(r.integers(0, len(x)))]
-    host = lambda dot: dot.join([plain() + pick("", "", num(1)), *([plain()] if r.random() < 0.4 else []), pick("com", "org", "net", "de", "example")])
-    local = lambda: plain() + pick("", "." + plain(), "." + num(2), "_" + num(1))
+    small = "a at at dot the of to in on and for is it by or we le la und der en at a that dots what".split()
+    pick = lambda *x: r.choice(x)
+    num = lambda k: "".join(r.choices("0123456789", k=k))
+    hexa = lambda: f"{r.randrange(16 ** r.randrange(1, 5)):x}" if r.random() < 0.7 else "".join(r.choices("abcdef", k=4))
+
+    def word():
+        p = r.random()
+        return pick(*"aeioxyé") if p < 0.06 else pick(*small) if p < 0.2 else "".join(r.choices(parts, k=r.randrange(1, 5)))
+
+    def plain():
+        """A part of an address: of letters at random, or of what words are made of."""
+        return "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randrange(2, 10))) if r.random() < 0.4 else "".join(r.choices(parts[:32], k=r.randrange(1, 6)))
+
+    def host(dot):
+        return dot.join([plain() + pick("", "", "", "-" + plain(), num(1)), *([plain()] if r.random() < 0.35 else []), pick("com", "org", "net", "edu", "info", "de", "fr", "example", plain()[:3])])
+
+    local = lambda: plain() + pick("", "", "." + plain(), "." + num(2), "_" + pick(num(1), plain()), "-" + plain(), num(2))
 
     def email():
-        if r.random() < 0.5:
+        if r.random() < 0.25:
             return f"{local()}@{host('.')}"
-        at, dot = pick(("(at)", "."), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", "."), (" (at) ", " dot "), (" @ ", " . "))
-        return f"{local()}{at}{host(dot)}"
+        left, right = pick("()", "[]")
+        gap, at = pick("", " ", " "), pick("at", "at", "at", "@")
+        around = f"{gap}{left}{at}{right}{gap}"
+        form = pick((around, "."), (around, "."), (around, pick(f"{gap}{left}dot{right}{gap}", " dot ")), (" at ", " dot "), (" at ", " dot "), (" @ ", pick(" . ", ".", " dot ")))
+        text = f"{local()}{form[0].upper() if (up := r.random() < 0.25) else form[0]}{host(form[1].upper() if up else form[1])}"
+        return text.title() if r.random() < 0.04 else text
 
     def ip():
-        if r.random() < 0.3:
-            return ":".join(f"{int(x):x}" for x in r.integers(1, 65536, 8))
-        return ".".join(str(int(x)) for x in r.integers(1, 256, 4))
+        p = r.random()
+        if p < 0.3:
+            return ":".join(f"{r.randrange(1, 65536):x}" for _ in range(8))
+        if p < 0.6:
+            groups = [hexa() for _ in range(r.randrange(2, 7))]
+            at = r.randrange(len(groups))
+            return ":".join(groups[:at]) + "::" + ":".join(groups[at:])
+        return ".".join(str(r.randrange(1, 256)) for _ in range(4))
 
     def card():
         c, gap = _card(r), pick("", " ", "-", ".")
@@ -142,7 +169,7 @@ def examples(n: int, width: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray
         return pick(f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"+{num(2)} {num(3)} {num(7)}", f"0{num(3)} {num(3)} {num(4)}", f"{num(3)}.{num(3)}.{num(4)}")
 
     def other():
-        return pick(f"20{num(2)}-0{num(1)}-1{num(1)}", f"1{num(1)}:3{num(1)}", f"{num(1)}.{num(1)}.{num(1)}", num(int(r.integers(1, 9))), f"{num(2)},{num(3)}.{num(2)}", f"({num(4)})", f"[{num(1)}]", f"({word()} {word()})", f"password={num(3)}ab{num(5)}", f"AKIA{num(8)}", f"{num(2)} %", f"No. {num(6)}")
+        return pick(f"20{num(2)}-0{num(1)}-1{num(1)}", f"1{num(1)}:3{num(1)}:0{num(1)}", f"{num(1)}.{num(1)}.{num(1)}", num(r.randrange(1, 9)), f"{num(2)},{num(3)}.{num(2)}", f"({num(4)})", f"[{num(1)}]", f"({word()} {word()})", f"password={num(3)}ab{num(5)}", f"AKIA{num(8)}", f"{num(2)} %", f"No. {num(6)}", f"{plain()}::{plain()}", f"{plain()} at {host('.')}", f"(at {num(1)}:{num(2)})", f"{word()}: {word()}:", f"@{plain()}", f"[{word()}]", f"({word()})")
 
     makers = (email, ip, card, phone)
     codes, tags = np.zeros((n, width), np.uint8), np.zeros((n, width), np.uint8)
@@ -151,7 +178,7 @@ def examples(n: int, width: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray
         while len(text) < 2 * width:
             p = r.random()
             if p < 0.13:
-                kind = int(r.integers(0, 4))
+                kind = pick(0, 0, 0, 1, 1, 2, 3, 3)
                 span = makers[kind]()
                 marks.append((len(text), len(text) + len(span), kind))
                 text += span + pick(" ", " ", ". ", ", ", "\n")
@@ -163,15 +190,15 @@ def examples(n: int, width: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray
         for a, b, kind in marks:
             tag[a:b] = 2 + 2 * kind
             tag[a] = 1 + 2 * kind
-        shift = int(r.integers(0, len(text) - width))
+        shift = r.randrange(len(text) - width)
         codes[k], tags[k] = encode(text[shift : shift + width]), tag[shift : shift + width]
     return codes, tags
 
 
 @functools.cache
-def trained(hidden: int = 16, windows: int = 3200, width: int = 64) -> Tagger:
+def trained(hidden: int = 24, windows: int = 4800, width: int = 64) -> Tagger:
     """The tagger, trained once a process."""
-    return Tagger(1 + 2 * len(KINDS), hidden).train(*examples(windows, width), epochs=10)
+    return Tagger(1 + 2 * len(KINDS), hidden).train(*examples(windows, width), epochs=9)
 
 
 _ANCHOR = np.zeros(256, bool)
@@ -180,36 +207,57 @@ _ANCHOR_BYTES = np.zeros(256, bool)
 _ANCHOR_BYTES[list(ANCHORS.encode())] = True
 
 
+def _anchors(data: np.ndarray) -> np.ndarray:
+    """Places in bytes of texts of which each row with an anchor has one: all that _MORE finds are among them."""
+    colon = np.flatnonzero(data == 58)
+    o = np.flatnonzero((data[1:-1] | 32) == 111) if len(data) > 2 else colon[:0]
+    dot = o[((data[o] | 32) == 100) & ((data[o + 2] | 32) == 116)]
+    return np.concatenate([np.flatnonzero(_ANCHOR_BYTES[data]), colon[:-1][np.diff(colon) <= 5], dot])
+
+
 def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
     """(start, kind, end) of each text's tagged spans that pass the exact check."""
     found = []
-    for text, tags in zip(texts, label(tagger, [encode(t) for t in texts], _ANCHOR)):
+    for text, tags in zip(texts, label(tagger, [encode(t) for t in texts], _ANCHOR, more=[np.array([m.start() for m in _MORE.finditer(t)], np.int64) for t in texts])):
         own = []
         kind = (tags.astype(int) + 1) // 2  # 0, or 1 + kind
         first = np.flatnonzero((kind > 0) & ((np.r_[0, kind[:-1]] != kind) | (tags % 2 == 1)))
-        for a in first.tolist():
+        last = 0
+        for a, after in itertools.pairwise([*first.tolist(), len(text)]):
             b = a + 1
             while b < len(tags) and tags[b] == 2 * kind[a]:
                 b += 1
             span = text[a:b].rstrip(" .,\n")
             k = int(kind[a]) - 1
             k = next((x for x in (k, 2, 3, 1, 0) if holds(x, span)), None)  # the check knows a card with dots from an address
+            if kind[a] == 1 and k in (0, None):  # an address: of whole words, up to the spans beside it
+                while a > last and text[a - 1] in _LOCAL:
+                    a -= 1
+                while b < after and text[b] in _LABEL:
+                    b += 1
+                m = _DISGUISED.search(text, a, b)
+                a, span, k = (m.start(), m[0], 0) if m else (a, "", None)
             if k is not None:
-                own.append((a, k, a + len(span)))
+                last = a + len(span)
+                own.append((a, k, last))
         found.append(own)
     return found
 
 
+def apart(found: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[bool]:
+    """Whether each of found (in order, apart from each other) overlaps none of base (in order of starts)."""
+    starts = [a for a, _, _ in base]
+    ends = list(itertools.accumulate((b for _, _, b in base), max))
+    return [not (i := bisect.bisect_left(starts, b)) or ends[i - 1] <= a for a, _, b in found]
+
+
 def spans(tagger: Tagger, texts: list[str]) -> list[tuple[list, list]]:
     """Base and all spans of each text."""
     bases = [base_spans(t) for t in texts]
     found = []
     for base, more in zip(bases, tagged_spans(tagger, texts)):
-        every = list(base)
-        for a, k, b in more:
-            if not any(x < b and a < y for x, _, y in every):
-                every.append((a, k, b))
-        found.append((base, sorted(every)))
+        over = apart(more, base)
+        found.append((base, sorted(base + [x for x, free in zip(more, over) if free])))
     return found
 
 
@@ -220,7 +268,7 @@ def joined(found: list[tuple[int, int, int]]) -> str:
 def _rows(batch_column, tagger: Tagger):
     """(row, text, base spans, all spans) of the rows that hold an anchor; the others have no span."""
     for i, _, data, offsets in chunks(batch_column):
-        rows = np.unique(np.searchsorted(offsets, np.flatnonzero(_ANCHOR_BYTES[data]), "right") - 1).tolist()
+        rows = np.unique(np.searchsorted(offsets, _anchors(data), "right") - 1).tolist()
         texts = [data[offsets[k] : offsets[k + 1]].tobytes().decode() for k in rows]
         for k, text, (base, every) in zip(rows, texts, spans(tagger, texts)):
             yield i + k, text, base, every

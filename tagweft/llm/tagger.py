@@ -85,29 +85,29 @@ class Tagger:
         at = np.arange(rows)
         gold = w["start"][y[0]] + e[0, at, y[0]]
         de = np.exp(alpha + beta - total[None, :, None])
-        g = {"move": np.zeros((k, k), np.float32), "start": de[0].sum(0)}
+        both = np.exp(alpha[:-1, :, :, None] + w["move"] + (e + beta)[1:, :, None, :] - total[:, None, None])
+        g = {"move": both.sum((0, 1)), "start": de[0].sum(0)}
+        np.subtract.at(g["move"], (y[:-1], y[1:]), 1)
         np.subtract.at(g["start"], y[0], 1)
         for t in range(1, steps):
             gold += w["move"][y[t - 1], y[t]] + e[t, at, y[t]]
-            both = np.exp(alpha[t - 1][:, :, None] + w["move"] + (e[t] + beta[t])[:, None, :] - total[:, None, None])
-            g["move"] += both.sum(0)
-            np.subtract.at(g["move"], (y[t - 1], y[t]), 1)
         de[np.arange(steps)[:, None], at[None, :], y] -= 1
         g["out"] = np.einsum("tbh,tbk->hk", h, de)
         g["bias"] = de.sum((0, 1))
         dh_all = de @ w["out"].T
+        seen = np.eye(ALPHABET, dtype=dh_all.dtype)[turned.ravel()]  # sums by code as one product
         for d, saved, part in (("f", sf, dh_all[:, :, :n]), ("b", sb, dh_all[:, :, n:])):
-            gx, gu, gb = (np.zeros_like(w[f"{p}{d}"]) for p in "xub")
+            gu = np.zeros_like(w[f"u{d}"])
             dh, dc = np.zeros((rows, n), np.float32), np.zeros((rows, n), np.float32)
+            every = np.empty((steps, rows, 4 * n), dh_all.dtype)
             for t, i, f, o, gg, tc, h0, c0 in reversed(saved):
                 dh = dh + part[t]
                 dc = dc + dh * o * (1 - tc * tc)
                 dz = np.concatenate([dc * gg * i * (1 - i), dc * c0 * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - gg * gg)], axis=1)
-                np.add.at(gx, turned[t], dz)
+                every[t] = dz
                 gu += h0.T @ dz
-                gb += dz.sum(0)
                 dh, dc = dz @ w[f"u{d}"].T, dc * f
-            g |= {f"x{d}": gx, f"u{d}": gu, f"b{d}": gb}
+            g |= {f"x{d}": seen.T @ every.reshape(-1, 4 * n), f"u{d}": gu, f"b{d}": every.sum((0, 1))}
         return float((total - gold).mean()), {key: value / rows for key, value in g.items()}
 
     def train(self, codes, tags, epochs=10, batch=64, rate=0.02, seed=3):
@@ -158,21 +158,23 @@ class Tagger:
         return path.T
 
 
-def label(tagger: Tagger, texts: list[np.ndarray], anchor: np.ndarray, width: int = 96, rows: int = 512) -> list[np.ndarray]:
+def label(tagger: Tagger, texts: list[np.ndarray], anchor: np.ndarray, width: int = 96, rows: int = 512, more: list[np.ndarray] | None = None) -> list[np.ndarray]:
     """The tags of each text's characters. Windows of `width` characters overlap by half; a character's scores are the mean of
     those of its windows, weighted by how far it stands from the window's ends. Then one path is decoded over each stretch of
-    windows that touch, so the transitions hold across their borders. A window without an anchor character (a code that every
-    span holds) has no span; the network isn't asked, and characters in no other window are untagged."""
+    windows that touch, so the transitions hold across their borders. The network is asked in the windows that hold an anchor (a
+    character whose code is one, or a position that `more` names) and in those beside them; the others have no span."""
     step = width // 2
     found = [np.zeros(len(t), np.uint8) for t in texts]
     jobs = []
     for k, codes in enumerate(texts):
         hits = np.flatnonzero(anchor[codes])
+        if more is not None:
+            hits = np.union1d(hits, more[k])
         if len(hits):
             last = max(0, -(-(len(codes) - width) // step))
-            first = np.maximum(0, -(-(hits - width + 1) // step))
-            final = np.minimum(last, hits // step)
-            own = np.unique(np.concatenate([np.minimum(first + j, final) for j in range(width // step + 1)]))
+            first = np.maximum(0, -(-(hits - width + 1) // step) - 1)
+            final = np.minimum(last, hits // step + 1)
+            own = np.unique(np.concatenate([np.minimum(first + j, final) for j in range(width // step + 3)]))
             jobs += [(k, int(i)) for i in own]
     # stretches of windows that touch: (text, first character, end), and each window's place in one
     stretches: list[list[int]] = []
