@@ -15,7 +15,6 @@ stays null, an empty table gives no rows, and other columns are ignored.
 
 from __future__ import annotations
 
-import bisect
 import functools
 import hashlib
 import ipaddress
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tagger import Tagger, encode, label
-from .text import chunks
+from .text import apart, chunks
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -244,13 +243,6 @@ def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int,
     return found
 
 
-def apart(found: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[bool]:
-    """Whether each of found (in order, apart from each other) overlaps none of base (in order of starts)."""
-    starts = [a for a, _, _ in base]
-    ends = list(itertools.accumulate((b for _, _, b in base), max))
-    return [not (i := bisect.bisect_left(starts, b)) or ends[i - 1] <= a for a, _, b in found]
-
-
 def spans(tagger: Tagger, texts: list[str]) -> list[tuple[list, list]]:
     """Base and all spans of each text."""
     bases = [base_spans(t) for t in texts]

@@ -2,7 +2,7 @@
 
 The lexer reads name-literal pairs from source and configuration syntax: `name = "x"`, `name: x`, `"name": "x"`,
 `name := 'x'`, `NAME=x`, with string literals joined by `+` or by standing side by side,
-of any length; triple quotes, template literals and YAML block scalars go over lines. A literal given to a name is a
+of any length, as are names and blanks; triple quotes, template literals and YAML block scalars go over lines. A literal given to a name is a
 constant of that name; a right side that is a known name takes over its constant. Each constant is scored by how
 sensitive the names are that it reaches and by how much it looks like a generated value. What reaches THRESHOLD is a span
 of kind `literal` at the place where the literal stands, unless it overlaps a span of the fixed patterns.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import LOWER, chunks, runs
+from .text import LOWER, apart, chunks, runs
 
 KINDS = ("assign", "access", "hex", "literal")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -40,12 +40,12 @@ HINTS = (b"pass", b"pwd", b"secret", b"token", b"key", b"auth", b"credential", b
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{?.*|%.*%|change_?me.*|example.*|your.*|dummy.*|placeholder.*|none|null|true|false|undefined|password|secret|token|test.*)$")
 
 _OPERATOR = re.compile(r"[:=]")
-_NAME = re.compile(r"""([A-Za-z_][A-Za-z0-9_.-]{0,63})["'\]]?[ \t]{0,8}$""")
-_STRING = re.compile(r"""(?s)[ \t]{0,8}(?:"{3}((?:[^"\\]|\\.|"(?!""))*+)"{3}|'{3}((?:[^'\\]|\\.|'(?!''))*+)'{3}|`((?:[^`\\]|\\.)*+)`|"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)')""")
-_JOIN = re.compile(r"[ \t]{0,8}\+?[ \t]{0,8}(?=[\"'`])")
-_BLANK = re.compile(r"[ \t]{0,8}")
+_NAME_PARTS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
+_STRING = re.compile(r"""(?s)[ \t]*+(?:"{3}((?:[^"\\]|\\.|"(?!""))*+)"{3}|'{3}((?:[^'\\]|\\.|'(?!''))*+)'{3}|`((?:[^`\\]|\\.)*+)`|"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)')""")
+_JOIN = re.compile(r"[ \t]*+\+?[ \t]*+(?=[\"'`])")
+_BLANK = re.compile(r"[ \t]*+")
 _BARE = re.compile(r"[A-Za-z0-9_+/=.~!@#$%^&*:-]+")
-_BLOCK = re.compile(r"[ \t]{0,8}[|>][-+0-9]{0,2}[ \t]*\n")
+_BLOCK = re.compile(r"[ \t]*+[|>][-+0-9]{0,2}[ \t]*\n")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -75,11 +75,28 @@ def _block(text: str, name: int, at: int) -> tuple[int, int]:
     return at + len(inner) - len(inner.lstrip()), at + len(inner.rstrip())
 
 
+def _name(text: str, before: int) -> tuple[int, str] | None:
+    """The name that ends before a position, up to a quote or bracket, blanks and one line end, and its start. It holds no
+    operator, so the names of a text's operators are read in linear time."""
+    end = before - 1 if text[before - 1 : before] == "\n" else before
+    while end and text[end - 1] in " \t":
+        end -= 1
+    if end and text[end - 1] in "\"']":
+        end -= 1
+    start = end
+    while start and text[start - 1] in _NAME_PARTS:
+        start -= 1
+    while start < end and text[start] in "0123456789.-":
+        start += 1
+    return (start, text[start:end]) if start < end else None
+
+
 def constants(text: str) -> list[tuple[str, str | None, int, int]]:
     """(name, value, start, end) for each literal and each name that it reaches, in the order of the assignments. The value
     is None where it is text[start:end] as it stands: runs like a=b=c are values of each other, and copies would add up."""
     known: dict[str, tuple[str | None, int, int]] = {}
     found = []
+    longest = 0  # of the known names
     over = 0  # the end of the last run of unquoted characters
     for m in _OPERATOR.finditer(text):
         p = m.start()
@@ -91,9 +108,9 @@ def constants(text: str) -> list[tuple[str, str | None, int, int]]:
             continue
         if m[0] == ":" and after == "=":
             continue
-        name = _NAME.search(text, max(0, before - 80), before)
-        if not name:
+        if not (named := _name(text, before)):
             continue
+        place, name = named
         value, start, at = "", None, p + 1
         while s := _STRING.match(text, at):
             k = s.lastindex
@@ -107,7 +124,7 @@ def constants(text: str) -> list[tuple[str, str | None, int, int]]:
         if start is None:
             value = None
             if m[0] == ":" and (s := _BLOCK.match(text, at)):
-                start, end = _block(text, name.start(), s.end())
+                start, end = _block(text, place, s.end())
             else:
                 start = _BLANK.match(text, at).end()
                 if start >= over:
@@ -116,11 +133,12 @@ def constants(text: str) -> list[tuple[str, str | None, int, int]]:
                 end = over
                 while end > start and text[end - 1] in ".,:":
                     end -= 1
-                if end - start <= 64 and text[start:end] in known:  # the name takes over the other's constant
+                if end - start <= longest and text[start:end] in known:  # the name takes over the other's constant
                     value, start, end = known[text[start:end]]
         if value or value is None and end > start:
-            known[name[1]] = (value, start, end)
-            found.append((name[1], value, start, end))
+            known[name] = (value, start, end)
+            longest = max(longest, len(name))
+            found.append((name, value, start, end))
     return found
 
 
@@ -141,8 +159,10 @@ def literal_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int
             best[start, end] = (weight, value)
     found: list[tuple[int, int, int]] = []
     last = 0
-    for (start, end), (weight, value) in sorted(best.items(), key=lambda x: x[0]):
-        if start < last or any(a < end and start < b for a, _, b in base):
+    ordered = sorted(best)
+    for (start, end), free in zip(ordered, apart([(a, 3, b) for a, b in ordered], base)):
+        weight, value = best[start, end]
+        if start < last or not free:
             continue
         if weight * looks_generated(text[start:end] if value is None else value) >= THRESHOLD:
             found.append((start, 3, end))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -103,6 +105,13 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
+def apart(found: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[bool]:
+    """Whether each span of found overlaps none of base, which is in order of starts."""
+    starts = [a for a, _, _ in base]
+    ends = list(itertools.accumulate((b for _, _, b in base), max))
+    return [not (i := bisect.bisect_left(starts, b)) or ends[i - 1] <= a for a, _, b in found]
+
+
 def byte_sums(data: np.ndarray) -> np.ndarray:
     """Of which span_hashes takes differences."""
     sums = np.zeros(len(data) + 1, np.uint64)

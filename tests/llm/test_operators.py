@@ -10,6 +10,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -266,7 +267,34 @@ def test_secrets_long_and_multiline_literals():
         (f"  private_key: |\n    {block}\n  name: x\n", block),
     ):
         assert [text[a:b] for a, _, b in secrets.literal_spans(text, [])] == [want]
+    name = "settings." * 40 + "db_pwd"
+    for text in (f"{name} = 'Zx81kQ9vT3mm'", f"db_pwd{' ' * 30}={' ' * 30}'Zx81kQ9' {' ' * 30}+{' ' * 30}'vT3mm'", f"{name}x = 'Zx81kQ9vT3mm'\ndb_pwd = {name}x\n"):
+        assert len(secrets.literal_spans(text, [])) == 1, text
     secrets.literal_spans("a=" * 200_000, [])  # linear
+    secrets.literal_spans(" " * 200_000 + "=" + "a" * 200_000, [])
+    many = "".join(f"password = 'Zx81kQ9vT{i}'\ndb_pwd = 'Kq4{i}Zx81kQ9'\n" for i in range(20_000))
+    assert len(secrets.literal_spans(many, secrets.base_spans(many))) == 20_000
+
+
+def slow_secrets(text):
+    """By the contract's patterns, written out anew: letters in either case are spelled as classes."""
+    word = lambda w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
+    names = "|".join(["api_?key".replace("api", word("api")).replace("key", word("key")), *map(word, ("password", "passwd", "secret", "token"))])
+    out, at = [], 0
+    pattern = regex.compile(rf"""(?:{names})["']?[ ]*[:=][ ]*["']?(?<v>[A-Za-z0-9+/_.=-]+)""")
+    while m := pattern.search(text, at):
+        out += [(m.start(), 0, m.end())] if len(m["v"]) >= 8 else []
+        at = m.end()
+    runs = lambda ok: [(a, b) for a, b in ((m.start(), m.end()) for m in regex.finditer(ok, text))]
+    out += [(a, 1, b) for a, b in runs("AKIA[A-Z0-9]++") if b - a >= 16]
+    return sorted(out + [(a, 2, b) for a, b in runs("[0-9a-f]++") if b - a >= 32])
+
+
+def test_secrets_base_by_other_patterns(texts):
+    r = random.Random(5)
+    pool = ["password", "PassWd", "secret", "TOKEN", "api_key", "apikey", "ApiKey", " ", ":", "=", '"', "'", "\n", "AKIA", "AKIAIOSFODNN7EXA", "0123456789abcdef" * 2, "abcdefgh", "é", "x1/+", ".-", "A"]
+    for t in [*texts.values(), *("".join(r.choice(pool) for _ in range(r.randint(0, 40))) for _ in range(4000))]:
+        assert secrets.base_spans(t) == slow_secrets(t)
 
 
 def test_secrets_rows(spark, docs):
