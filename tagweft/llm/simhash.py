@@ -49,6 +49,8 @@ SKETCH_BITS = 1024
 #: Points of a shard above which it is cut into parts.
 SHARD_ROWS = 4000
 LEAF = 32
+#: Parts of a key that many rows look up.
+SALTS = 64
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -226,6 +228,22 @@ def links(points: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard_r
     return _linked(_dealt(rows, shard_rows), radius)
 
 
+def _told(rows: DataFrame, key: str, name: str, table: DataFrame) -> DataFrame:
+    """The rows with the value that a table (at, value) has for their key, null where it has none. A key of many rows is
+    dealt by name to SALTS parts, each of which asks the table once, so no task gets all rows of a large component."""
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(name), F.lit(SALTS)).cast("int"))
+    asked = rows.select(F.col(key).alias("k"), F.col("salt").alias("s")).distinct()
+    asked = asked.join(table, F.col("k") == F.col("at"), "left").select("k", "s", "value")
+    return rows.join(asked, (F.col(key) == F.col("k")) & (F.col("salt") == F.col("s")), "left").drop("salt", "k", "s")
+
+
+def _lowest(points: DataFrame, name: str) -> DataFrame:
+    """The points (root, least) with component_id, the smallest least of their root."""
+    part = F.pmod(F.xxhash64(name), F.lit(SALTS)).alias("part")
+    lowest = points.groupBy("root", part).agg(F.min("least").alias("value")).groupBy(F.col("root").alias("at")).agg(F.min("value").alias("value"))
+    return _told(points, "root", name, lowest).withColumnRenamed("value", "component_id")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root (its component's smallest node) for every node of the edges a, b, by contraction: each round every
     node takes its smallest neighbour, pointers are doubled, and the edges are redrawn between what they point to."""
@@ -235,14 +253,15 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select("b", "a"))
         point = durable(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
         for _ in range(2):
-            up = point.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
-            point = durable(point.join(up, point.root == up.n2).select("node", F.col("r2").alias("root")))
-        p, q = (point.select(F.col("node").alias(f"n{i}"), F.col("root").alias(f"r{i}")) for i in (1, 2))
+            up = point.select(F.col("node").alias("at"), F.col("root").alias("value"))
+            point = durable(_told(point, "root", "node", up).select("node", F.col("value").alias("root")))
+        up = point.select(F.col("node").alias("at"), F.col("root").alias("value"))
         if member is None:
             member = point
         else:
-            member = durable(member.join(p, member.root == p.n1, "left").select("node", F.coalesce("r1", "root").alias("root")))
-        edges = edges.join(p, edges.a == p.n1).join(q, F.col("b") == q.n2).where("r1 <> r2").select(F.greatest("r1", "r2").alias("a"), F.least("r1", "r2").alias("b"))
+            member = durable(_told(member, "root", "node", up).select("node", F.coalesce("value", "root").alias("root")))
+        edges = _told(edges, "a", "b", up).withColumnRenamed("value", "r1")
+        edges = _told(edges, "b", "a", up).where("r1 <> value").select(F.greatest("r1", "value").alias("a"), F.least("r1", "value").alias("b"))
         edges = durable(edges.distinct())
     if member is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -255,8 +274,7 @@ def groups(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFra
     points = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     member = components(links(points.select("fp"), radius))
     points = points.join(member, points.fp == member.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    lowest = points.groupBy("root").agg(F.min("least").alias("component_id"))
-    points = durable(points.join(lowest, "root").select(F.col("fp").alias("f2"), "component_id"))
+    points = durable(_lowest(points, "fp").select(F.col("fp").alias("f2"), "component_id"))
     return marked.join(points, marked.fp == points.f2).select("doc_id", "fp", "component_id")
 
 
@@ -488,8 +506,7 @@ def similar(docs: DataFrame, words: int = WIDE_WORDS, shard_rows: int = SHARD_RO
     member = components(links)
     gc()
     points = points.join(member.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    lowest = points.groupBy("root").agg(F.min("least").alias("component_id"))
-    points = durable(points.join(lowest, "root").select(F.col("node").alias("n2"), "component_id"))
+    points = durable(_lowest(points, "node").select(F.col("node").alias("n2"), "component_id"))
     return marked.join(points, marked["node"] == points["n2"]).select("doc_id", "component_id")
 
 
