@@ -15,11 +15,16 @@ Equal fingerprints are one point, so copies are never paired. A shard emits a tr
 never all its pairs.
 
 `similar` is for a threshold on the similarity of shingle sets, as the pipeline needs it, and exact: it links every pair of
-texts whose sets of WIDE_WORDS-word shingles have a Jaccard similarity of NEAR or more, and no other pair. Two such sets
-share one of the first few shingles of each (a fifth of the set, and one) in any common order; the order is by frequency,
-so that these prefixes are rare shingles. Texts that share one are candidates and their sets are compared. First each
-text is compared with two others of each shared shingle; then, with all that it isn't grouped with yet, so a large group of
-copies takes no more comparisons than it has texts. Shingles are known by a 64-bit hash.
+texts whose sets of WIDE_WORDS-word shingles have a Jaccard similarity of NEAR or more, and no other pair. It takes two
+rounds, each of which compares the candidates' sets exactly and groups what they link:
+
+* Candidates are found by prefixes: two sets at the threshold share one of the first few shingles of each (a
+  fifth of the set, and one) in any common order; the order is by frequency, so that these prefixes are rare shingles. Of
+  each shared shingle, each text is compared with two others that it isn't grouped with.
+* Then with all that share a shingle and aren't grouped with it yet, so a large group of copies takes no more comparisons
+  than it has texts. A pair comes from the least shingle that both share, as far as each one's FIRST_TOKENS least tell.
+
+Sketches rule out most candidates before texts are read. Shingles are known by a 64-bit hash.
 
 Null texts count as empty; empty texts have fingerprint zero; repeated rows repeat in the result; a
 null doc_id gets a fingerprint and its group's component_id. An empty table gives no rows. Other columns are ignored.
@@ -51,6 +56,14 @@ SHARD_ROWS = 4000
 LEAF = 32
 #: Parts of a key that many rows look up.
 SALTS = 64
+#: Edges up to which one task finds the components.
+LOCAL_EDGES = 1 << 20
+#: Of a set's shingles that others share, so many go with each of its rows.
+FIRST_TOKENS = 16
+#: Candidates up to which the texts are filtered by a broadcast of their nodes before they are joined.
+WANTED = 1 << 18
+#: Files of a table of pairs.
+FILES = 16
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -202,7 +215,7 @@ def _dealt(rows: DataFrame, shard_rows: int) -> DataFrame:
     """Rows (key, name, then the point) dealt by key; a key of more than shard_rows rows is cut into salted parts, and each
     pair of parts is a shard of its own."""
     large = rows.groupBy("key").count().where(F.col("count") > shard_rows).select(F.col("key").alias("hot"), F.ceil(F.col("count") / shard_rows).cast("int").alias("parts"))
-    rows = rows.join(durable(large), F.col("key") == F.col("hot"), "left")
+    rows = rows.join(large, F.col("key") == F.col("hot"), "left")
     part = F.pmod(F.xxhash64("name", F.lit(1)), F.col("parts")).cast("int")
     cut = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.xxhash64("key", F.least(part, j), F.greatest(part, j)))
     point = [c for c in rows.columns if c not in ("key", "hot", "parts")]
@@ -222,9 +235,10 @@ def _linked(rows: DataFrame, radius: int) -> DataFrame:
     return rows.mapInArrow(search, "a long, b long").distinct()
 
 
-def links(points: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Links a, b between the distinct values of points.fp, so that components are those of all pairs within the radius."""
-    rows = points.select(F.explode(F.array(*shard_keys(radius, blocks))).alias("key"), F.col("fp").alias("name"), "fp")
+def links(points: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard_rows: int = SHARD_ROWS, name: str = "fp") -> DataFrame:
+    """Links a, b between the names of points with distinct values of fp, so that components are those of all pairs within
+    the radius."""
+    rows = points.select(F.explode(F.array(*shard_keys(radius, blocks))).alias("key"), F.col(name).alias("name"), "fp")
     return _linked(_dealt(rows, shard_rows), radius)
 
 
@@ -244,22 +258,42 @@ def _lowest(points: DataFrame, name: str) -> DataFrame:
     return _told(points, "root", name, lowest).withColumnRenamed("value", "component_id")
 
 
+def _forest(batches):
+    """node and root of all edges a, b of one task."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if held:
+        a, b = (np.concatenate(x) for x in zip(*held))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = nodes[roots(len(nodes), at[: len(a)], at[len(a) :])]
+        for i in range(0, len(nodes), 1 << 16):
+            yield _batch(nodes[i : i + (1 << 16)], root[i : i + (1 << 16)], names=["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node and root (its component's smallest node) for every node of the edges a, b, by contraction: each round every
-    node takes its smallest neighbour, pointers are doubled, and the edges are redrawn between what they point to."""
-    edges = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    """node and root (its component's smallest node) for every node of the edges a, b."""
+    return contracted(durable(edges.where("a <> b").distinct()))
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """components of durable edges, by contraction: each round every node takes its smallest neighbour, pointers are doubled,
+    and the edges are redrawn between what they point to. The last LOCAL_EDGES or fewer are left to one task."""
     member = None
-    while not edges.isEmpty():
-        both = edges.union(edges.select("b", "a"))
-        point = durable(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
-        for _ in range(2):
-            up = point.select(F.col("node").alias("at"), F.col("root").alias("value"))
-            point = durable(_told(point, "root", "node", up).select("node", F.col("value").alias("root")))
+    while n := edges.count():
+        if n <= LOCAL_EDGES:
+            point = durable(edges.coalesce(1).mapInArrow(_forest, "node long, root long"))
+        else:
+            both = edges.union(edges.select("b", "a"))
+            point = durable(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+            for _ in range(2):
+                up = point.select(F.col("node").alias("at"), F.col("root").alias("value"))
+                point = durable(_told(point, "root", "node", up).select("node", F.col("value").alias("root")))
         up = point.select(F.col("node").alias("at"), F.col("root").alias("value"))
         if member is None:
             member = point
         else:
             member = durable(_told(member, "root", "node", up).select("node", F.coalesce("value", "root").alias("root")))
+        if n <= LOCAL_EDGES:
+            break
         edges = _told(edges, "a", "b", up).withColumnRenamed("value", "r1")
         edges = _told(edges, "b", "a", up).where("r1 <> value").select(F.greatest("r1", "value").alias("a"), F.least("r1", "value").alias("b"))
         edges = durable(edges.distinct())
@@ -299,13 +333,15 @@ def sketch(hashes: np.ndarray) -> bytes:
 
 
 def _sets(batches, words: int):
-    """(doc_id column, for each text its shingle set and the set's hash, 0 for an empty one) of runs of rows."""
+    """(doc_id column; for each text its shingles' hashes, their set and the set's hash, 0 for an empty one) of runs of
+    rows."""
     for batch in batches:
         for i, j, data, offsets in chunks(batch.column(1)):
             raw = data.tobytes()
-            sets = [shingle_set(raw[a:b], words) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            hashes = [shingle_hashes(raw[a:b], words) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            sets = [np.unique(x) for x in hashes]
             nodes = np.array([xxh64_intdigest(x.tobytes(), SEED) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
-            yield batch.column(0).slice(i, j - i), sets, nodes
+            yield batch.column(0).slice(i, j - i), hashes, sets, nodes
 
 
 def _frequencies(docs: DataFrame, words: int) -> np.ndarray:
@@ -313,7 +349,7 @@ def _frequencies(docs: DataFrame, words: int) -> np.ndarray:
 
     def count(batches):
         sums = np.zeros(SLOTS, np.int64)
-        for _, sets, _ in _sets(batches, words):
+        for _, _, sets, _ in _sets(batches, words):
             sums += np.bincount((np.concatenate(sets) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
         for k in range(0, SLOTS, _BLOCK):
             if sums[k : k + _BLOCK].any():
@@ -329,7 +365,7 @@ def _frequencies(docs: DataFrame, words: int) -> np.ndarray:
 
     schema = "block int, counts binary"
     total = np.zeros(SLOTS, np.int64)
-    for row in docs.mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).toLocalIterator():
+    for row in docs.mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).collect():  # 8 MB, in one job
         total[row.block : row.block + _BLOCK] = np.frombuffer(row.counts, np.int64)
     return total.astype(np.uint32) if total.max() < 1 << 32 else total
 
@@ -340,7 +376,7 @@ def _prefixes(docs: DataFrame, words: int) -> DataFrame:
 
     def scan(batches):
         seen = shipped.value
-        for ids, sets, nodes in _sets(batches, words):
+        for ids, _, sets, nodes in _sets(batches, words):
             short = []
             for x in sets:
                 n = len(x) - -(-len(x) * NEAR[0] // NEAR[1]) + 1 if len(x) else 0
@@ -348,9 +384,9 @@ def _prefixes(docs: DataFrame, words: int) -> DataFrame:
                 short.append(x[order[:n]].view(np.int64))
             ends = np.cumsum([0, *map(len, short)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(short)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(nodes), pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x) for x in sets], pa.binary()), lists], ["doc_id", "node", "size", "sketch", "prefix"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(nodes), pa.array([len(x) for x in sets], pa.int64()), lists], ["doc_id", "node", "size", "prefix"])
 
-    return docs.mapInArrow(scan, "doc_id long, node long, size long, sketch binary, prefix array<long>")
+    return docs.mapInArrow(scan, "doc_id long, node long, size long, prefix array<long>")
 
 
 def _grouped(batches, columns: int):
@@ -385,79 +421,119 @@ def _shared(tokens: DataFrame) -> DataFrame:
     return tokens.repartition("token").mapInArrow(keep, "token long, node long, size long")
 
 
-def _first_pairs(shared: DataFrame) -> DataFrame:
-    """Of each token, each node with the one before it and with the first: as many pairs as rows."""
+def _open_rows(batches):
+    """Of rows token, node, size, root: those of tokens whose nodes aren't all in one component yet, in order, and bounds
+    of the tokens."""
+    (token, node, size, root), bounds = _grouped(batches, 4)
+    if not len(token):
+        return token, node, size, root, bounds
+    n = np.diff(bounds)
+    kept = np.repeat(np.minimum.reduceat(root, bounds[:-1]) < np.maximum.reduceat(root, bounds[:-1]), n)
+    token, node, size, root = token[kept], node[kept], size[kept], root[kept]
+    return token, node, size, root, np.flatnonzero(np.r_[True, token[1:] != token[:-1], True]) if len(token) else np.zeros(1, np.int64)
+
+
+def _rooted(shared: DataFrame, member: DataFrame) -> DataFrame:
+    """The rows with the root of their node's component, dealt by token."""
+    own = shared.join(member.select(F.col("node").alias("m"), F.col("root").alias("r")).hint("merge"), F.col("node") == F.col("m"), "left")
+    return own.select("token", "node", "size", F.coalesce("r", "node").alias("root")).repartition("token")
+
+
+def _first_pairs(shared: DataFrame, member: DataFrame) -> DataFrame:
+    """Of each token, each node with the one before it and with the first, of another component: two pairs a row at most."""
 
     def emit(batches):
-        (token, node, size), bounds = _grouped(batches, 3)
+        _, node, size, root, bounds = _open_rows(batches)
         at = np.arange(1, max(1, len(node)))
         lead = np.repeat(bounds[:-1], np.diff(bounds))[1:]
         at, lead = at[lead != at], lead[lead != at]
         a, b = np.r_[at, at], np.r_[at - 1, lead]
-        ok = _near_sizes(size[a], size[b])
-        a, b = node[a[ok]], node[b[ok]]
-        yield _batch(np.minimum(a, b), np.maximum(a, b), names=["a", "b"])
+        ok = _near_sizes(size[a], size[b]) & (root[a] != root[b])
+        pairs = np.unique(np.sort(np.stack([node[a[ok]], node[b[ok]]], axis=1), axis=1), axis=0)
+        yield _batch(pairs[:, 0], pairs[:, 1], names=["a", "b"])
 
-    return shared.repartition("token").mapInArrow(emit, "a long, b long").distinct()
+    return _rooted(shared, member).mapInArrow(emit, "a long, b long").distinct()
 
 
-def _rooted(rows: DataFrame, member: DataFrame) -> DataFrame:
-    """The rows with the root of their node's component."""
-    own = rows.join(member.select(F.col("node").alias("m"), F.col("root").alias("r")).hint("merge"), F.col("node") == F.col("m"), "left")
-    return own.select(*rows.columns, F.coalesce("r", "node").alias("root"))
+def _open(shared: DataFrame, member: DataFrame) -> DataFrame:
+    """The rows, with roots, of tokens whose nodes aren't all in one component yet."""
 
+    def keep(batches):
+        *rows, _ = _open_rows(batches)
+        yield _batch(*rows, names=["token", "node", "size", "root"])
+
+    return _rooted(shared, member).mapInArrow(keep, "token long, node long, size long, root long")
+
+
+def _sketches_near(x: np.ndarray, y: np.ndarray, size_x: np.ndarray, size_y: np.ndarray) -> np.ndarray:
+    """Sets of similarity s differ in at most (1 - s) / (1 + s) of the sum of their sizes."""
+    differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return (NEAR[1] + NEAR[0]) * differ <= (NEAR[1] - NEAR[0]) * (size_x + size_y)
 
-def _open(shared: DataFrame, member: DataFrame) -> DataFrame:
-    """The rows of tokens whose nodes aren't all in one component yet."""
-    rows = _rooted(shared, member)
-    apart = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(F.col("token").alias("t"))
-    return rows.join(apart.hint("merge"), F.col("token") == F.col("t"), "left_semi").select("token", "node", "size")
 
+def _words(column) -> np.ndarray:
+    """A column of binaries of equal lengths as rows of 64-bit values."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
-def near_pairs(size: np.ndarray, sketches: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows, in order of size, with different roots whose sizes and sketches allow the threshold."""
+
+def near_pairs(token: int, size: np.ndarray, sketches: np.ndarray, root: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a token's rows, in order of size, with different roots whose sizes and sketches allow the threshold, and
+    whose least tokens show no smaller one that both have: there the pair is found already."""
     found = [(np.zeros(0, int), np.zeros(0, int))]
+    least = np.where(least < token, least, np.iinfo(np.int64).max)
     for i in range(0, len(size), 64):
         own = slice(i, min(i + 64, len(size)))
         end = int(np.searchsorted(size, NEAR[1] * size[own.stop - 1] // NEAR[0], "right"))
         a, b = size[own][:, None], size[None, i:end]
         p, q = np.nonzero((root[own][:, None] != root[None, i:end]) & (NEAR[1] * a >= NEAR[0] * b) & (np.arange(i, own.stop)[:, None] < np.arange(i, end)[None]))
-        for k in range(0, len(p), 1 << 16):
-            x, y = p[k : k + (1 << 16)] + i, q[k : k + (1 << 16)] + i
-            differ = np.bitwise_count(sketches[x] ^ sketches[y]).sum(axis=1, dtype=np.int64)
-            # sets of similarity s differ in at most (1 - s) / (1 + s) of the sum of their sizes
-            good = (NEAR[1] + NEAR[0]) * differ <= (NEAR[1] - NEAR[0]) * (size[x] + size[y])
-            found.append((x[good], y[good]))
+        for k in range(0, len(p), 1 << 14):
+            x, y = p[k : k + (1 << 14)] + i, q[k : k + (1 << 14)] + i
+            good = _sketches_near(sketches[x], sketches[y], size[x], size[y])
+            x, y = x[good], y[good]
+            before = ((least[x][:, :, None] == least[y][:, None]) & (least[x] < token)[:, :, None]).any(axis=(1, 2))
+            found.append((x[~before], y[~before]))
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
-def _across(rows: DataFrame, member: DataFrame, shard_rows: int) -> DataFrame:
-    """Pairs of open rows (token, node, size, sketch) of a token that aren't in one component and that near_pairs finds."""
-    rows = _rooted(rows, member).select(F.col("token").alias("key"), F.col("node").alias("name"), "size", "sketch", "root")
+def _across(open_: DataFrame, sets: DataFrame, shard_rows: int) -> DataFrame:
+    """Pairs of open rows (token, node, size, root) of a token that aren't in one component and that near_pairs finds."""
+    own = open_.groupBy("node", "size", "root").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    own = own.join(sets.select(F.col("node").alias("s"), "sketch").hint("merge"), F.col("node") == F.col("s"))
+    rows = own.select(F.explode("tokens").alias("token"), F.col("node").alias("name"), "size", "root", "sketch", F.slice("tokens", 1, FIRST_TOKENS).alias("least"))
+    rows = rows.withColumn("key", F.col("token"))
 
     def emit(batches):
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         table = pa.Table.from_batches(held)
-        key, node, size, root = (table.column(c).to_numpy() for c in ("key", "name", "size", "root"))
-        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(key), -1)
+        key, token, node, size, root = (table.column(c).to_numpy() for c in ("key", "token", "name", "size", "root"))
+        bits = _words(table.column("sketch"))
+        lists = table.column("least").combine_chunks()
+        n = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        least = np.full((len(key), FIRST_TOKENS), np.iinfo(np.int64).max)
+        least[np.arange(FIRST_TOKENS)[None] < n[:, None]] = pc.list_flatten(lists).to_numpy()
         order = np.lexsort((node, size, key))
-        key, node, size, root, bits = (c[order] for c in (key, node, size, root, bits))
+        key, token, node, size, root, bits, least = (c[order] for c in (key, token, node, size, root, bits, least))
         bounds = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
         for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             if j - i > 1 and (root[i:j] != root[i]).any():
-                x, y = near_pairs(size[i:j], bits[i:j], root[i:j])
+                x, y = near_pairs(token[i], size[i:j], bits[i:j], root[i:j], least[i:j])
                 if len(x):
                     yield _batch(np.minimum(node[i + x], node[i + y]), np.maximum(node[i + x], node[i + y]), names=["a", "b"])
 
     return _dealt(rows, shard_rows).mapInArrow(emit, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """The pairs whose sets reach the threshold."""
-    one, two = (texts.select(F.col("node").alias(f"n{k}"), F.col("text").alias(f"h{k}")) for k in (1, 2))
-    rows = pairs.join(one.hint("merge"), F.col("a") == F.col("n1")).select("a", "b", "h1").join(two.hint("merge"), F.col("b") == F.col("n2"))
+def _verified(pairs: DataFrame, sets: DataFrame, words: int, sketched: bool = False) -> DataFrame:
+    """The pairs whose sets reach the threshold. A pair with a node that shares no token isn't among them."""
+
+    def likely(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (_words(batch.column(c)) for c in ("k1", "k2"))
+                s1, s2 = (batch.column(c).to_numpy() for c in ("s1", "s2"))
+                yield batch.select(["a", "b"]).filter(pa.array(_sketches_near(x, y, s1, s2) & _near_sizes(s1, s2)))
 
     def test(batches):
         for batch in batches:
@@ -468,7 +544,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
                 near[k] = NEAR[1] * both >= NEAR[0] * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near))
 
-    return rows.select("a", "b", "h1", "h2").mapInArrow(test, "a long, b long")
+    def beside(pairs, sets, **columns):
+        one, two = (sets.select(F.col("node").alias(f"n{k}"), *(F.col(c).alias(f"{name}{k}") for name, c in columns.items())) for k in (1, 2))
+        return pairs.join(one.hint("merge"), F.col("a") == F.col("n1")).drop("n1").join(two.hint("merge"), F.col("b") == F.col("n2")).drop("n2")
+
+    if not sketched:
+        pairs = beside(pairs, sets, s="size", k="sketch").mapInArrow(likely, "a long, b long")
+    pairs = durable(pairs.repartition(FILES))
+    if pairs.count() <= WANTED:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
+        sets = sets.join(F.broadcast(wanted), F.col("node") == F.col("w"), "left_semi")
+    return durable(beside(pairs, sets, t="text").select("a", "b", "t1", "t2").mapInArrow(test, "a long, b long").repartition(FILES))
 
 
 def similar(docs: DataFrame, words: int = WIDE_WORDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -477,7 +563,7 @@ def similar(docs: DataFrame, words: int = WIDE_WORDS, shard_rows: int = SHARD_RO
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     made = stored(_prefixes(docs, words))
     marked = made.select("doc_id", "node")
-    points = durable(marked.groupBy("node").agg(F.min("doc_id").alias("least")))
+    points = marked.groupBy("node").agg(F.min("doc_id").alias("least"))
     shared = stored(_shared(made.select(F.explode("prefix").alias("token"), "node", "size")))
     gc()
 
@@ -486,28 +572,30 @@ def similar(docs: DataFrame, words: int = WIDE_WORDS, shard_rows: int = SHARD_RO
     texts = docs.join(needed.hint("merge"), docs.doc_id == needed.own).select("node", "text")
 
     def own(batches):
+        seen: set[int] = set()  # of the task, which has all rows of a doc_id
         for batch in batches:
             at = 0
-            for wanted, _, nodes in _sets([batch], words):
-                yield batch.slice(at, len(nodes)).filter(pc.equal(wanted, pa.array(nodes)))
+            for wanted, _, found, nodes in _sets([batch], words):
+                rows = batch.slice(at, len(nodes))
+                rows = pa.RecordBatch.from_arrays([wanted, rows.column(1), pa.array([len(x) for x in found], pa.int64()), pa.array([sketch(x) for x in found], pa.binary())], ["node", "text", "size", "sketch"])
+                yield rows.filter(pa.array([x == y and not (x in seen or seen.add(x)) for x, y in zip(wanted.to_pylist(), nodes.tolist())], pa.bool_()))
                 at += len(nodes)
 
-    sets = stored(texts.mapInArrow(own, "node long, text string"))
+    sets = stored(texts.mapInArrow(own, "node long, text string, size long, sketch binary"))
+    gc()
+    near = docs.sparkSession.createDataFrame([], "a long, b long")
+    near = near.union(_verified(_first_pairs(shared, contracted(near)), sets, words))
     gc()
-    links = durable(_verified(durable(_first_pairs(shared)), sets, words))
-    member = components(links)
-    sketches = made.groupBy("node").agg(F.first("sketch").alias("sketch")).withColumnRenamed("node", "s")
-    open_ = _open(shared, member)
-    open_ = stored(open_.join(sketches.hint("merge"), F.col("node") == F.col("s")).select("token", "node", "size", "sketch"))
+    open_ = stored(_open(shared, contracted(near)))
     gc()
-    more = durable(_across(open_, member, shard_rows))
-    links = durable(links.union(_verified(more, sets, words)))
+    near = near.union(_verified(_across(open_, sets, shard_rows), sets, words, sketched=True))
     gc()
-    member = components(links)
+    member = contracted(near)
     gc()
-    points = points.join(member.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    points = durable(_lowest(points, "node").select(F.col("node").alias("n2"), "component_id"))
-    return marked.join(points, marked["node"] == points["n2"]).select("doc_id", "component_id")
+    grouped = points.join(member.withColumnRenamed("node", "m"), F.col("node") == F.col("m")).select("node", "least", "root")
+    grouped = _lowest(grouped, "node").select(F.col("node").alias("n2"), "component_id")
+    least = points.join(grouped, F.col("node") == F.col("n2"), "left").select(F.col("node").alias("n3"), F.coalesce("component_id", "least").alias("component_id"))
+    return marked.join(least, marked["node"] == F.col("n3")).select("doc_id", "component_id")
 
 
 def similar_duplicates(docs: DataFrame) -> DataFrame:

@@ -159,6 +159,38 @@ def test_similar_is_exact(spark):
     assert len(near) > 30 and got == dict(enumerate(up))
 
 
+def test_near_pairs_come_once():
+    """However many shingles two sets share; as long as their least ones tell, and never fewer than once."""
+    r = np.random.default_rng(5)
+    tokens = np.sort(r.choice(1 << 40, 40, replace=False))
+    held = [np.sort(r.choice(tokens, 30, replace=False)) for _ in range(25)]
+    sketches = np.zeros((25, 16), np.uint64)
+    for first in (16, 2):
+        least = np.array([x[:first] for x in held])
+        found = Counter()
+        for t in tokens.tolist():
+            own = np.array([i for i, x in enumerate(held) if t in x])
+            x, y = simhash.near_pairs(t, np.full(len(own), 100), sketches[own], own, least[own])
+            found.update(zip(own[x].tolist(), own[y].tolist()))
+        assert set(found) == set(itertools.combinations(range(25), 2))
+        if first == 16:
+            assert set(found.values()) == {1}
+
+
+@pytest.mark.parametrize("local", [1 << 20, 30, 0])
+def test_components_in_one_task_and_in_many(spark, monkeypatch, local):
+    """The components of a long path and two small ones, in few jobs if they fit a task."""
+    monkeypatch.setattr(simhash, "LOCAL_EDGES", local)
+    path = random.Random(2).sample(range(10, 1000), 120)
+    edges = [*zip(path, path[1:]), (3, 2), (2, 1), (5, 5), (7, 8), (8, 7)]
+    spark.sparkContext.setJobGroup(f"components{local}", "")
+    found = simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {x.node: x.root for x in found} == {**dict.fromkeys(path, min(path)), 1: 1, 2: 1, 3: 1, 7: 7, 8: 7}
+    if local > len(edges):
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components{local}")) < 12
+
+
 # --- pieces ---------------------------------------------------------------------------------------------------------------
 
 
