@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents whose five-word shingles are similar (0.8 or more, exactly), the one with the smallest
-    doc_id stays."""
+    doc_id stays. Candidates are the links of SimHash fingerprints, and by prefixes those that lie beyond their radius."""
     gone = simhash.similar_duplicates(docs).withColumnRenamed("doc_id", "gone")
     # a merge join at every size: the plan stays the same as the corpus grows
     return docs.join(gone.hint("merge"), docs.doc_id == gone.gone, "left_anti")

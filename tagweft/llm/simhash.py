@@ -15,10 +15,11 @@ Equal fingerprints are one point, so copies are never paired. A shard emits a tr
 never all its pairs.
 
 `similar` is for a threshold on the similarity of shingle sets, as the pipeline needs it, and exact: it links every pair of
-texts whose sets of WIDE_WORDS-word shingles have a Jaccard similarity of NEAR or more, and no other pair. It takes two
+texts whose sets of WIDE_WORDS-word shingles have a Jaccard similarity of NEAR or more, and no other pair. It takes three
 rounds, each of which compares the candidates' sets exactly and groups what they link:
 
-* Candidates are found by prefixes: two sets at the threshold share one of the first few shingles of each (a
+* Candidates are first the links of the fingerprints of these shingles, by the shards and vantage-point trees above.
+* What the radius misses is found by prefixes: two sets at the threshold share one of the first few shingles of each (a
   fifth of the set, and one) in any common order; the order is by frequency, so that these prefixes are rare shingles. Of
   each shared shingle, each text is compared with two others that it isn't grouped with.
 * Then with all that share a shingle and aren't grouped with it yet, so a large group of copies takes no more comparisons
@@ -371,12 +372,13 @@ def _frequencies(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, node, and the prefix: the shingles of which two sets at the threshold share one, the rarest first."""
+    """doc_id, node, fingerprint, and the prefix: the shingles of which two sets at the threshold share one, the rarest
+    first."""
     shipped = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, words))
 
     def scan(batches):
         seen = shipped.value
-        for ids, _, sets, nodes in _sets(batches, words):
+        for ids, hashes, sets, nodes in _sets(batches, words):
             short = []
             for x in sets:
                 n = len(x) - -(-len(x) * NEAR[0] // NEAR[1]) + 1 if len(x) else 0
@@ -384,9 +386,19 @@ def _prefixes(docs: DataFrame, words: int) -> DataFrame:
                 short.append(x[order[:n]].view(np.int64))
             ends = np.cumsum([0, *map(len, short)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(short)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(nodes), pa.array([len(x) for x in sets], pa.int64()), lists], ["doc_id", "node", "size", "prefix"])
+            points = np.array([majority(x) for x in hashes], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(nodes), pa.array(points), pa.array([len(x) for x in sets], pa.int64()), lists], ["doc_id", "node", "fp", "size", "prefix"])
 
-    return docs.mapInArrow(scan, "doc_id long, node long, size long, prefix array<long>")
+    return docs.mapInArrow(scan, "doc_id long, node long, fp long, size long, prefix array<long>")
+
+
+def _fingerprint_pairs(made: DataFrame, shard_rows: int) -> DataFrame:
+    """Each node with the first of its fingerprint, and those with the ones that links join them to."""
+    points = made.select("node", "fp").distinct()
+    first = points.groupBy("fp").agg(F.min("node").alias("first"))
+    same = points.join(first.withColumnRenamed("fp", "f"), F.col("fp") == F.col("f")).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    pairs = same.union(links(first, shard_rows=shard_rows, name="first")).where("a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _grouped(batches, columns: int):
@@ -583,7 +595,8 @@ def similar(docs: DataFrame, words: int = WIDE_WORDS, shard_rows: int = SHARD_RO
 
     sets = stored(texts.mapInArrow(own, "node long, text string, size long, sketch binary"))
     gc()
-    near = docs.sparkSession.createDataFrame([], "a long, b long")
+    near = _verified(_fingerprint_pairs(made, shard_rows), sets, words)
+    gc()
     near = near.union(_verified(_first_pairs(shared, contracted(near)), sets, words))
     gc()
     open_ = stored(_open(shared, contracted(near)))

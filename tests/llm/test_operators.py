@@ -159,6 +159,19 @@ def test_similar_is_exact(spark):
     assert len(near) > 30 and got == dict(enumerate(up))
 
 
+def test_similar_takes_the_links_of_fingerprints(spark, monkeypatch):
+    """Copies within the radius are grouped by their fingerprints alone; the rest is left to the prefixes."""
+    r = random.Random(3)
+    long = [f"w{r.randint(0, 9999)}" for _ in range(3000)]
+    rows = [(1, " ".join(long)), (2, " ".join([*long, "one"])), (3, " ".join(["two", *long])), (4, " ".join(f"v{k}" for k in range(50)))]
+    prints = [simhash.fingerprint(t.encode(), 5) for _, t in rows]
+    assert all((prints[0] ^ p).bit_count() <= 4 for p in prints[:3]) and (prints[0] ^ prints[3]).bit_count() > 4
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(simhash, "_first_pairs", lambda *_: none)
+    monkeypatch.setattr(simhash, "_across", lambda *_: none)
+    assert dict(simhash.similar(frame(spark, rows)).collect()) == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_near_pairs_come_once():
     """However many shingles two sets share; as long as their least ones tell, and never fewer than once."""
     r = np.random.default_rng(5)
