@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Kept runs (of two generations each) and pairs.
-KEPT, KEPT_PAIRS = 100_000, 500_000
+KEPT, KEPT_PAIRS = 300_000, 500_000
 KEPT_LENGTH = 64
 #: Codes of characters that are in no piece begin here, above all ids.
 CHARACTER = 1 << 16
@@ -63,8 +63,8 @@ class Codec:
         self.names = [str(i) for i in range(len(vocab))]
         self.pairs: dict[int, bool] = {}
         self.histories: dict[str, tuple[float, str | None, str | None, bool]] = {}
-        self.runs: dict[str, tuple[str, int, str]] = {}
-        self.older: dict[str, tuple[str, int, str]] = {}
+        self.runs: dict[str, tuple[str, str]] = {}
+        self.older: dict[str, tuple[str, str]] = {}
 
     def run_pattern(self) -> str:
         """Of runs that begin only where no piece can span: at a space mark after another character, at a line end, and
@@ -155,11 +155,13 @@ class Codec:
             if before < 0:  # all matches that end at j are known by now
                 before = last[j] = CHARACTER + ord(text[j - 1])
             key = before << 21 | code
-            fits = pairs.get(key)
-            if fits is None:
-                if len(pairs) >= KEPT_PAIRS:
-                    pairs.clear()
-                fits = pairs[key] = self.apart(self.piece(before), self.pieces[code])
+            if key in pairs:
+                if pairs[key]:
+                    last[end] = code
+                continue
+            if len(pairs) >= KEPT_PAIRS:
+                pairs.clear()
+            fits = pairs[key] = self.apart(self.piece(before), self.pieces[code])
             if fits:
                 last[end] = code
         found, i = [], len(text)
@@ -200,8 +202,8 @@ class Codec:
             out.append(_utf8(pending))
         return "".join(out)
 
-    def run(self, run: str) -> tuple[str, int, str]:
-        """Ids joined by commas, their number, and what they decode to. Of two generations of kept runs, the older one is
+    def run(self, run: str) -> tuple[str, str]:
+        """Ids joined by commas, and what they decode to. Of two generations of kept runs, the older one is
         dropped when the newer one is full."""
         found = self.runs.get(run)
         if found is None:
@@ -209,9 +211,9 @@ class Codec:
             if found is None:
                 ids = self.run_ids(run)
                 if min(ids) > self.last_byte:
-                    found = (",".join([self.names[i] for i in ids]), len(ids), "".join([self.surfaces[i] for i in ids]))
+                    found = (",".join([self.names[i] for i in ids]), "".join([self.surfaces[i] for i in ids]))
                 else:
-                    found = (",".join([self.names[i] for i in ids]), len(ids), self.surface(ids))
+                    found = (",".join([self.names[i] for i in ids]), self.surface(ids))
             if len(run) <= KEPT_LENGTH:
                 if len(self.runs) >= KEPT:
                     self.older, self.runs = self.runs, {}
@@ -231,12 +233,14 @@ class Codec:
 
     def digests(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of what they decode to."""
-        known, new = self.runs.get, self.run
-        found = [known(run) or new(run) for run in self.cut_up(text)]
-        ids = ",".join([x[0] for x in found])
-        text = "".join([x[2] for x in found])
+        runs = self.cut_up(text)
+        found = list(map(self.runs.get, runs))
+        if None in found:
+            found = [x or self.run(run) for x, run in zip(found, runs)]
+        ids, parts = zip(*found) if found else ((), ())
+        ids, text = ",".join(ids), "".join(parts)
         text = text[1:] if text.startswith(" ") else text
-        return sum([x[1] for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+        return ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
 
 def _utf8(raw: bytearray) -> str:

@@ -233,6 +233,14 @@ def test_pieces_like_the_library(library, codec):
         assert codec.encode(t) == library.encode(t)
 
 
+def test_pieces_keep_the_runs_of_a_large_vocabulary(codec, monkeypatch):
+    own = pieces.Codec(pieces.vocabulary(queries.model_path()))
+    texts = [" ".join(f"{i:05x}" for i in range(k, k + 1000)) for k in range(0, 250_000, 1000)]
+    first = [own.digests(t) for t in texts]
+    monkeypatch.setattr(own, "run_ids", lambda run: pytest.fail("encoded again"))
+    assert [own.digests(t) for t in texts] == first and first[0][0] == len(codec.encode(texts[0]))
+
+
 def test_pieces_rows(spark, docs, library):
     got = {r.doc_id: r for r in queries.op3_pieces(spark, SF).collect()}
     for r in docs.collect():
