@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .text import chunks, durable, roots, stored
+from .text import chunks, discard, durable, roots, stored
 
 WORDS, SEED, RADIUS, BLOCKS = 4, 42, 4, 6
 WIDE_WORDS = 5
@@ -574,10 +574,12 @@ def similar(docs: DataFrame, words: int = WIDE_WORDS, shard_rows: int = SHARD_RO
     gc = docs.sparkSession.sparkContext._jvm.System.gc  # lets Spark remove the shuffle files of what is stored
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     made = stored(_prefixes(docs, words))
-    marked = made.select("doc_id", "node")
-    points = marked.groupBy("node").agg(F.min("doc_id").alias("least"))
     shared = stored(_shared(made.select(F.explode("prefix").alias("token"), "node", "size")))
+    kept = stored(made.select("doc_id", "node", "fp"))
+    discard(made)
     gc()
+    marked = kept.select("doc_id", "node")
+    points = marked.groupBy("node").agg(F.min("doc_id").alias("least"))
 
     # the text of one document of each node that shares a token
     needed = shared.select(F.col("node").alias("n")).distinct().join(points.hint("merge"), F.col("n") == F.col("node")).select("node", F.col("least").alias("own"))
@@ -595,14 +597,17 @@ def similar(docs: DataFrame, words: int = WIDE_WORDS, shard_rows: int = SHARD_RO
 
     sets = stored(texts.mapInArrow(own, "node long, text string, size long, sketch binary"))
     gc()
-    near = _verified(_fingerprint_pairs(made, shard_rows), sets, words)
+    near = _verified(_fingerprint_pairs(kept, shard_rows), sets, words)
     gc()
     near = near.union(_verified(_first_pairs(shared, contracted(near)), sets, words))
     gc()
     open_ = stored(_open(shared, contracted(near)))
+    discard(shared)
     gc()
     near = near.union(_verified(_across(open_, sets, shard_rows), sets, words, sketched=True))
     gc()
+    discard(open_)
+    discard(sets)
     member = contracted(near)
     gc()
     grouped = points.join(member.withColumnRenamed("node", "m"), F.col("node") == F.col("m")).select("node", "least", "root")

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
@@ -172,6 +173,15 @@ def test_similar_takes_the_links_of_fingerprints(spark, monkeypatch):
     assert dict(simhash.similar(frame(spark, rows)).collect()) == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
+def test_similar_leaves_no_large_tables(spark, monkeypatch):
+    """Of the tables it stores, only that of ids, nodes and fingerprints is left."""
+    made = []
+    monkeypatch.setattr(simhash, "stored", lambda df, f=simhash.stored: made.append(f(df)) or made[-1])
+    found = simhash.similar(frame(spark, [(k, f"{'a b c d e f g h i j ' * 3}{k % 3}") for k in range(9)]))
+    left = [x.columns for x in made if all(os.path.exists(f.removeprefix("file://")) for f in x.inputFiles())]
+    assert len(made) > 3 and left == [["doc_id", "node", "fp"]] and found.count() == 9
+
+
 def test_near_pairs_come_once():
     """However many shingles two sets share; as long as their least ones tell, and never fewer than once."""
     r = np.random.default_rng(5)
