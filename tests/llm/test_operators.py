@@ -738,6 +738,15 @@ def test_bm25_in_small_shards_and_blocks(spark, docs, texts, monkeypatch):
             assert [x for _, _, x in sorted(got[i])] == pytest.approx([x for x, _ in want], abs=2e-6)
 
 
+def test_bm25_joins_only_the_best(spark):
+    """The k best of a query are chosen below the join with its number, not above it."""
+    df = frame(spark, [(i, f"alpha w{i}") for i in range(40)])
+    plan = bm25.top_k(df, df.where("doc_id % 20 = 0"), 3, shard_docs=8)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join = next(i for i, x in enumerate(plan) if "Join" in x and "place" in x)
+    windows = [i for i, x in enumerate(plan) if "Window " in x]
+    assert windows and min(windows) > join
+
+
 # --- quotes ---------------------------------------------------------------------------------------------------------------
 
 
