@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import tidy
+
 MARK = "▁"
 #: Kept runs (of two generations each) and pairs.
 KEPT, KEPT_PAIRS = 300_000, 500_000
@@ -63,8 +65,8 @@ class Codec:
         self.names = [str(i) for i in range(len(vocab))]
         self.pairs: dict[int, bool] = {}
         self.histories: dict[str, tuple[float, str | None, str | None, bool]] = {}
-        self.runs: dict[str, tuple[str, str]] = {}
-        self.older: dict[str, tuple[str, str]] = {}
+        self.runs: dict[str, str] = {}
+        self.older: dict[str, str] = {}
 
     def run_pattern(self) -> str:
         """Of runs that begin only where no piece can span: at a space mark after another character, at a line end, and
@@ -202,23 +204,23 @@ class Codec:
             out.append(_utf8(pending))
         return "".join(out)
 
-    def run(self, run: str) -> tuple[str, str]:
-        """Ids joined by commas, and what they decode to. Of two generations of kept runs, the older one is
-        dropped when the newer one is full."""
+    def run(self, run: str) -> tuple[str, str | None]:
+        """Ids joined by commas, and what they decode to, None if that is the run itself with spaces for marks; only the ids
+        of such runs are kept. Of two generations of kept runs, the older one is dropped when the newer one is full."""
         found = self.runs.get(run)
         if found is None:
             found = self.older.get(run)
             if found is None:
                 ids = self.run_ids(run)
-                if min(ids) > self.last_byte:
-                    found = (",".join([self.names[i] for i in ids]), "".join([self.surfaces[i] for i in ids]))
-                else:
-                    found = (",".join([self.names[i] for i in ids]), self.surface(ids))
+                found = ",".join([self.names[i] for i in ids])
+                decoded = "".join([self.surfaces[i] for i in ids]) if min(ids) > self.last_byte else self.surface(ids)
+                if decoded != run.replace(MARK, " "):
+                    return found, decoded
             if len(run) <= KEPT_LENGTH:
                 if len(self.runs) >= KEPT:
                     self.older, self.runs = self.runs, {}
                 self.runs[run] = found
-        return found
+        return found, None
 
     def cut_up(self, text: str) -> list[str]:
         return self.cut.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -235,10 +237,14 @@ class Codec:
         """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of what they decode to."""
         runs = self.cut_up(text)
         found = list(map(self.runs.get, runs))
+        odd = {}
         if None in found:
-            found = [x or self.run(run) for x, run in zip(found, runs)]
-        ids, parts = zip(*found) if found else ((), ())
-        ids, text = ",".join(ids), "".join(parts)
+            for i in [i for i, x in enumerate(found) if x is None]:
+                found[i], decoded = self.run(runs[i])
+                if decoded is not None:
+                    odd[i] = decoded
+        ids, text = ",".join(found), "".join([odd.get(i, x.replace(MARK, " ")) for i, x in enumerate(runs)] if odd else runs)
+        text = text if odd else text.replace(MARK, " ")
         text = text[1:] if text.startswith(" ") else text
         return ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
@@ -283,7 +289,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             found = [own.digests(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(scan), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_column(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tagger import Tagger, encode, label
-from .text import apart, chunks
+from .text import apart, chunks, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -285,7 +285,7 @@ def scan(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, counts), pa.array(added), pa.array(digest, pa.string()), pa.array(found, pa.string())], ["doc_id", *(f"n_{x}" for x in KINDS), "n_added", "base_sha256", "spans"])
 
     schema = "doc_id long, " + ", ".join(f"n_{x} long" for x in KINDS) + ", n_added long, base_sha256 string, spans string"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(read, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(read), schema)
 
 
 def masked(docs: DataFrame, column: str = "text") -> DataFrame:
@@ -313,4 +313,4 @@ def masked(docs: DataFrame, column: str = "text") -> DataFrame:
                 batch = batch.set_column(place, batch.schema.field(place), pa.array(texts, old.type))
             yield batch
 
-    return as_text.mapInArrow(read, as_text.schema)
+    return as_text.mapInArrow(tidy(read), as_text.schema)

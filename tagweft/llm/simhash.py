@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .text import chunks, discard, durable, roots, stored
+from .text import chunks, discard, durable, roots, stored, tidy
 
 WORDS, SEED, RADIUS, BLOCKS = 4, 42, 4, 6
 WIDE_WORDS = 5
@@ -105,7 +105,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     found[i + k] = fingerprint(raw[a:b], words)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(scan), "doc_id long, fp long")
 
 
 def shard_keys(radius: int = RADIUS, blocks: int = BLOCKS) -> list:
@@ -233,7 +233,7 @@ def _linked(rows: DataFrame, radius: int) -> DataFrame:
             a, b = shard_links(keys, np.stack(point, axis=1).view(np.uint64), names, radius)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return rows.mapInArrow(search, "a long, b long").distinct()
+    return rows.mapInArrow(tidy(search), "a long, b long").distinct()
 
 
 def links(points: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard_rows: int = SHARD_ROWS, name: str = "fp") -> DataFrame:
@@ -281,7 +281,7 @@ def contracted(edges: DataFrame) -> DataFrame:
     member = None
     while n := edges.count():
         if n <= LOCAL_EDGES:
-            point = durable(edges.coalesce(1).mapInArrow(_forest, "node long, root long"))
+            point = durable(edges.coalesce(1).mapInArrow(tidy(_forest), "node long, root long"))
         else:
             both = edges.union(edges.select("b", "a"))
             point = durable(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
@@ -366,7 +366,7 @@ def _frequencies(docs: DataFrame, words: int) -> np.ndarray:
 
     schema = "block int, counts binary"
     total = np.zeros(SLOTS, np.int64)
-    for row in docs.mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).collect():  # 8 MB, in one job
+    for row in docs.mapInArrow(tidy(count), schema).repartition("block").mapInArrow(tidy(add), schema).collect():  # 8 MB, in one job
         total[row.block : row.block + _BLOCK] = np.frombuffer(row.counts, np.int64)
     return total.astype(np.uint32) if total.max() < 1 << 32 else total
 
@@ -389,7 +389,7 @@ def _prefixes(docs: DataFrame, words: int) -> DataFrame:
             points = np.array([majority(x) for x in hashes], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([ids, pa.array(nodes), pa.array(points), pa.array([len(x) for x in sets], pa.int64()), lists], ["doc_id", "node", "fp", "size", "prefix"])
 
-    return docs.mapInArrow(scan, "doc_id long, node long, fp long, size long, prefix array<long>")
+    return docs.mapInArrow(tidy(scan), "doc_id long, node long, fp long, size long, prefix array<long>")
 
 
 def _fingerprint_pairs(made: DataFrame, shard_rows: int) -> DataFrame:
@@ -430,7 +430,7 @@ def _shared(tokens: DataFrame) -> DataFrame:
         kept = np.repeat(np.diff(bounds) > 1, np.diff(bounds))
         yield _batch(*(c[kept] for c in rows), names=["token", "node", "size"])
 
-    return tokens.repartition("token").mapInArrow(keep, "token long, node long, size long")
+    return tokens.repartition("token").mapInArrow(tidy(keep), "token long, node long, size long")
 
 
 def _open_rows(batches):
@@ -464,7 +464,7 @@ def _first_pairs(shared: DataFrame, member: DataFrame) -> DataFrame:
         pairs = np.unique(np.sort(np.stack([node[a[ok]], node[b[ok]]], axis=1), axis=1), axis=0)
         yield _batch(pairs[:, 0], pairs[:, 1], names=["a", "b"])
 
-    return _rooted(shared, member).mapInArrow(emit, "a long, b long").distinct()
+    return _rooted(shared, member).mapInArrow(tidy(emit), "a long, b long").distinct()
 
 
 def _open(shared: DataFrame, member: DataFrame) -> DataFrame:
@@ -474,7 +474,7 @@ def _open(shared: DataFrame, member: DataFrame) -> DataFrame:
         *rows, _ = _open_rows(batches)
         yield _batch(*rows, names=["token", "node", "size", "root"])
 
-    return _rooted(shared, member).mapInArrow(keep, "token long, node long, size long, root long")
+    return _rooted(shared, member).mapInArrow(tidy(keep), "token long, node long, size long, root long")
 
 
 def _sketches_near(x: np.ndarray, y: np.ndarray, size_x: np.ndarray, size_y: np.ndarray) -> np.ndarray:
@@ -534,7 +534,7 @@ def _across(open_: DataFrame, sets: DataFrame, shard_rows: int) -> DataFrame:
                 if len(x):
                     yield _batch(np.minimum(node[i + x], node[i + y]), np.maximum(node[i + x], node[i + y]), names=["a", "b"])
 
-    return _dealt(rows, shard_rows).mapInArrow(emit, "a long, b long").distinct()
+    return _dealt(rows, shard_rows).mapInArrow(tidy(emit), "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, words: int, sketched: bool = False) -> DataFrame:
@@ -561,12 +561,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, words: int, sketched: bool = Fa
         return pairs.join(one.hint("merge"), F.col("a") == F.col("n1")).drop("n1").join(two.hint("merge"), F.col("b") == F.col("n2")).drop("n2")
 
     if not sketched:
-        pairs = beside(pairs, sets, s="size", k="sketch").mapInArrow(likely, "a long, b long")
+        pairs = beside(pairs, sets, s="size", k="sketch").mapInArrow(tidy(likely), "a long, b long")
     pairs = durable(pairs.repartition(FILES))
     if pairs.count() <= WANTED:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
         sets = sets.join(F.broadcast(wanted), F.col("node") == F.col("w"), "left_semi")
-    return durable(beside(pairs, sets, t="text").select("a", "b", "t1", "t2").mapInArrow(test, "a long, b long").repartition(FILES))
+    return durable(beside(pairs, sets, t="text").select("a", "b", "t1", "t2").mapInArrow(tidy(test), "a long, b long").repartition(FILES))
 
 
 def similar(docs: DataFrame, words: int = WIDE_WORDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -595,7 +595,7 @@ def similar(docs: DataFrame, words: int = WIDE_WORDS, shard_rows: int = SHARD_RO
                 yield rows.filter(pa.array([x == y and not (x in seen or seen.add(x)) for x, y in zip(wanted.to_pylist(), nodes.tolist())], pa.bool_()))
                 at += len(nodes)
 
-    sets = stored(texts.mapInArrow(own, "node long, text string, size long, sketch binary"))
+    sets = stored(texts.mapInArrow(tidy(own), "node long, text string, size long, sketch binary"))
     gc()
     near = _verified(_fingerprint_pairs(kept, shard_rows), sets, words)
     gc()

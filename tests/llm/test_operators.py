@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tagweft.llm import bm25, leaks, pieces, pii, queries, quotes, repeats, secrets, selection, simhash, tagger, toxicity
+from tagweft.llm.text import tidy
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, key string, score int, fp string, segment int"
@@ -251,6 +252,38 @@ def test_pieces_keep_the_runs_of_a_large_vocabulary(codec, monkeypatch):
     assert [own.digests(t) for t in texts] == first and first[0][0] == len(codec.encode(texts[0]))
 
 
+def test_pieces_keep_only_the_ids_of_runs(codec, library):
+    """Beside a kept run stands one short string, not also what the run decodes to; odd characters decode all the same."""
+    own = pieces.Codec(pieces.vocabulary(queries.model_path()))
+    text = " ".join(f"word{i} é{i}😀 ▁x\0" for i in range(3000))
+    n, ids, decoded = own.digests(text)
+    want = library.encode(text)
+    assert (n, decoded) == (len(want), hashlib.sha256(library.decode(want).encode()).hexdigest())
+    assert (n, ids, decoded) == own.digests(text)
+    assert len(own.runs) > 6000 and all(isinstance(x, str) for x in own.runs.values())
+
+
+def test_pieces_that_decode_to_other_texts(codec, monkeypatch):
+    own = pieces.Codec(pieces.vocabulary(queries.model_path()))
+    monkeypatch.setattr(own, "surfaces", [s.upper() for s in own.surfaces])
+    for _ in range(2):
+        assert own.digests("one two")[2] == hashlib.sha256(b"ONE TWO").hexdigest()
+
+
+def test_tidy_gives_memory_back():
+    anonymous = lambda: int(re.search(r"\nAnonymous:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1]) >> 10  # noqa: E731, SIM115
+
+    def work(batches):
+        yield from batches
+
+    junk = [bytes(3000) for _ in range(60_000)]
+    kept = junk[::500]  # so that the heap has no free end
+    del junk
+    before = anonymous()
+    assert list(tidy(work)(iter([1, 2]))) == [1, 2] and len(kept) == 120
+    assert anonymous() < before - 100
+
+
 def test_pieces_rows(spark, docs, library):
     got = {r.doc_id: r for r in queries.op3_pieces(spark, SF).collect()}
     for r in docs.collect():
