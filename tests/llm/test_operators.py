@@ -780,6 +780,53 @@ def test_bm25_joins_only_the_best(spark):
     assert windows and min(windows) > join
 
 
+def test_bm25_rounds_give_back_few_rows(spark, texts, monkeypatch):
+    """What the shards give back for a query grows as the logarithm of their number."""
+    rows = [(i, " ".join(random.Random(i).choices([f"w{j}" for j in range(60)], k=40))) for i in range(2560)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(128)
+    made = []
+    for name in ("maxPartitionBytes", "openCostInBytes"):  # a shard a task, nearly
+        spark.conf.set(f"spark.sql.files.{name}", "16k")
+    search = bm25._searched
+    monkeypatch.setattr(bm25, "_searched", lambda *x: made.append(found := bm25.stored(search(*x))) or found)
+    wanted = df.where("doc_id % 160 = 0")
+    try:
+        got = bm25.top_k(df, wanted, 4, shard_docs=20).collect()
+    finally:
+        for name in ("maxPartitionBytes", "openCostInBytes"):
+            spark.conf.unset(f"spark.sql.files.{name}")
+    rows_made = sum(x.count() for x in made)
+    print("rows", rows_made / 16 / 4, "times k", len(made), "rounds")
+    assert len(got) == 16 * 4 and len(made) >= 3 and rows_made <= 16 * 4 * 18
+    for i in (0, 160, 2400):
+        want = slow_bm25(rows, rows[i][1], 4)
+        found = sorted((r.rank, r.doc_id, r.score) for r in got if r.query_id == i)
+        assert [x for _, x, _ in found] == [x for _, x in want] and [x for _, _, x in found] == pytest.approx([x for x, _ in want], abs=2e-6)
+
+
+def test_bm25_bounds_lose_no_row():
+    """Whatever the least score asked for, a shard finds all rows that reach it, in blocks of any kind of list."""
+    r = np.random.default_rng(5)
+    n, vocabulary = 300, 400
+    lists = [np.unique(np.minimum(r.geometric(0.02, 60), vocabulary) - 1) for _ in range(n)]
+    word, row = (np.concatenate(x) for x in zip(*((x, np.full(len(x), i)) for i, x in enumerate(lists))))
+    order = np.lexsort((row, word))
+    terms, df = np.unique(word, return_counts=True)
+    idf = np.log1p((n - np.bincount(word, minlength=vocabulary) + 0.5) / (np.bincount(word, minlength=vocabulary) + 0.5))
+    length = np.array([len(x) for x in lists])
+    shard = bm25.Shard(length, terms.astype(np.uint64), df, row[order], np.ones(len(row), np.uint8), np.arange(vocabulary, dtype=np.uint64), idf, length.mean())
+    assert 0 < len(shard.matrix) < vocabulary
+    asked = lists[:20]
+    want = np.array([[sum(idf[w] * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(x) / length.mean())) for w in np.intersect1d(q, x)) for x in lists] for q in asked])
+    for part in (0.0, 0.3, 0.7, 1.0):
+        least = np.round(want.max(1) * part, 9) - 1e-8 * (part > 0)
+        query, at, score = shard.search(asked, least, 5)
+        assert score == pytest.approx(want[query, at], abs=1e-8)
+        found = set(zip(query.tolist(), at.tolist()))
+        low = np.sort(want, axis=1)[:, -5] if part == 0 else least
+        assert found >= {(q, d) for q, d in zip(*np.nonzero(want >= low[:, None] + 1e-8))}
+
+
 # --- quotes ---------------------------------------------------------------------------------------------------------------
 
 
