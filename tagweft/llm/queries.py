@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, bpe, leaks, pieces, pii, quotes, repeats, secrets, selection, simhash, toxicity
+from . import align, bm25, bpe, leaks, pieces, pii, quotes, repeats, secrets, selection, simhash, toxicity
 
 MODEL = "piece_bpe_32k.model"
+BYTES = "byte_bpe_50k.json"
 WORDS = "word_bpe_49k.json"
 
 
@@ -65,11 +66,15 @@ def op10_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.top_k(docs, docs.where("doc_id % 20 = 0"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.statistics(table(spark, sf_dir, "documents"), model_path(BYTES), model_path())
+
+
 def op12_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), model_path(WORDS))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_pieces, op4_selection, op5_pii, op6_leaks, op7_repeats, op8_threads, op9_simhash, op10_bm25, op12_merges)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_pieces, op4_selection, op5_pii, op6_leaks, op7_repeats, op8_threads, op9_simhash, op10_bm25, op11_alignment, op12_merges)}
 ORACLES: dict[str, str] = {
     "op7_repeats": r"""
         WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
