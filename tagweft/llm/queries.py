@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, bm25, bpe, leaks, pieces, pii, quotes, repeats, secrets, selection, simhash, toxicity
+from . import align, bm25, bpe, leaks, negatives, pieces, pii, quotes, repeats, secrets, selection, simhash, toxicity
 
 MODEL = "piece_bpe_32k.model"
 BYTES = "byte_bpe_50k.json"
@@ -74,8 +74,22 @@ def op12_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), model_path(WORDS))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_pieces, op4_selection, op5_pii, op6_leaks, op7_repeats, op8_threads, op9_simhash, op10_bm25, op11_alignment, op12_merges)}
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_pieces, op4_selection, op5_pii, op6_leaks, op7_repeats, op8_threads, op9_simhash, op10_bm25, op11_alignment, op12_merges, op13_negatives)}
 ORACLES: dict[str, str] = {
+    "op13_negatives": """
+        WITH e AS (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS q
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        s AS (SELECT a.rid AS arid, a.vec_id AS anchor_id, b.rid, b.vec_id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score FROM e a, e b WHERE a.vec_id % 50 = 0 AND a.rid <> b.rid),
+        p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY arid ORDER BY score DESC, vec_id) <= 5),
+        n AS (SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.arid, p.rid ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+            FROM p JOIN s ON p.arid = s.arid AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+        SELECT * FROM n WHERE rank <= 3
+    """,
     "op7_repeats": r"""
         WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         win AS (SELECT rid, s, array_to_string(w[s:s+34], ' ') AS k FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35)),
