@@ -476,6 +476,51 @@ def stream_assembled(spark, sf_dir):
     """Chunks through Structured Streaming: state until a document is whole."""
     at = f"{_shared(spark)}/{uuid.uuid4().hex}"
     _cut(pages(spark, sf_dir)).repartition(4, "seq").write.parquet(f"{at}/in")
-    out = C.assemble_stream(S.read_chunks(spark.newSession(), f"{at}/in", streaming=True)).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
-    out.awaitTermination()
-    return spark.read.parquet(f"{at}/out").select("doc_id", "complete", F.length("html").cast("long").alias("n"))
+    found = C.take(C.assemble_stream(S.read_chunks(C.streaming_session(spark), f"{at}/in", streaming=True)), at)
+    return found.select("doc_id", "complete", F.length("html").cast("long").alias("n"))
+
+
+@query("""SELECT page_id AS doc_id, len(regexp_extract_all(a, '<p>'))::BIGINT AS n_paragraphs, len(regexp_extract_all(a, '<a href'))::BIGINT AS n_links, NOT contains(a, '<body') AS bare
+    FROM (SELECT page_id, regexp_extract(html, '<article>(.*)</article>', 1, 's') AS a FROM pages)""")
+def fragments_from_pieces(spark, sf_dir):
+    """The articles of pages as fragments that arrive in pieces."""
+    articles = pages(spark, sf_dir).select("page_id", F.regexp_extract("html", "(?s)<article>(.*)</article>", 1).alias("html"))
+    found = C.assemble_fragments(_cut(articles, 300), "article")
+    count = lambda name: F.size(X.elements(F.col("p.nodes"), name)).cast("long")
+    return found.select("doc_id", count("p").alias("n_paragraphs"), count("a").alias("n_links"), (count("body") == 0).alias("bare"))
+
+
+def _late_stream(spark, sf_dir) -> DataFrame:
+    """Pages in pieces, through three runs of one stream that goes on from its checkpoint. By page_id % 6: 1 sends each piece
+    again in the second run, 2 its first piece only then, 3 its last one in the third, when the watermark has passed; 4 loses
+    its second piece; 5 repeats what is long whole. Each run's last row only moves the watermark."""
+    at, session = f"{_shared(spark)}/{uuid.uuid4().hex}", C.streaming_session(spark)
+    start = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    pieces = _cut(pages(spark, sf_dir)).withColumn("at", start + F.make_dt_interval(secs=F.col("seq")))
+    kind, seq, last = F.pmod("doc_id", F.lit(6)), F.col("seq"), F.col("is_last")
+    runs = [
+        (~((kind == 2) & (seq == 0) | (kind == 3) & last | (kind == 4) & (seq == 1)), 0),
+        ((kind == 1) | (kind == 2) & (seq == 0), 1),
+        ((kind == 3) & last | (kind == 5), 24),
+    ]
+    for sent, hour in runs:
+        tick = spark.range(1).select(*(F.lit(None).cast(t).alias(c) for c, t in pieces.dtypes if c != "at"), (start + F.make_dt_interval(hours=F.lit(hour))).alias("at"))
+        pieces.where(sent).unionByName(tick).write.mode("append").parquet(f"{at}/in")
+        found = C.take(C.assemble_events(S.read_chunks(session, f"{at}/in", streaming=True, timed=True)), at)
+    return spark.read.schema(found.schema).parquet(f"{at}/out")
+
+
+_NUMBERED = "(SELECT page_id, html, page_id % 6 AS k, (length(html) - 1) // 700 + 1 AS n FROM pages)"
+
+
+@query(f"""SELECT page_id AS doc_id, n = 1 OR k NOT IN (3, 4) AS complete, CASE WHEN n = 1 OR k NOT IN (3, 4) THEN html WHEN k = 3 THEN substr(html, 1, ((n - 1) * 700)::BIGINT) ELSE substr(html, 1, 700) || substr(html, 1401) END AS html
+    FROM {_NUMBERED} WHERE n > 1 OR k <> 3""")
+def stream_late_pieces(spark, sf_dir):
+    """Repeated, late and lost pieces: what each document came to."""
+    return _late_stream(spark, sf_dir).select("doc_id", "complete", "html")
+
+
+@query(f"SELECT page_id AS doc_id, (CASE k WHEN 3 THEN n - 1 ELSE 1 END)::BIGINT AS gap_first, CASE WHEN k = 4 AND n > 2 THEN 1::BIGINT END AS gap_last FROM {_NUMBERED} WHERE n > 1 AND k IN (3, 4)")
+def stream_gaps(spark, sf_dir):
+    """The ranges of pieces that never came, or came behind the watermark."""
+    return C.gap_table(_late_stream(spark, sf_dir))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNKS = "doc_id long, seq long, chunk string, is_last boolean"
+TIMED_CHUNKS = f"{CHUNKS}, at timestamp"
 
 
 def read_html_files(spark: SparkSession, path: str) -> DataFrame:
@@ -14,9 +15,10 @@ def read_html_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("path").alias("url"), F.decode("content", "UTF-8").alias("html"))
 
 
-def read_chunks(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    reader = spark.readStream if streaming else spark.read
-    return reader.schema(CHUNKS).parquet(path)
+def read_chunks(spark: SparkSession, path: str, streaming: bool = False, timed: bool = False, files_at_once: int | None = None) -> DataFrame:
+    """Pieces of documents; timed: with the time of each. files_at_once: how many files a batch of a stream takes."""
+    reader = (spark.readStream if streaming else spark.read).schema(TIMED_CHUNKS if timed else CHUNKS)
+    return (reader.option("maxFilesPerTrigger", files_at_once) if files_at_once else reader).parquet(path)
 
 
 def write_nodes(nodes: DataFrame, path: str, key: str = "page_id") -> None:
