@@ -37,7 +37,7 @@ from .bpe import Interned, spans
 from .text import stored, tidy
 
 #: Characters of texts of one block, and of links that are sorted at a time.
-SPAN, LINKS = 12_000_000, 4_000_000
+SPAN, LINKS = 6_000_000, 3_000_000
 #: Parts into which the rows of one pair are dealt before they are added up.
 SALTS = 16
 #: A pair is its A id times this and its B id.
