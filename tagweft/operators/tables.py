@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import html as H
+from .structural import descendants  # noqa: F401  among the operators on node tables
 
 
 def text_only(df: DataFrame, column: str) -> None:
@@ -87,13 +88,6 @@ def children(nodes: DataFrame, key: str = "page_id") -> DataFrame:
     return nodes.select(key, "node_id").join(child, (F.col(key) == F.col("k")) & (F.col("node_id") == F.col("p"))).select(key, "node_id", "child_id", "sib_idx")
 
 
-def descendants(above: DataFrame, below: DataFrame, key: str = "page_id") -> DataFrame:
-    """Pairs of a node of `above` and its descendants in `below`: an equi-join by document with a range residual."""
-    a = above.select(F.col(key), F.col("node_id").alias("ancestor_id"), F.col("subtree_end").alias("last"))
-    b = below.withColumnRenamed(key, "k")
-    return a.join(b, (F.col(key) == F.col("k")) & (F.col("node_id") > F.col("ancestor_id")) & (F.col("node_id") <= F.col("last"))).drop("k", "last")
-
-
 def text_of(nodes_array: Column, node: Column) -> Column:
     """The text below a node of a nodes array, in order, in one expression over the array."""
     below = F.slice(nodes_array, (node["node_id"] + 2).cast("int"), (node["subtree_end"] - node["node_id"]).cast("int"))  # node_id is the place in the array

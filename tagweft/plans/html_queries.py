@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..core.tokenizer import DATA
 from ..functions import html as H
 from ..operators import tables as X
+from ..operators import trees
 from ..sources import html as S
 from ..streaming import chunks as C
 from . import cases
@@ -28,6 +29,21 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages")
 
 
+def _shared(spark) -> str:
+    """The folder that driver and executors share; one of our own only on local masters."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return at or f"file://{tempfile.mkdtemp(prefix='tagweft-')}"
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """Written once and read again, so that pages that several steps look at are parsed once."""
+    at = f"{_shared(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -193,14 +209,54 @@ def siblings_prev_next(spark, sf_dir):
 
 @query("""SELECT page_id, len(regexp_extract_all(html, '<a href'))::BIGINT AS n FROM pages WHERE contains(html, '<a href')""")
 def descendant_links_in_nav(spark, sf_dir):
-    nodes = X.nodes(pages(spark, sf_dir)).where("node_type = 'element'")
+    nodes = _kept(X.nodes(pages(spark, sf_dir)).where("node_type = 'element' AND name IN ('nav', 'a')"))
     pairs = X.descendants(nodes.where("name = 'nav'"), nodes.where("name = 'a'"))
     return pairs.groupBy("page_id").agg(F.count("*").alias("n"))
 
 
+@query("""SELECT page_id, above, below, n FROM (SELECT page_id, len(regexp_extract_all(html, '<li>'))::BIGINT AS n FROM pages) JOIN (VALUES ('html', 'a'), ('html', 'li'), ('body', 'a'), ('body', 'li'), ('ul', 'a'), ('ul', 'li'), ('li', 'a')) AS v(above, below) ON n > 0
+    UNION ALL SELECT page_id, above, 'h1', 1 FROM pages, (VALUES ('html'), ('body'), ('article')) AS v(above)""")
+def ancestor_pairs(spark, sf_dir):
+    """Pairs of elements by the names of both, by one structural join of a stored node table with itself."""
+    nodes = _kept(X.nodes(pages(spark, sf_dir)).where("node_type = 'element'").select("page_id", "node_id", "subtree_end", "name"))
+    above, below = nodes.where("name IN ('html', 'body', 'article', 'ul', 'li')"), nodes.where("name IN ('a', 'li', 'h1')")
+    pairs = X.descendants(above, below.select("page_id", "node_id", F.col("name").alias("below")))
+    names = nodes.select("page_id", F.col("node_id").alias("ancestor_id"), F.col("name").alias("above"))
+    return pairs.join(names, ["page_id", "ancestor_id"]).groupBy("page_id", "above", "below").agg(F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT page_id, 'li' AS name, unnest(regexp_extract_all(html, '<li>.*?</li>')) AS x FROM pages UNION ALL SELECT page_id, 'nav', regexp_extract(html, '<nav>.*?</nav>') FROM pages WHERE contains(html, '<nav>') UNION ALL SELECT page_id, 'title', regexp_extract(html, '<title>.*?</title>') FROM pages),
+    c AS (SELECT x, count(*) AS n, count(DISTINCT page_id) AS pages FROM e GROUP BY x)
+    SELECT page_id, name, count(*)::BIGINT AS n, coalesce(sum(CASE WHEN c.n > 1 THEN 1 END), 0)::BIGINT AS n_recurring, coalesce(sum(CASE WHEN c.pages > 1 THEN 1 END), 0)::BIGINT AS n_across FROM e JOIN c USING (x) GROUP BY page_id, name""")
+def recurring_subtrees(spark, sf_dir):
+    """How many subtrees of some kinds stand elsewhere too, on any page and on others."""
+    found = _kept(trees.subtrees(X.nodes(pages(spark, sf_dir))))
+    known = trees.recurring(found).select("digest", "n_documents")
+    own = found.where("name IN ('li', 'nav', 'title')").join(known, "digest", "left")
+    return own.groupBy("page_id", "name").agg(F.count("*").alias("n"), F.count("n_documents").alias("n_recurring"), F.count_if(F.col("n_documents") > 1).alias("n_across"))
+
+
+def _versions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Subtrees of pages as they are, and with another heading (page_id % 3 = 0), an item more in each list (1), or without
+    the footer (2)."""
+    html = F.col("html")
+    edited = F.when(F.col("page_id") % 3 == 0, F.replace(html, F.lit("</h1>"), F.lit("!</h1>"))).when(F.col("page_id") % 3 == 1, F.replace(html, F.lit("</ul>"), F.lit("<li>new</ul>"))).otherwise(F.regexp_replace(html, "(?s)<footer>.*?</footer>", ""))
+    given = pages(spark, sf_dir)
+    return tuple(_kept(trees.subtrees(X.nodes(df))) for df in (given, given.select("page_id", edited.alias("html"))))
+
+
+@query("""SELECT page_id, 'new' AS side, NULL AS name, 1::BIGINT AS n FROM pages WHERE page_id % 3 = 0 AND contains(html, '</h1>')
+    UNION ALL SELECT page_id, 'old', 'h1', 1 FROM pages WHERE page_id % 3 = 0 AND contains(html, '</h1>')
+    UNION ALL SELECT page_id, side, CASE side WHEN 'old' THEN 'ul' END, 1 FROM pages, (VALUES ('old'), ('new')) AS s(side) WHERE page_id % 3 = 1 AND contains(html, '</ul>')
+    UNION ALL SELECT page_id, side, CASE side WHEN 'new' THEN 'body' END, 1 FROM pages, (VALUES ('old'), ('new')) AS s(side) WHERE page_id % 3 = 2 AND contains(html, '</footer>')""")
+def tree_changes(spark, sf_dir):
+    """Where two versions of each page part. (A heading's old text goes on as that of the title.)"""
+    return trees.changes(*_versions(spark, sf_dir)).groupBy("page_id", "side", "name").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT page_id, len(regexp_extract_all(html, '<li>'))::BIGINT AS n FROM pages WHERE contains(html, '<li>')""")
 def list_children(spark, sf_dir):
-    nodes = X.nodes(pages(spark, sf_dir))
+    nodes = _kept(X.nodes(pages(spark, sf_dir)).select("page_id", "node_id", "parent_id", "sib_idx", "name"))
     lists = nodes.where("name = 'ul'").select("page_id", "node_id")
     return X.children(nodes).join(lists, ["page_id", "node_id"], "left_semi").groupBy("page_id").agg(F.count("*").alias("n"))
 
@@ -463,14 +519,6 @@ def render_events(spark, sf_dir):
     return found.select((F.col("n_nationkey").cast("long") * 100 + F.col("k")).alias("key"), F.replace(H.render_event(F.col("e")), F.lit("&quot;"), F.lit("&")).alias("html"))
 
 
-def _shared(spark) -> str:
-    """The folder that driver and executors share; one of our own only on local masters."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return at or f"file://{tempfile.mkdtemp(prefix='tagweft-')}"
-
-
 @query("SELECT page_id AS doc_id, true AS complete, length(html)::BIGINT AS n FROM pages")
 def stream_assembled(spark, sf_dir):
     """Chunks through Structured Streaming: state until a document is whole."""
