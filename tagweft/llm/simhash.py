@@ -38,7 +38,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -63,8 +63,8 @@ LOCAL_EDGES = 1 << 20
 FIRST_TOKENS = 16
 #: Candidates up to which the texts are filtered by a broadcast of their nodes before they are joined.
 WANTED = 1 << 18
-#: Files of a table of pairs.
-FILES = 6
+#: Stands for a null doc_id.
+NO_ID = -(1 << 63)
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -372,7 +372,7 @@ def _frequencies(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, node, fingerprint, and the prefix: the shingles of which two sets at the threshold share one, the rarest
+    """The first column (row), node, fingerprint, and the prefix: the shingles of which two sets at the threshold share one, the rarest
     first."""
     shipped = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, words))
 
@@ -387,9 +387,9 @@ def _prefixes(docs: DataFrame, words: int) -> DataFrame:
             ends = np.cumsum([0, *map(len, short)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(short)))
             points = np.array([majority(x) for x in hashes], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(nodes), pa.array(points), pa.array([len(x) for x in sets], pa.int64()), lists], ["doc_id", "node", "fp", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(nodes), pa.array(points), pa.array([len(x) for x in sets], pa.int64()), lists], ["row", "node", "fp", "size", "prefix"])
 
-    return docs.mapInArrow(tidy(scan), "doc_id long, node long, fp long, size long, prefix array<long>")
+    return docs.mapInArrow(tidy(scan), f"row {docs.schema[0].dataType.simpleString()}, node long, fp long, size long, prefix array<long>")
 
 
 def _fingerprint_pairs(made: DataFrame, shard_rows: int) -> DataFrame:
@@ -562,31 +562,39 @@ def _verified(pairs: DataFrame, sets: DataFrame, words: int, sketched: bool = Fa
 
     if not sketched:
         pairs = beside(pairs, sets, s="size", k="sketch").mapInArrow(tidy(likely), "a long, b long")
-    pairs = durable(pairs.repartition(FILES))
+    pairs = durable(pairs.hint("rebalance"))
     if pairs.count() <= WANTED:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
         sets = sets.join(F.broadcast(wanted), F.col("node") == F.col("w"), "left_semi")
-    return durable(beside(pairs, sets, t="text").select("a", "b", "t1", "t2").mapInArrow(tidy(test), "a long, b long").repartition(FILES))
+    return durable(beside(pairs, sets, t="text").select("a", "b", "t1", "t2").mapInArrow(tidy(test), "a long, b long").hint("rebalance"))
 
 
-def similar(docs: DataFrame, words: int = WIDE_WORDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """doc_id and component_id (the smallest doc_id of the group) of each row with a doc_id; empty texts are one group."""
+def row_keys(docs: DataFrame) -> dict:
+    """Columns that tell rows apart, unless they are equal in doc_id and text: a null doc_id has a stand-in."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return {"row_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "row_hash": F.xxhash64(text)}
+
+
+def _grouped_rows(docs: DataFrame, words: int, shard_rows: int) -> DataFrame:
+    """doc_id, row_id, row_hash and first (the row_id and row_hash of the row that stands for the group: that of the smallest
+    doc_id, null ids last) of each row."""
     gc = docs.sparkSession.sparkContext._jvm.System.gc  # lets Spark remove the shuffle files of what is stored
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keys = row_keys(docs)
+    docs = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), *(c.alias(k) for k, c in keys.items())).alias("row"), F.col("text").cast("string").alias("text"))
     made = stored(_prefixes(docs, words))
     shared = stored(_shared(made.select(F.explode("prefix").alias("token"), "node", "size")))
-    kept = stored(made.select("doc_id", "node", "fp"))
+    kept = stored(made.select("row.*", "node", "fp"))
     discard(made)
     gc()
-    marked = kept.select("doc_id", "node")
-    points = marked.groupBy("node").agg(F.min("doc_id").alias("least"))
+    marked = kept.select("doc_id", "row_id", "row_hash", "node")
+    points = marked.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "row_id", "row_hash")).alias("least"))
 
     # the text of one document of each node that shares a token
-    needed = shared.select(F.col("node").alias("n")).distinct().join(points.hint("merge"), F.col("n") == F.col("node")).select("node", F.col("least").alias("own"))
-    texts = docs.join(needed.hint("merge"), docs.doc_id == needed.own).select("node", "text")
+    needed = shared.select(F.col("node").alias("n")).distinct().join(points.hint("merge"), F.col("n") == F.col("node")).select("node", F.col("least.row_id").alias("i"), F.col("least.row_hash").alias("h"))
+    texts = docs.join(needed.hint("merge"), (F.col("row.row_id") == F.col("i")) & (F.col("row.row_hash") == F.col("h"))).select("node", "text")
 
     def own(batches):
-        seen: set[int] = set()  # of the task, which has all rows of a doc_id
+        seen: set[int] = set()  # of the task, which has all rows of a doc_id and text
         for batch in batches:
             at = 0
             for wanted, _, found, nodes in _sets([batch], words):
@@ -612,10 +620,26 @@ def similar(docs: DataFrame, words: int = WIDE_WORDS, shard_rows: int = SHARD_RO
     gc()
     grouped = points.join(member.withColumnRenamed("node", "m"), F.col("node") == F.col("m")).select("node", "least", "root")
     grouped = _lowest(grouped, "node").select(F.col("node").alias("n2"), "component_id")
-    least = points.join(grouped, F.col("node") == F.col("n2"), "left").select(F.col("node").alias("n3"), F.coalesce("component_id", "least").alias("component_id"))
-    return marked.join(least, marked["node"] == F.col("n3")).select("doc_id", "component_id")
+    least = points.join(grouped, F.col("node") == F.col("n2"), "left").select(F.col("node").alias("n3"), F.coalesce("component_id", "least").alias("first"))
+    return marked.join(least, marked["node"] == F.col("n3")).select("doc_id", "row_id", "row_hash", "first")
 
 
-def similar_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id of each row whose group has a smaller one; repeated doc_ids count once."""
-    return similar(docs).where("component_id < doc_id").select("doc_id").distinct()
+def similar(docs: DataFrame, words: int = WIDE_WORDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """doc_id and component_id (the smallest doc_id of the group, null if none has one) of each row; empty texts are one
+    group."""
+    found = _grouped_rows(docs, words, shard_rows)
+    return found.select("doc_id", F.when(~F.col("first.no_id"), F.col("first.row_id")).alias("component_id"))
+
+
+def without_similar(docs: DataFrame, words: int = WIDE_WORDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """The rows without those that a row of their group stands for: of each group one row stays, that of the smallest doc_id
+    (null ids last). Rows go one by one: a text stays if nothing is similar to it, whatever other rows have its doc_id. Of
+    rows that are equal in doc_id and text, one stays."""
+    found = _grouped_rows(docs, words, shard_rows)
+    gone = found.where((F.col("row_id") != F.col("first.row_id")) | (F.col("row_hash") != F.col("first.row_hash")))
+    gone = gone.select(F.col("row_id").alias("gone_id"), F.col("row_hash").alias("gone_hash")).distinct()
+    keyed = docs.select(F.struct(*docs.columns).alias("given"), *(c.alias(k) for k, c in row_keys(docs).items()))
+    # a merge join at every size: the plan stays the same as the corpus grows
+    kept = keyed.join(gone.hint("merge"), (F.col("row_id") == F.col("gone_id")) & (F.col("row_hash") == F.col("gone_hash")), "left_anti")
+    place = F.row_number().over(Window.partitionBy("row_id", "row_hash").orderBy(F.xxhash64("given")))
+    return kept.withColumn("place", place).where("place = 1").select("given.*")

@@ -180,7 +180,20 @@ def test_similar_leaves_no_large_tables(spark, monkeypatch):
     monkeypatch.setattr(simhash, "stored", lambda df, f=simhash.stored: made.append(f(df)) or made[-1])
     found = simhash.similar(frame(spark, [(k, f"{'a b c d e f g h i j ' * 3}{k % 3}") for k in range(9)]))
     left = [x.columns for x in made if all(os.path.exists(f.removeprefix("file://")) for f in x.inputFiles())]
-    assert len(made) > 3 and left == [["doc_id", "node", "fp"]] and found.count() == 9
+    assert len(made) > 3 and left == [["doc_id", "row_id", "row_hash", "node", "fp"]] and found.count() == 9
+
+
+def test_rows_go_one_by_one(spark):
+    """A text stays if nothing is similar to it, whatever other rows share its doc_id; null ids take part."""
+    words = lambda seed: " ".join(random.Random(seed).choice("abcdefghij") * 3 + str(k) for k in range(40))
+    copy, unique, other, lone = map(words, range(4))
+    rows = [(1, copy), (2, copy), (2, unique), (None, other), (None, other), (None, other + " more"), (None, lone), (5, lone), (7, unique + " x y z"), (7, "short"), (7, "short"), (8, ""), (None, None), (9, None)]
+    got = sorted(map(tuple, simhash.without_similar(frame(spark, rows)).select("doc_id", "text").collect()), key=repr)
+    assert got == sorted([(1, copy), (2, unique), (None, other), (5, lone), (7, "short"), (8, "")], key=repr)
+    assert simhash.without_similar(frame(spark, [])).count() == 0
+    same = simhash.without_similar(frame(spark, rows))
+    assert same.columns == frame(spark, rows).columns
+    assert {(r.doc_id, r.component_id) for r in simhash.similar(frame(spark, rows)).collect()} == {(1, 1), (2, 1), (2, 2), (None, None), (None, 5), (5, 5), (7, 2), (7, 7), (8, 8), (None, 8), (9, 8)}
 
 
 def test_near_pairs_come_once():
