@@ -1,7 +1,12 @@
 """Cleaning of a document corpus in five stages, each written as Parquet and read again as the next one's input.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of
-documents; the last returns the token digests of what is left. Rows that share a doc_id are one document to near_dedup.
+documents; the last returns the token digests of what is left.
+
+Nulls, empty texts and repeats: a null text counts as empty; empty texts are never toxic, are one group to near_dedup, hold no
+benchmark item and no personal data, and have no tokens. Rows with a null or shared doc_id are rows like any other. Texts are
+taken whole, however long. Of equally similar rows the smallest doc_id stays. An empty table gives no rows. Columns beyond
+those of documents go through all stages but the last.
 """
 
 from __future__ import annotations
@@ -21,10 +26,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents whose five-word shingles are similar (0.8 or more, exactly), the one with the smallest
-    doc_id stays. Candidates are the links of SimHash fingerprints, and by prefixes those that lie beyond their radius."""
-    gone = simhash.similar_duplicates(docs).withColumnRenamed("doc_id", "gone")
-    # a merge join at every size: the plan stays the same as the corpus grows
-    return docs.join(gone.hint("merge"), docs.doc_id == gone.gone, "left_anti")
+    doc_id stays. Candidates are the links of SimHash fingerprints, and by prefixes those that lie beyond their radius. Rows
+    go one by one, also those that share a doc_id or have none."""
+    return simhash.without_similar(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
