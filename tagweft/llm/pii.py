@@ -21,6 +21,7 @@ import ipaddress
 import itertools
 import random
 import re
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
 
+#: Characters of numbers, what they begin with, and characters of IPv6 addresses.
+_DIGIT, _FIRST, _ADDRESS = frozenset(string.digits), frozenset(string.digits + "+("), frozenset(string.hexdigits + ":")
+
 #: What a text must hold for a span: ANCHORS or _MORE for the tagger, any of the ANCHORS but brackets for the patterns.
 ANCHORS = "0123456789@(["
 _MORE = re.compile(r"(?i)\x20dot\x20|:(?=[0-9a-f]{0,4}:)")
@@ -168,7 +172,7 @@ def examples(n: int, width: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray
         return pick(f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"+{num(2)} {num(3)} {num(7)}", f"0{num(3)} {num(3)} {num(4)}", f"{num(3)}.{num(3)}.{num(4)}")
 
     def other():
-        return pick(f"20{num(2)}-0{num(1)}-1{num(1)}", f"1{num(1)}:3{num(1)}:0{num(1)}", f"{num(1)}.{num(1)}.{num(1)}", num(r.randrange(1, 9)), f"{num(2)},{num(3)}.{num(2)}", f"({num(4)})", f"[{num(1)}]", f"({word()} {word()})", f"password={num(3)}ab{num(5)}", f"AKIA{num(8)}", f"{num(2)} %", f"No. {num(6)}", f"{plain()}::{plain()}", f"{plain()} at {host('.')}", f"(at {num(1)}:{num(2)})", f"{word()}: {word()}:", f"@{plain()}", f"[{word()}]", f"({word()})")
+        return pick(f"20{num(2)}-0{num(1)}-1{num(1)}", f"1{num(1)}:3{num(1)}:0{num(1)}", f"{num(1)}.{num(1)}.{num(1)}", num(r.randrange(1, 9)), f"{num(2)},{num(3)}.{num(2)}", f"({num(4)})", f"[{num(1)}]", f"({word()} {word()})", f"password={num(3)}ab{num(5)}", f"AKIA{num(8)}", f"{num(2)} %", f"No. {num(6)}", f"{plain()}::{plain()}", f"{plain()} at {host('.')}", f"(at {num(1)}:{num(2)})", f"{word()}: {word()}:", f"@{plain()}", f"[{word()}]", f"({word()})", f"ISBN 978-{num(1)}-{num(2)}-{num(6)}-{num(1)}")
 
     makers = (email, ip, card, phone)
     codes, tags = np.zeros((n, width), np.uint8), np.zeros((n, width), np.uint8)
@@ -179,8 +183,10 @@ def examples(n: int, width: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray
             if p < 0.13:
                 kind = pick(0, 0, 0, 1, 1, 2, 3, 3)
                 span = makers[kind]()
+                if r.random() < 0.4:
+                    text += pick(*string.punctuation)
                 marks.append((len(text), len(text) + len(span), kind))
-                text += span + pick(" ", " ", ". ", ", ", "\n")
+                text += span + (pick(*string.punctuation) + pick("", " ", " ", "\n") if r.random() < 0.5 else pick(" ", " ", ". ", ", ", "\n"))
             elif p < 0.22:
                 text += other() + pick(" ", " ", ". ")
             else:
@@ -226,6 +232,18 @@ def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int,
             b = a + 1
             while b < len(tags) and tags[b] == 2 * kind[a]:
                 b += 1
+            if kind[a] > 1:  # a number: with all digits beside it, without the marks around it
+                whole = _DIGIT if kind[a] > 2 or ":" not in text[a:b] else _ADDRESS
+                while a > last and text[a - 1] in whole:
+                    a -= 1
+                while b < after and text[b] in whole:
+                    b += 1
+                while a < b and text[a] not in (_FIRST if whole is _DIGIT else whole):
+                    a += 1
+                while b > a and text[b - 1] not in whole:
+                    b -= 1
+                a += text[a] == ":" != text[a + 1] if a + 1 < b else 0
+                b -= text[b - 1] == ":" != text[b - 2] if a + 1 < b else 0
             span = text[a:b].rstrip(" .,\n")
             k = int(kind[a]) - 1
             k = next((x for x in (k, 2, 3, 1, 0) if holds(x, span)), None)  # the check knows a card with dots from an address
@@ -235,7 +253,8 @@ def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int,
                 while b < after and text[b] in _LABEL:
                     b += 1
                 m = _DISGUISED.search(text, a, b)
-                a, span, k = (m.start(), m[0], 0) if m else (a, "", None)
+                span = m[0].lstrip("._%+-") if m else ""
+                a, span, k = (m.end() - len(span), span.rstrip("-"), 0) if holds(0, span.rstrip("-")) else (a, "", None)
             if k is not None:
                 last = a + len(span)
                 own.append((a, k, last))
