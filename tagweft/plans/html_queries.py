@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..core.tokenizer import DATA
 from ..functions import html as H
+from ..operators import asof
 from ..operators import tables as X
 from ..operators import trees
 from ..sources import html as S
@@ -236,6 +237,24 @@ def recurring_subtrees(spark, sf_dir):
     return own.groupBy("page_id", "name").agg(F.count("*").alias("n"), F.count("n_documents").alias("n_recurring"), F.count_if(F.col("n_documents") > 1).alias("n_across"))
 
 
+@query("""SELECT page_id, tag, n FROM (SELECT page_id, unnest(['a', 'title', 'h1', 'style', 'script', 'footer']) AS tag, unnest([len(regexp_extract_all(html, '<a href="[^"]*">[^<]')), len(regexp_extract_all(html, '<title>[^<]')), len(regexp_extract_all(html, '<h1>[^<]')), len(regexp_extract_all(html, '<style>.')), len(regexp_extract_all(html, '<script>.')), len(regexp_extract_all(html, '<footer>[^<]'))])::BIGINT AS n FROM pages) WHERE n > 0""")
+def text_after_tags(spark, sf_dir):
+    """Texts by the last start tag before them: an as-of join of the text events with the start tags."""
+    events = _kept(X.events(pages(spark, sf_dir), kinds=("start", "text")).select("page_id", "tok_idx", "type", "name"))
+    found = asof.asof(events.where("type = 'text'"), events.where("type = 'start'").withColumnRenamed("name", "tag"), ["page_id"], "tok_idx", ["tag"])
+    found = found.where("tag IN ('a', 'title', 'h1', 'style', 'script', 'footer')")
+    return found.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT a.event_id, a.user_id, b.event_id AS before_id, b.event_type AS before_type FROM events a ASOF LEFT JOIN (
+    SELECT * FROM events WHERE event_type = 'purchase' QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) = 1) b ON a.user_id = b.user_id AND a.ts > b.ts""")
+def last_purchase(spark, sf_dir):
+    """Each event with the purchase of the same user before it."""
+    events = table(spark, sf_dir, "events")
+    bought = events.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("before_id"), F.col("event_type").alias("before_type"))
+    return asof.asof(events, bought, ["user_id"], "ts", ["before_id", "before_type"], width=86_400e6, strict=True).select("event_id", "user_id", "before_id", "before_type")
+
+
 def _versions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Subtrees of pages as they are, and with another heading (page_id % 3 = 0), an item more in each list (1), or without
     the footer (2)."""
