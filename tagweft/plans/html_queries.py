@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..core.tokenizer import DATA
 from ..functions import html as H
-from ..operators import asof
+from ..operators import asof, edits
 from ..operators import tables as X
 from ..operators import trees
 from ..sources import html as S
@@ -237,6 +237,26 @@ def recurring_subtrees(spark, sf_dir):
     return own.groupBy("page_id", "name").agg(F.count("*").alias("n"), F.count("n_documents").alias("n_recurring"), F.count_if(F.col("n_documents") > 1).alias("n_across"))
 
 
+@query("""SELECT page_id, CASE WHEN contains(html, '<h1>') THEN 'hr|p|i|u|h1' END AS before, CASE WHEN contains(html, '<ul>') THEN len(regexp_extract_all(html, '<li>')) + 2 ELSE 0 END::BIGINT AS n_items, 0::BIGINT AS n_footers, CASE WHEN contains(html, '<ul>') THEN '2' END AS last_item FROM pages""")
+def edited_pages(spark, sf_dir):
+    """Two batches of edits of each page's node table: before its heading twice, at the end of its list twice; its footer goes."""
+    table = _kept(edits.labelled(X.nodes(pages(spark, sf_dir))))
+    for turn, (heading, item) in enumerate([("<hr><p>note", "<li>1"), ("<i>a</i><u>b</u>", "<li>2")]):
+        to = lambda name, op, html: table.where(F.col("name") == name).select("page_id", F.lit(turn).alias("edit"), F.lit(op).alias("op"), "begin_label", F.lit(html).alias("html"))  # noqa: B023, E731
+        asked = to("h1", edits.BEFORE, heading).union(to("ul", edits.APPEND, item))
+        if turn:
+            asked = asked.union(to("footer", edits.DETACH, None))
+        table = _kept(edits.applied(table, asked))
+    nodes = _kept(edits.renumbered(table))
+    headings = nodes.where("name = 'h1'").select("page_id", F.col("parent_id").alias("of"), F.col("sib_idx").alias("last"))
+    beside = nodes.join(headings, "page_id").where("parent_id = of AND sib_idx <= last").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("sib_idx", "name"))).alias("found"))
+    before = beside.select("page_id", F.array_join(F.transform("found", lambda x: x["name"]), "|").alias("before"))
+    texts = nodes.where("node_type = 'text'").select("page_id", F.col("parent_id").alias("of"), F.col("value").alias("text"))
+    items = nodes.where("name = 'li'").join(texts, "page_id").where("of = node_id").groupBy("page_id").agg(F.max_by("text", "node_id").alias("last_item"))
+    counts = nodes.groupBy("page_id").agg(F.count_if(F.col("name") == "li").alias("n_items"), F.count_if(F.col("name") == "footer").alias("n_footers"))
+    return counts.join(before, "page_id", "left").join(items, "page_id", "left").select("page_id", "before", "n_items", "n_footers", "last_item")
+
+
 @query("""SELECT page_id, tag, n FROM (SELECT page_id, unnest(['a', 'title', 'h1', 'style', 'script', 'footer']) AS tag, unnest([len(regexp_extract_all(html, '<a href="[^"]*">[^<]')), len(regexp_extract_all(html, '<title>[^<]')), len(regexp_extract_all(html, '<h1>[^<]')), len(regexp_extract_all(html, '<style>.')), len(regexp_extract_all(html, '<script>.')), len(regexp_extract_all(html, '<footer>[^<]'))])::BIGINT AS n FROM pages) WHERE n > 0""")
 def text_after_tags(spark, sf_dir):
     """Texts by the last start tag before them: an as-of join of the text events with the start tags."""
