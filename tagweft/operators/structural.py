@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,6 +61,22 @@ class Merge:
         self.open = above[(above[:, 0] == group[-1]) & (above[:, 2] > place[-1]), 1:]
 
 
+def descendants_within(nodes: DataFrame, above: Column, below: Column, key: str = "page_id") -> DataFrame:
+    """descendants of the rows of one table that two conditions choose, where the table is dealt out by document already (as a
+    bucketed one): it is scanned once and only sorted, not shuffled, and a document is read by one task."""
+    columns = [c for c in nodes.columns if c != key]
+    payload = F.struct(*(F.col(c) for c in columns))
+    kind = T.StructType([nodes.schema[c] for c in columns])
+    place, last = F.col("node_id").cast("long"), F.col("subtree_end").cast("long")
+    roles = F.array(
+        F.when(above & (last > place), F.struct(place.alias("place"), last.alias("last"), F.lit(None).cast(kind).alias("payload"))),
+        F.when(below, F.struct(place.alias("place"), F.lit(None).cast("long").alias("last"), payload.alias("payload"))),
+    )
+    rows = nodes.where((above | below) & F.col(key).isNotNull()).select(F.col(key), F.lit(0).cast("long").alias("block"), F.explode(F.filter(roles, lambda r: r.isNotNull())).alias("r"))
+    rows = rows.select(key, "block", "r.place", "r.last", "r.payload").sortWithinPartitions(key, "place")
+    return _merged(rows, nodes, columns, key)
+
+
 def descendants(above: DataFrame, below: DataFrame, key: str = "page_id") -> DataFrame:
     """Pairs of a node of `above` (its node_id as ancestor_id) and its descendants in `below`, with all columns of below."""
     columns = [c for c in below.columns if c != key]
@@ -71,6 +87,11 @@ def descendants(above: DataFrame, below: DataFrame, key: str = "page_id") -> Dat
     a = above.where((last >= first) & F.col(key).isNotNull()).select(F.col(key), F.explode(F.sequence(block(first), block(last))).alias("block"), F.col("node_id").cast("long").alias("place"), last.cast("long").alias("last"), F.lit(None).cast(kind).alias("payload"))
     b = below.where(F.col(key).isNotNull()).select(F.col(key), block(F.col("node_id")).alias("block"), F.col("node_id").cast("long").alias("place"), F.lit(None).cast("long").alias("last"), payload.alias("payload"))
     rows = a.union(b).repartition(key, "block").sortWithinPartitions(key, "block", "place")
+    return _merged(rows, below, columns, key)
+
+
+def _merged(rows: DataFrame, below: DataFrame, columns: list[str], key: str) -> DataFrame:
+    """The pairs of sorted rows (key, block, place, last, payload)."""
     names = [key, "ancestor_id", *columns]
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import html as H
-from .structural import descendants  # noqa: F401  among the operators on node tables
+from .structural import descendants, descendants_within  # noqa: F401  among the operators on node tables
 
 
 def text_only(df: DataFrame, column: str) -> None:

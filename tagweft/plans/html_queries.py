@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from ..core.tokenizer import DATA
 from ..functions import html as H
-from ..operators import asof, edits
+from ..operators import asof, blocks, edits, sketches
 from ..operators import tables as X
-from ..operators import trees
+from ..operators import trees, walks
 from ..sources import html as S
 from ..streaming import chunks as C
 from . import cases
@@ -257,6 +257,67 @@ def edited_pages(spark, sf_dir):
     return counts.join(before, "page_id", "left").join(items, "page_id", "left").select("page_id", "before", "n_items", "n_footers", "last_item")
 
 
+@query("""SELECT page_id, unnest(['html/head/title', 'html/body/article/h1', 'html/body/nav/ul/li/a']) AS path, unnest([len(regexp_extract_all(html, '<title>')), len(regexp_extract_all(html, '<h1>')), len(regexp_extract_all(html, '<a href'))])::BIGINT AS n FROM pages
+    WHERE contains(html, '<a href') UNION ALL SELECT page_id, unnest(['html/head/title', 'html/body/article/h1']), unnest([1, 1]) FROM pages WHERE NOT contains(html, '<a href')""")
+def element_paths(spark, sf_dir):
+    """Elements by their path, from parent pointers alone."""
+    elements = X.nodes(pages(spark, sf_dir)).where("node_type = 'element'")
+    pointers = elements.select("page_id", "node_id", F.when(F.col("depth") > 1, F.col("parent_id")).alias("parent_id"), "name")
+    found = walks.paths(pointers, _kept).where("path IN ('html/head/title', 'html/body/article/h1', 'html/body/nav/ul/li/a')")
+    return found.groupBy("page_id", "path").agg(F.count("*").alias("n"))
+
+
+@query("""WITH t AS (SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, unnest(regexp_extract_all(html, '<(li|a|title|h1|nav)[ >]', 1)) AS tag FROM pages)
+    SELECT lang, tag, 'http://www.w3.org/1999/xhtml' AS namespace, grouping_id(lang, tag)::BIGINT AS level, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM t GROUP BY CUBE (lang, tag)
+    UNION ALL SELECT lang, tag, NULL, (4 + grouping_id(lang, tag))::BIGINT, count(*), count(DISTINCT page_id) FROM t GROUP BY CUBE (lang, tag)""")
+def tag_profile(spark, sf_dir):
+    """Elements by language of the page, tag and namespace, in all groupings."""
+    nodes = F.col("p.nodes")
+    lang = H.get_attribute(F.get(X.elements(nodes, "html"), F.lit(0))["attrs"], "lang")
+    wanted = F.filter(nodes, lambda n: (n["node_type"] == "element") & n["name"].isin("li", "a", "title", "h1", "nav"))
+    rows = X.parse(pages(spark, sf_dir)).select("page_id", lang.alias("lang"), F.inline(F.transform(wanted, lambda n: F.struct(n["name"].alias("tag"), n["namespace"].alias("namespace")))))
+    return rows.cube("namespace", "lang", "tag").agg(F.grouping_id().alias("level"), F.count("*").alias("n"), F.count_distinct("page_id").alias("n_pages"))
+
+
+@query("""SELECT page_id, n > 0 AS headed, 1::INTEGER AS level, n AS n_texts FROM (SELECT page_id, len(regexp_extract_all(split_part(html, '</h1>', 2), '>[^<]+'))::BIGINT + CASE WHEN split_part(html, '</h1>', 2) SIMILAR TO '[^<].*' THEN 1 ELSE 0 END AS n FROM pages) WHERE n > 0
+    UNION ALL SELECT page_id, false, NULL, len(regexp_extract_all(split_part(regexp_replace(html, '<(style|script)>.*?</(style|script)>', '<x>y</x>', 'g'), '<h1>', 1), '>[^<]+'))::BIGINT FROM pages""")
+def headed_texts(spark, sf_dir):
+    """Texts by the heading before them."""
+    found = blocks.text_blocks(X.nodes(pages(spark, sf_dir)))
+    return found.groupBy("page_id", F.col("heading").isNotNull().alias("headed"), "level").agg(F.count("*").alias("n_texts"))
+
+
+@query("""WITH t AS (SELECT page_id % 4 AS part, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages)
+    SELECT part, count(DISTINCT href) AS exact, true AS near FROM t GROUP BY part UNION ALL SELECT NULL, count(DISTINCT href), true FROM t""")
+def distinct_links(spark, sf_dir):
+    """Distinct links of parts of the pages and, by merging the parts' sketches, of all: beside exact counts, within 6 %."""
+    links = _kept(X.links(pages(spark, sf_dir)).select((F.col("page_id") % 4).alias("part"), "href"))
+    parts = _kept(sketches.registers(links, F.col("href"), ["part"]))
+    whole = lambda df: df.withColumn("part", F.lit(None).cast("long"))
+    estimates = sketches.estimated(parts, ["part"]).unionByName(whole(sketches.estimated(sketches.merged(parts, []), [])))
+    exact = links.groupBy(F.col("part").alias("p")).agg(F.count_distinct("href").alias("exact"))
+    exact = exact.union(links.agg(F.lit(None).cast("long").alias("p"), F.count_distinct("href").alias("exact")))
+    both = estimates.join(exact, F.col("part").eqNullSafe(F.col("p")))
+    return both.select("part", "exact", (F.abs(F.col("estimate") - F.col("exact")) <= 0.06 * F.col("exact")).alias("near"))
+
+
+def _bucketed_nodes(spark, sf_dir) -> DataFrame:
+    name = f"nodes_{uuid.uuid4().hex}"
+    S.save_nodes(X.nodes(pages(spark, sf_dir)), name, f"{_shared(spark)}/{name}", buckets=16)
+    return S.bucketed(spark).table(name)
+
+
+@query("""SELECT page_id, len(regexp_extract_all(html, '<li>'))::BIGINT AS n_children, greatest(len(regexp_extract_all(html, '<li>')) - 1, 0)::BIGINT AS n_next, len(regexp_extract_all(html, '<a href'))::BIGINT AS n_below FROM pages WHERE contains(html, '<li>')""")
+def stored_layout(spark, sf_dir):
+    """Children, siblings and descendants of a node table that is bucketed by document: none of them shuffles nodes."""
+    nodes = _bucketed_nodes(spark, sf_dir)
+    lists = nodes.where("name = 'ul'").select(F.col("page_id").alias("p"), F.col("node_id").alias("n"))
+    children = X.children(nodes).join(lists, (F.col("page_id") == F.col("p")) & (F.col("node_id") == F.col("n")), "left_semi").groupBy("page_id").agg(F.count("*").alias("n_children"))
+    after = X.siblings(nodes).where("name = 'li'").groupBy("page_id").agg(F.count("next_id").alias("n_next"))
+    below = X.descendants_within(nodes, F.col("name") == "ul", F.col("name") == "a").groupBy("page_id").agg(F.count("*").alias("n_below"))
+    return children.join(after, "page_id").join(below, "page_id")
+
+
 @query("""SELECT page_id, tag, n FROM (SELECT page_id, unnest(['a', 'title', 'h1', 'style', 'script', 'footer']) AS tag, unnest([len(regexp_extract_all(html, '<a href="[^"]*">[^<]')), len(regexp_extract_all(html, '<title>[^<]')), len(regexp_extract_all(html, '<h1>[^<]')), len(regexp_extract_all(html, '<style>.')), len(regexp_extract_all(html, '<script>.')), len(regexp_extract_all(html, '<footer>[^<]'))])::BIGINT AS n FROM pages) WHERE n > 0""")
 def text_after_tags(spark, sf_dir):
     """Texts by the last start tag before them: an as-of join of the text events with the start tags."""
