@@ -620,8 +620,8 @@ def _grouped_rows(docs: DataFrame, words: int, shard_rows: int) -> DataFrame:
     gc()
     grouped = points.join(member.withColumnRenamed("node", "m"), F.col("node") == F.col("m")).select("node", "least", "root")
     grouped = _lowest(grouped, "node").select(F.col("node").alias("n2"), "component_id")
-    least = points.join(grouped, F.col("node") == F.col("n2"), "left").select(F.col("node").alias("n3"), F.coalesce("component_id", "least").alias("first"))
-    return marked.join(least, marked["node"] == F.col("n3")).select("doc_id", "row_id", "row_hash", "first")
+    least = points.join(grouped, F.col("node") == F.col("n2"), "left").select(F.col("node").alias("at"), F.coalesce("component_id", "least").alias("value"))
+    return _told(marked, "node", "row_id", least).select("doc_id", "row_id", "row_hash", F.col("value").alias("first"))
 
 
 def similar(docs: DataFrame, words: int = WIDE_WORDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
