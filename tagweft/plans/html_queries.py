@@ -17,6 +17,7 @@ from ..functions import html as H
 from ..operators import asof, blocks, edits, sketches
 from ..operators import tables as X
 from ..operators import trees, walks
+from ..sources import archive
 from ..sources import html as S
 from ..streaming import chunks as C
 from . import cases
@@ -301,6 +302,44 @@ def distinct_links(spark, sf_dir):
     return both.select("part", "exact", (F.abs(F.col("estimate") - F.col("exact")) <= 0.06 * F.col("exact")).alias("near"))
 
 
+@query("SELECT page_id AS doc_id, html AS text FROM pages")
+def archive_round_trip(spark, sf_dir):
+    """Pages written to an archive and read back by ranges of bytes."""
+    spark.dataSource.register(archive.ArchiveSource)
+    at = f"{_shared(spark)}/{uuid.uuid4().hex}"
+    pages(spark, sf_dir).select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")).write.format("tagweft_archive").mode("append").save(at)
+    return spark.read.format("tagweft_archive").option("rangeBytes", 1 << 20).load(at)
+
+
+@query("""SELECT page_id, replace(replace(replace(regexp_replace(regexp_replace(html, '<title>[^<]*</title>', '<title>T</title>'), '<!--.*?-->', '<!--x-->', 'g'), '<h1>', '<h2 class="t">'), '</h1>', '</h2>'), '<!DOCTYPE html>', '<!DOCTYPE html SYSTEM "about:legacy-compat">') AS html FROM pages""")
+def rewrite_all_kinds(spark, sf_dir):
+    """A rule with a case for each of the five kinds of events."""
+
+    def rule(e: Column) -> Column:
+        system = e.withField("system_id", F.lit("about:legacy-compat"))
+        heading = e["name"] == "h1"
+        return (
+            F.when(e["type"] == "doctype", H.render_event(system))
+            .when((e["type"] == "start") & heading, '<h2 class="t">')
+            .when((e["type"] == "end") & heading, "</h2>")
+            .when(e["type"] == "comment", H.render_event(e.withField("text", F.lit("x"))))
+            .when((e["type"] == "text") & (e["last_start_tag"] == "title"), "T")
+        )
+
+    return X.rewritten(pages(spark, sf_dir), rule)
+
+
+@query("""SELECT page_id, 'tag' AS type, name, CASE name WHEN 'html' THEN regexp_extract(html, '<html lang="([^"]*)"', 1) END AS lang, n_attribs, (strpos(html, '<' || name) - 1)::INTEGER AS start_index, CASE name WHEN 'title' THEN strpos(html, '</title>') + 7 WHEN 'h1' THEN strpos(html, '</h1>') + 4 END::INTEGER AS end_index
+    FROM pages, (VALUES ('title', 0), ('h1', 0), ('html', 1)) AS v(name, n_attribs)""")
+def second_format(spark, sf_dir):
+    """The second tree format: maps of attributes, their namespaces and prefixes, and indices of the source."""
+    found = X.siblings(X.nodes(pages(spark, sf_dir), locations=True)).where("name IN ('title', 'h1', 'html') AND type = 'tag'")
+    plain = F.coalesce(F.array_compact(F.concat(F.map_values("attribs_namespace"), F.map_values("attribs_prefix"))), F.array())
+    n = F.when(F.size(plain) == 0, F.size("attribs"))
+    end = F.when(F.col("name") != "html", F.col("end_index"))
+    return found.select("page_id", "type", "name", F.col("attribs")["lang"].alias("lang"), n.alias("n_attribs"), "start_index", end.alias("end_index"))
+
+
 def _bucketed_nodes(spark, sf_dir) -> DataFrame:
     name = f"nodes_{uuid.uuid4().hex}"
     S.save_nodes(X.nodes(pages(spark, sf_dir)), name, f"{_shared(spark)}/{name}", buckets=16)
@@ -374,18 +413,25 @@ def pages_without_body_end(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id").join(ends, "page_id", "left_anti")
 
 
-@query("SELECT page_id, true AS same FROM pages")
+def _count(text: str, part: str) -> Column:
+    return (F.size(F.split(text, part)) - 1).cast("long")
+
+
+_SAME = "SELECT page_id, true AS same, len(regexp_extract_all(html, '<a href='))::BIGINT AS n_links FROM pages"
+
+
+@query(_SAME)
 def serialize_idempotent(spark, sf_dir):
     once = X.serialized(pages(spark, sf_dir)).withColumnRenamed("html", "a")
     twice = once.select("page_id", "a", H.html_parse((H.TEXT_HTML,))("a").alias("p"))
-    return twice.select("page_id", (F.col("a") == F.col("p.html")).alias("same"))
+    return twice.select("page_id", (F.col("a") == F.col("p.html")).alias("same"), _count("p.html", "<a href=").alias("n_links"))
 
 
-@query("SELECT page_id, true AS same FROM pages")
+@query(_SAME)
 def serialize_from_nodes(spark, sf_dir):
     found = X.parse(pages(spark, sf_dir), facets=(H.NODES, H.TEXT_HTML, H.DUMP))
     again = found.select("page_id", "p", H.html_serialize()("p.nodes", F.lit(0)).alias("inner"), H.html_dump("p.nodes").alias("dump"))
-    return again.select("page_id", ((F.col("inner") == F.col("p.html")) & (F.col("dump") == F.col("p.dump"))).alias("same"))
+    return again.select("page_id", ((F.col("inner") == F.col("p.html")) & (F.col("dump") == F.col("p.dump"))).alias("same"), _count("inner", "<a href=").alias("n_links"))
 
 
 def _cut(df: DataFrame, size: int = 700) -> DataFrame:
@@ -394,12 +440,13 @@ def _cut(df: DataFrame, size: int = 700) -> DataFrame:
     return pieces.select("doc_id", F.col("seq").cast("long").alias("seq"), F.substring("html", F.col("at") + 1, F.lit(size)).alias("chunk"), (F.col("at") + size >= F.length("html")).alias("is_last"))
 
 
-@query("SELECT page_id, true AS same FROM pages")
+@query(_SAME)
 def chunked_equals_whole(spark, sf_dir):
     whole = X.serialized(pages(spark, sf_dir)).withColumnRenamed("html", "a")
     joined = C.assemble(_cut(pages(spark, sf_dir)))
     again = X.serialized(joined.where("complete"), "doc_id").withColumnRenamed("html", "b")
-    return whole.join(again, F.col("page_id") == F.col("doc_id"), "left").select("page_id", F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("same"))
+    both = whole.join(again, F.col("page_id") == F.col("doc_id"), "left")
+    return both.select("page_id", F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("same"), _count("b", "<a href=").alias("n_links"))
 
 
 @query("SELECT page_id, 'pop' AS op, count(*)::BIGINT AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li>')) FROM pages) GROUP BY page_id UNION ALL SELECT page_id, 'push', count(*)::BIGINT FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li>')) FROM pages) GROUP BY page_id")
@@ -506,18 +553,25 @@ def document_write(spark, sf_dir):
     return X.serialized(_inputs(spark, sf_dir, ["<body><script>w{n}</script>z"]), "key", on_script=hook)
 
 
-def _doctype_rows(spark) -> DataFrame:
-    return spark.createDataFrame([(k, n, p, s) for k, (n, p, s, _) in enumerate(cases.DOCTYPES)], "key long, name string, public_id string, system_id string")
+def _doctype_rows(spark, sf_dir, doctypes: list[tuple]) -> DataFrame:
+    """key, name, public_id, system_id: each doctype beside each nation; in ids, {n} is its name."""
+    text = lambda x: F.lit(None).cast("string") if x is None else _filled(x, F.col("n_name"))
+    rows = F.array(*[F.struct(F.lit(k).alias("k"), text(n).alias("name"), text(p).alias("public_id"), text(s).alias("system_id")) for k, (n, p, s, *_) in enumerate(doctypes)])
+    found = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.inline(rows))
+    return found.select((F.col("n_nationkey").cast("long") * 100 + F.col("k")).alias("key"), "name", "public_id", "system_id")
 
 
-@query(" UNION ALL ".join(f"SELECT {k}::BIGINT AS key, '{mode}' AS mode" for k, (*_, mode) in enumerate(cases.DOCTYPES)))
+_MODES = _outputs([mode for *_, mode in cases.DOCTYPES], "mode")
+
+
+@query(_MODES)
 def doctype_modes(spark, sf_dir):
-    return _doctype_rows(spark).select("key", H.doctype_mode("name", "public_id", "system_id").alias("mode"))
+    return _doctype_rows(spark, sf_dir, cases.DOCTYPES).select("key", H.doctype_mode("name", "public_id", "system_id").alias("mode"))
 
 
-@query(" UNION ALL ".join(f"SELECT {k}::BIGINT AS key, '{mode}' AS mode" for k, (*_, mode) in enumerate(cases.DOCTYPES)))
+@query(_MODES)
 def doctype_modes_parsed(spark, sf_dir):
-    rows = _doctype_rows(spark).withColumn("d", H.doctype_data("name", "public_id", "system_id")).select("key", F.concat(F.lit("<!"), F.expr("substring(d, 2)"), F.lit(">")).alias("html"))
+    rows = _doctype_rows(spark, sf_dir, cases.DOCTYPES).withColumn("d", H.doctype_data("name", "public_id", "system_id")).select("key", F.concat(F.lit("<!"), F.expr("substring(d, 2)"), F.lit(">")).alias("html"))
     return X.modes(rows, "key")
 
 
@@ -574,10 +628,12 @@ def render_doctypes(spark, sf_dir):
     return X.rewritten(_inputs(spark, sf_dir, inputs), lambda e: F.when(e["type"] == "doctype", H.render_event(e)), "key")
 
 
-@query("SELECT key, mode FROM (SELECT 0::BIGINT AS key, true AS mode UNION ALL SELECT 1, true UNION ALL SELECT 2, false UNION ALL SELECT 3, false UNION ALL SELECT 4, false)")
+_CONFORMING = [("html", None, None, True), ("html", None, "about:legacy-compat", True), ("html", None, "{n}", False), ("html", "{n}", None, False), (None, None, None, False)]
+
+
+@query(" UNION ALL ".join(f"SELECT n_nationkey::BIGINT * 100 + {k} AS key, {str(x[3]).lower()} AS mode FROM nation" for k, x in enumerate(_CONFORMING)))
 def doctype_conforming(spark, sf_dir):
-    rows = spark.createDataFrame([(0, "html", None, None), (1, "html", None, "about:legacy-compat"), (2, "html", None, "x"), (3, "html", "x", None), (4, None, None, None)], "key long, name string, public_id string, system_id string")
-    return rows.select("key", H.doctype_conforming("name", "public_id", "system_id").alias("mode"))
+    return _doctype_rows(spark, sf_dir, _CONFORMING).select("key", H.doctype_conforming("name", "public_id", "system_id").alias("mode"))
 
 
 @query("SELECT n_nationkey, 'a�' || n_name AS nul_replaced, translate(n_name || 'É', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered, n_nationkey % 2 = 0 AS void FROM nation")
@@ -587,10 +643,15 @@ def text_functions(spark, sf_dir):
 
 
 @query("""SELECT p AS point, p IN (9, 10, 12, 32) AS white, chr(p::INTEGER) SIMILAR TO '[0-9]' AS digit, chr(p::INTEGER) SIMILAR TO '[A-Za-z]' AS letter, chr(p::INTEGER) SIMILAR TO '[0-9A-Fa-f]' AS hex_digit,
-    p BETWEEN 1 AND 8 OR p = 11 OR p BETWEEN 14 AND 31 OR p BETWEEN 127 AND 159 AS control, p BETWEEN 64976 AND 65007 OR p IN (65534, 65535) AS nonchar FROM (SELECT unnest(range(1, 55296)) AS p UNION ALL SELECT unnest(range(57344, 66000)))""")
+    p BETWEEN 1 AND 8 OR p = 11 OR p BETWEEN 14 AND 31 OR p BETWEEN 127 AND 159 AS control, p BETWEEN 64976 AND 65007 OR p IN (65534, 65535) AS nonchar, coalesce(n, 0)::BIGINT AS n_documents FROM (SELECT unnest(range(1, 55296)) AS p UNION ALL SELECT unnest(range(57344, 66000)))
+    LEFT JOIN (SELECT unicode(c) AS u, count(*) AS n FROM (SELECT unnest(list_distinct(string_split(text, ''))) AS c FROM documents) GROUP BY u) ON p = u""")
 def character_classes(spark, sf_dir):
+    """Of each character, its classes, and in how many documents it stands."""
+    held = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.split("text", ""))).alias("c")).where("c <> ''")
+    counts = held.groupBy("c").agg(F.count("*").alias("n_documents")).select(F.conv(F.hex(F.encode("c", "UTF-32")), 16, 10).cast("long").alias("u"), "n_documents")
     points = spark.range(1, 55296).union(spark.range(57344, 66000)).withColumnRenamed("id", "point")
-    return points.select("point", H.is_white_space("point").alias("white"), H.is_ascii_digit("point").alias("digit"), H.is_ascii_letter("point").alias("letter"), H.is_ascii_hex_digit("point").alias("hex_digit"), H.is_control("point").alias("control"), H.is_noncharacter("point").alias("nonchar"))
+    points = points.join(counts, F.col("point") == F.col("u"), "left")
+    return points.select("point", H.is_white_space("point").alias("white"), H.is_ascii_digit("point").alias("digit"), H.is_ascii_letter("point").alias("letter"), H.is_ascii_hex_digit("point").alias("hex_digit"), H.is_control("point").alias("control"), H.is_noncharacter("point").alias("nonchar"), F.coalesce("n_documents", F.lit(0)).cast("long").alias("n_documents"))
 
 
 @query(_outputs(["{n}", "<b>{n}</b>", "é"], "part"))
