@@ -292,7 +292,7 @@ def _drop(batches, window: int):
 def remove_repeats(docs: DataFrame, window: int = WINDOW, key_segments: int = KEY_SEGMENTS, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words left, joined by one space) or, if digest, kept_sha256 of each row."""
     rows = _rows(docs)
-    found = marked_windows(rows, window, key_segments).groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "marks")).alias("found"))
+    found = marked_windows(rows, window, key_segments).groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "marks")).alias("found"))  # rows that repeat say the same
     found = found.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "found")
     joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left").select("doc_id", "text", "found")
 

@@ -80,7 +80,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BI
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("labelled")).agg(F.max("toxic").cast("int").alias("y"))
     known = known.where(F.crc32(F.col("labelled").cast("string")) % 4 != 2).orderBy(F.xxhash64("labelled"), "labelled").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(known), texts.doc_id == known.labelled).select("labelled", "y", "text")  # broadcast: `sample` rows at most
+    rows = texts.join(F.broadcast(known), texts.doc_id == known.labelled)  # broadcast: `sample` rows at most
+    rows = rows.groupBy("labelled").agg(F.min("y").alias("y"), F.min("text").alias("text"))  # one text a labelled document
 
     def read(batches):
         for batch in batches:
@@ -135,12 +136,21 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BIT
     kinds = {f.name: f.dataType.simpleString() for f in kept} | {"text": "string"}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + f", `{out}` double"
     text = F.col("text").cast("string")
-    return docs.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in columns], *[text.alias("__text")] * ("text" not in columns)).mapInArrow(tidy(scan), schema)
+    spare = _unused("text", columns)
+    return docs.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in columns], *[text.alias(spare)] * ("text" not in columns)).mapInArrow(tidy(scan), schema)
+
+
+def _unused(name: str, columns) -> str:
+    """A name that no column has."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows, with all their columns, that classify() predicts as 0."""
-    return score(docs, fit(docs, labels), columns=tuple(docs.columns), out="__toxicity").where(F.col("__toxicity") < threshold).drop("__toxicity")
+    out = _unused("toxicity", docs.columns)
+    return score(docs, fit(docs, labels), columns=tuple(docs.columns), out=out).where(F.col(out) < threshold).drop(out)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
