@@ -340,6 +340,31 @@ def second_format(spark, sf_dir):
     return found.select("page_id", "type", "name", F.col("attribs")["lang"].alias("lang"), n.alias("n_attribs"), "start_index", end.alias("end_index"))
 
 
+@query("SELECT page_id, html FROM pages")
+def html_files(spark, sf_dir):
+    """A file a page, written as text and read as whole files."""
+    at = f"{_shared(spark)}/{uuid.uuid4().hex}"
+    S.write_html(pages(spark, sf_dir), at, by="page_id")
+    found = S.read_html_files(spark, f"{at}/*/*.txt")
+    return found.select(F.regexp_extract("url", "page_id=([0-9]+)", 1).cast("long").alias("page_id"), F.regexp_replace("html", "\\n\\z", "").alias("html"))
+
+
+@query("""SELECT page_id, len(regexp_extract_all(html, '<li>'))::BIGINT AS n_items, len(regexp_extract_all(html, '<a href'))::BIGINT AS n_links FROM pages""")
+def node_files(spark, sf_dir):
+    """Node tables written in order of document and place, and read again."""
+    at = f"{_shared(spark)}/{uuid.uuid4().hex}"
+    S.write_nodes(X.nodes(pages(spark, sf_dir)), at)
+    count = lambda name: F.count_if(F.col("name") == name)
+    return spark.read.parquet(at).groupBy("page_id").agg(F.coalesce(count("li"), F.lit(0)).alias("n_items"), F.coalesce(count("a"), F.lit(0)).alias("n_links"))
+
+
+@query("SELECT page_id AS doc_id, '<html><head></head><body></body></html>' AS html FROM pages")
+def empty_pieces(spark, sf_dir):
+    """Documents of which only empty pieces come are documents all the same."""
+    empty = _cut(pages(spark, sf_dir)).withColumn("chunk", F.when(F.col("seq") % 2 == 0, "").cast("string"))
+    return X.serialized(C.assemble(empty).where("complete"), "doc_id")
+
+
 def _bucketed_nodes(spark, sf_dir) -> DataFrame:
     name = f"nodes_{uuid.uuid4().hex}"
     S.save_nodes(X.nodes(pages(spark, sf_dir)), name, f"{_shared(spark)}/{name}", buckets=16)

@@ -43,8 +43,10 @@ def bucketed(spark: SparkSession) -> SparkSession:
     return session
 
 
-def write_html(df: DataFrame, path: str, column: str = "html") -> None:
-    df.select(F.col(column).cast("string").alias("value")).write.text(path)
+def write_html(df: DataFrame, path: str, column: str = "html", by: str | None = None) -> None:
+    """Lines of text; by: in a folder for each value of another column."""
+    rows = df.select(F.col(column).cast("string").alias("value"), *([by] if by else []))
+    (rows.write.partitionBy(by) if by else rows.write).text(path)
 
 
 def drain(df: DataFrame) -> None:
