@@ -1,9 +1,11 @@
 """Secrets: fixed patterns, and an assignment-aware lexer with constant propagation.
 
 The lexer reads name-literal pairs from source and configuration syntax: `name = "x"`, `name: x`, `"name": "x"`,
-`name := 'x'`, `NAME=x`, with string literals joined by `+` or by standing side by side,
-of any length, as are names and blanks; triple quotes, template literals and YAML block scalars go over lines. A literal given to a name is a
-constant of that name; a right side that is a known name takes over its constant. Each constant is scored by how
+`name := 'x'`, `name => 'x'`, `name: type = 'x'`, `NAME=x`, `<name>x</name>`, `set_name('x')`, with string literals joined by
+`+` or by standing side by side, with prefixes, in brackets and lists, or as what an expression falls back on (`x || 'y'`); of
+any length, as are names and blanks; triple quotes, template literals and YAML block scalars go over lines. A literal given to
+a name is a constant of that name; a right side that is a name takes over its constant, wherever in the text that is set, and
+one that begins with a known name and goes on with `+` reaches its constant and the literals. Each constant is scored by how
 sensitive the names are that it reaches and by how much it looks like a generated value. What reaches THRESHOLD is a span
 of kind `literal` at the place where the literal stands, unless it overlaps a span of the fixed patterns.
 
@@ -31,6 +33,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 THRESHOLD = 0.5
 
+#: Characters before `=` in which a name's type is looked for.
+TYPED = 200
+
 #: How sensitive the parts of a name are.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "pass": 0.7, "auth": 0.6, "authorization": 0.7, "bearer": 0.8, "signature": 0.5}
 #: Names of two parts.
@@ -39,10 +44,18 @@ PAIRS = {("api", "key"): 1.0, ("access", "key"): 1.0, ("private", "key"): 1.0, (
 HINTS = (b"pass", b"pwd", b"secret", b"token", b"key", b"auth", b"credential", b"bearer", b"signature")
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{?.*|%.*%|change_?me.*|example.*|your.*|dummy.*|placeholder.*|none|null|true|false|undefined|password|secret|token|test.*)$")
 
-_OPERATOR = re.compile(r"[:=]")
+_OPERATOR = re.compile(r"[:=(]")
+#: First parts of the names of functions that set what the rest of the name says.
+SETTERS = frozenset(("set", "with", "put", "use"))
 _NAME_PARTS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
-_STRING = re.compile(r"""(?s)[ \t]*+(?:"{3}((?:[^"\\]|\\.|"(?!""))*+)"{3}|'{3}((?:[^'\\]|\\.|'(?!''))*+)'{3}|`((?:[^`\\]|\\.)*+)`|"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)')""")
+_STRING = re.compile(r"""(?s)[ \t]*+(?:[fFbBrRuU]{1,2}(?=["'`]))?(?:"{3}((?:[^"\\]|\\.|"(?!""))*+)"{3}|'{3}((?:[^'\\]|\\.|'(?!''))*+)'{3}|`((?:[^`\\]|\\.)*+)`|"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)')""")
 _JOIN = re.compile(r"[ \t]*+\+?[ \t]*+(?=[\"'`])")
+_OPENED = re.compile(r"[ \t]*+(?:[(\[{][ \t\n]*+)++")
+_COMMA = re.compile(r"[ \t\n]*+,[ \t\n]*+")
+_PLUS = re.compile(r"[ \t]*+\+")
+_ELSE = re.compile(r"[ \t]*+(?:\|\||\?\?|\?:|or\b)[ \t]*+(?=[fFbBrRuU]{0,2}[\"'`])")
+_TYPED = re.compile(r"([A-Za-z_][\w.-]*)[ \t]*+:[ \t]*+[A-Za-z_][\w.]*+(?:\[[\w.\[\], |]*+\]?)?[ \t]*+$")
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.-]*+)>([^<>]++)</([A-Za-z_][\w.-]*+)>")
 _BLANK = re.compile(r"[ \t]*+")
 _BARE = re.compile(r"[A-Za-z0-9_+/=.~!@#$%^&*:-]+")
 _BLOCK = re.compile(r"[ \t]*+[|>][-+0-9]{0,2}[ \t]*\n")
@@ -52,7 +65,7 @@ _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 def name_weight(name: str) -> float:
     """Of a name like dbPassword, API_KEY or auth.token."""
     parts = [x.lower() for x in _PARTS.findall(name)]
-    weights = [SENSITIVE.get(x, 0.0) for x in parts] + [PAIRS.get(x, 0.0) for x in zip(parts, parts[1:])]
+    weights = [SENSITIVE.get(x, SENSITIVE.get(x.removesuffix("s"), 0.0)) for x in parts] + [PAIRS.get(x, 0.0) for x in zip(parts, parts[1:])]
     return max(weights, default=0.0)
 
 
@@ -91,55 +104,104 @@ def _name(text: str, before: int) -> tuple[int, str] | None:
     return (start, text[start:end]) if start < end else None
 
 
+def _literal(text: str, at: int) -> tuple[str, int, int, int] | None:
+    """(value, start, end, what follows) of string literals that are joined."""
+    value, start = "", None
+    while s := _STRING.match(text, at):
+        k = s.lastindex
+        value += s[k]
+        start, at = s.start(k) if start is None else start, s.end()
+        end = s.end(k)
+        joined = _JOIN.match(text, at)
+        if not joined:
+            break
+        at = joined.end()
+    return None if start is None else (value, start, end, at)
+
+
+def _set_by_call(name: str) -> bool:
+    parts = [x.lower() for x in _PARTS.findall(name.rpartition(".")[2])]
+    return bool(parts) and (parts[0] in SETTERS or all(x in SENSITIVE for x in parts))
+
+
 def constants(text: str) -> list[tuple[str, str | None, int, int]]:
     """(name, value, start, end) for each literal and each name that it reaches, in the order of the assignments. The value
     is None where it is text[start:end] as it stands: runs like a=b=c are values of each other, and copies would add up."""
     known: dict[str, tuple[str | None, int, int]] = {}
-    found = []
+    found: list[tuple[str, str | None, int, int]] = []
+    bare: list[int] = []  # of found, those that may be names that are set further on
     longest = 0  # of the known names
     over = 0  # the end of the last run of unquoted characters
+
+    def give(name: str, value: str | None, start: int, end: int) -> None:
+        if value or value is None and end > start:
+            found.append((name, value, start, end))
+
     for m in _OPERATOR.finditer(text):
         p = m.start()
-        after = text[p + 1 : p + 2]
-        if after in ("=", ":", ">") and not (m[0] == ":" and after == "=") or m[0] == ":" and text.startswith("//", p + 1):
+        sign, after = m[0], text[p + 1 : p + 2]
+        right = p + 1
+        if sign == "=" and after == ">":
+            right = p + 2
+        elif after in ("=", ":", ">") and sign != "(" or sign == ":" and text.startswith("//", p + 1):
             continue
-        before = p - 1 if m[0] == "=" and text[p - 1 : p] == ":" and p else p
-        if m[0] == "=" and p and text[p - 1] in "=!<>":
+        if sign == "=" and p and text[p - 1] in "=!<>":
             continue
-        if m[0] == ":" and after == "=":
+        before = p - 1 if sign == "=" and text[p - 1 : p] == ":" and p else p
+        named = _name(text, before)
+        if sign == "(":
+            if named and _set_by_call(named[1]) and (s := _literal(text, right)):
+                give(named[1], *s[:3])
             continue
-        if not (named := _name(text, before)):
+        if sign == "=" and (typed := _TYPED.search(text, max(text.rfind("\n", 0, p), p - TYPED), p)):
+            named = typed.start(1), typed[1]
+        if not named:
             continue
         place, name = named
-        value, start, at = "", None, p + 1
-        while s := _STRING.match(text, at):
-            k = s.lastindex
-            value += s[k]
-            start, at = s.start(k) if start is None else start, s.end()
-            end = s.end(k)
-            joined = _JOIN.match(text, at)
-            if not joined:
-                break
-            at = joined.end()
-        if start is None:
-            value = None
-            if m[0] == ":" and (s := _BLOCK.match(text, at)):
-                start, end = _block(text, place, s.end())
-            else:
-                start = _BLANK.match(text, at).end()
-                if start >= over:
-                    s = _BARE.match(text, start)
-                    over = s.end() if s else start
-                end = over
-                while end > start and text[end - 1] in ".,:":
-                    end -= 1
-                if end - start <= longest and text[start:end] in known:  # the name takes over the other's constant
-                    value, start, end = known[text[start:end]]
-        if value or value is None and end > start:
-            known[name] = (value, start, end)
+        opened = _OPENED.match(text, right)
+        s = _literal(text, opened.end() if opened else right)
+        if s:
+            known[name] = s[:3]
             longest = max(longest, len(name))
-            found.append((name, value, start, end))
-    return found
+            give(name, *s[:3])
+            while opened and (c := _COMMA.match(text, s[3])) and (s := _literal(text, c.end())):  # the rest of a list
+                give(name, *s[:3])
+            continue
+        if sign == ":" and (s := _BLOCK.match(text, right)):
+            start, end = _block(text, place, s.end())
+        else:
+            start = _BLANK.match(text, right).end()
+            if start >= over:
+                s = _BARE.match(text, start)
+                over = s.end() if s else start
+            end = over
+            if (f := _ELSE.match(text, end)) and (s := _literal(text, f.end())):
+                known[name] = s[:3]
+                longest = max(longest, len(name))
+                give(name, *s[:3])
+                continue
+            while end > start and text[end - 1] in ".,:":
+                end -= 1
+            if end - start <= longest and text[start:end] in known:  # the name takes over the other's constant
+                value, at, until = known[text[start:end]]
+                if (f := _PLUS.match(text, end)) and (s := _literal(text, f.end())):
+                    value = (text[at:until] if value is None else value) + s[0]
+                    give(name, value, *s[1:3])
+                known[name] = value, at, until
+                longest = max(longest, len(name))
+                give(name, value, at, until)
+                continue
+            bare.append(len(found))
+        if end > start:
+            known[name] = None, start, end
+            longest = max(longest, len(name))
+            found.append((name, None, start, end))
+    for k in bare:
+        if k < len(found) and found[k][1] is None and found[k][3] - found[k][2] <= longest:
+            name, _, start, end = found[k]
+            if (later := known.get(text[start:end])) and later[1] > end:  # set further on
+                found[k] = (name, *later)
+    return found + [(e[1], None, e.start(2) + len(e[2]) - len(e[2].lstrip()), e.start(2) + len(e[2].rstrip())) for e in _ELEMENT.finditer(text) if e[1] == e[3] and e[2].strip()]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
