@@ -48,3 +48,8 @@ def test_functions_in_one_select_and_in_a_chain(spark):
     p = df.select("page_id", H.html_parse((H.NODES, H.TEXT_HTML, H.DUMP))("html").alias("p"))
     both = p.select("page_id", (H.html_serialize()("p.nodes", F.lit(0)) == F.col("p.html")).alias("a"), (H.html_dump("p.nodes") == F.col("p.dump")).alias("b"))
     assert both.where("a AND b").count() == 300
+
+
+def test_location_slices_joins_no_pages(spark):
+    found = plan(html_queries.location_slices(spark, "/root/testdata/sf0.001"))
+    assert "Join" not in found and found.count("FileScan") == 1
