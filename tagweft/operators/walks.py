@@ -24,6 +24,6 @@ def paths(nodes: DataFrame, keep: Callable[[DataFrame], DataFrame], key: str = "
         if own.where("up IS NOT NULL").isEmpty():
             return own.drop("up")
         above = own.select(F.col(key).alias("k"), F.col("node_id").alias("n"), F.col("up").alias("next"), F.col("path").alias("before"))
-        found = own.join(above, (F.col(key) == F.col("k")) & (F.col("up") == F.col("n")), "left")
+        found = own.join(above.hint("merge"), (F.col(key) == F.col("k")) & (F.col("up") == F.col("n")), "left")
         own = found.select(key, "node_id", F.col("next").alias("up"), F.concat_ws("/", "before", "path").alias("path"))
     raise ValueError("the parent pointers go round in a circle")

@@ -50,6 +50,18 @@ def test_functions_in_one_select_and_in_a_chain(spark):
     assert both.where("a AND b").count() == 300
 
 
+@pytest.mark.parametrize("name", ["element_paths"])
+def test_queries_gather_no_table_in_the_driver(spark, monkeypatch, name):
+    seen, real = [], walks.paths
+
+    def paths(rows, keep, **options):
+        return real(rows, lambda df: seen.append(plan(df)) or keep(df), **options)
+
+    monkeypatch.setattr(walks, "paths", paths)
+    seen.append(plan(html_queries.QUERIES[name](spark, "/root/testdata/sf0.001")))
+    assert not [p for p in seen if "Broadcast" in p]
+
+
 def test_location_slices_joins_no_pages(spark):
     found = plan(html_queries.location_slices(spark, "/root/testdata/sf0.001"))
     assert "Join" not in found and found.count("FileScan") == 1
