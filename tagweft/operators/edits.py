@@ -50,11 +50,11 @@ def inserted(table: DataFrame, edits: DataFrame, key: str = "page_id", context:
     """The new nodes of edits (key, edit, op, begin_label, html), with their labels."""
     asked = edits.where(F.col("op").isin(BEFORE, APPEND)).select(F.col(key).alias("k"), "edit", "op", F.col("begin_label").alias("of"), "html")
     ends = table.select(key, "begin_label", "end_label")
-    placed = asked.join(ends, (F.col("k") == F.col(key)) & (F.col("of") == F.col("begin_label")))
+    placed = asked.join(ends.hint("merge"), (F.col("k") == F.col(key)) & (F.col("of") == F.col("begin_label")))
     placed = placed.select("k", "edit", "html", F.when(F.col("op") == BEFORE, F.col("begin_label")).otherwise(F.col("end_label")).alias("high"))
-    touched = table.join(placed.select(F.col("k").alias(key)).distinct(), key, "left_semi")
+    touched = table.join(placed.select(F.col("k").alias(key)).distinct().hint("merge"), key, "left_semi")
     neighbours = _events(touched, key).select(key, "at", F.lag("at").over(Window.partitionBy(key).orderBy("at")).alias("low"))
-    placed = placed.join(neighbours, (F.col("k") == F.col(key)) & (F.col("high") == F.col("at"))).select("k", "edit", "html", "high", "low")
+    placed = placed.join(neighbours.hint("merge"), (F.col("k") == F.col(key)) & (F.col("high") == F.col("at"))).select("k", "edit", "html", "high", "low")
     parsed = placed.select("k", "edit", "high", _between(F.col("low"), F.col("high")).alias("base"), H.html_parse_fragment(context=context)("html").alias("p"))
     size = 2 * (F.size("p.nodes") - 1)
     before = Window.partitionBy("k", "high").orderBy("edit").rowsBetween(Window.unboundedPreceding, -1)
@@ -68,7 +68,7 @@ def applied(table: DataFrame, edits: DataFrame, key: str = "page_id", context: s
     """The labelled table after edits (key, edit, op, begin_label of the node, html of what is inserted)."""
     whole = table.unionByName(inserted(table, edits, key, context))
     gone = edits.where(F.col("op") == DETACH).select(F.col(key).alias("k"), F.col("begin_label").alias("of")).distinct()
-    marked = whole.join(gone, (F.col(key) == F.col("k")) & (F.col("begin_label") == F.col("of")), "left")
+    marked = whole.join(gone.hint("merge"), (F.col(key) == F.col("k")) & (F.col("begin_label") == F.col("of")), "left")
     marked = marked.select(*whole.columns, F.when(F.col("of").isNotNull(), 1).otherwise(0).alias("gone"))
     content = F.struct("end_label", *CONTENT).alias("content")
     events = _events(marked, key, "gone", F.col("begin_label").alias("label"), content)

@@ -91,6 +91,6 @@ def changes(old: DataFrame, new: DataFrame, key: str = "page_id") -> DataFrame:
     held = counted(old, new, key).select(F.col(key).alias("k"), F.col("digest").alias("d"), "in_a", "in_b")
     own = old.withColumn("side", F.lit("old")).unionByName(new.withColumn("side", F.lit("new")))
     lacking = F.when(F.col("side") == "old", F.col("in_b")).otherwise(F.col("in_a")) == 0
-    marked = own.join(held, (F.col(key) == F.col("k")) & (F.col("digest") == F.col("d"))).where(lacking).select(key, "side", "node_id", "parent_id", "name", "n_nodes")
+    marked = own.join(held.hint("merge"), (F.col(key) == F.col("k")) & (F.col("digest") == F.col("d"))).where(lacking).select(key, "side", "node_id", "parent_id", "name", "n_nodes")
     deeper = marked.select(F.col(key).alias("k"), F.col("side").alias("s"), F.col("parent_id").alias("of"))  # their parents part further down
-    return marked.join(deeper, (F.col(key) == F.col("k")) & (F.col("side") == F.col("s")) & (F.col("node_id") == F.col("of")), "left_anti").drop("parent_id")
+    return marked.join(deeper.hint("merge"), (F.col(key) == F.col("k")) & (F.col("side") == F.col("s")) & (F.col("node_id") == F.col("of")), "left_anti").drop("parent_id")

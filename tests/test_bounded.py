@@ -50,7 +50,21 @@ def test_functions_in_one_select_and_in_a_chain(spark):
     assert both.where("a AND b").count() == 300
 
 
-@pytest.mark.parametrize("name", ["element_paths"])
+def test_children_gather_no_table_in_the_driver(nodes):
+    assert "Broadcast" not in plan(X.children(nodes))
+
+
+def test_changes_and_edits_gather_no_table_in_the_driver(nodes, tmp_path):
+    for name in ("old", "new"):
+        trees.subtrees(nodes).write.parquet(str(tmp_path / name))
+    old, new = (nodes.sparkSession.read.parquet(str(tmp_path / name)) for name in ("old", "new"))
+    assert "Broadcast" not in plan(trees.changes(old, new))
+    table = edits.labelled(nodes)
+    asked = table.where("name = 'ul'").select("page_id", F.lit(1).alias("edit"), F.lit(edits.APPEND).alias("op"), "begin_label", F.lit("<li>z").alias("html"))
+    assert "Broadcast" not in plan(edits.applied(table, asked))
+
+
+@pytest.mark.parametrize("name", ["list_children", "element_paths"])
 def test_queries_gather_no_table_in_the_driver(spark, monkeypatch, name):
     seen, real = [], walks.paths
 
