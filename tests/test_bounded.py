@@ -64,7 +64,7 @@ def test_changes_and_edits_gather_no_table_in_the_driver(nodes, tmp_path):
     assert "Broadcast" not in plan(edits.applied(table, asked))
 
 
-@pytest.mark.parametrize("name", ["list_children", "element_paths"])
+@pytest.mark.parametrize("name", ["list_children", "ancestor_pairs", "element_paths"])
 def test_queries_gather_no_table_in_the_driver(spark, monkeypatch, name):
     seen, real = [], walks.paths
 
