@@ -3,8 +3,8 @@
 Anchors times rows is a product of two matrices, cut in both directions and along the dimensions. Rows are dealt to blocks by
 their label and a salt (a label of any size is cut into blocks of about ROWS), anchors likewise to blocks of about ANCHORS,
 and vectors into chunks of WIDTH dimensions. A cell of the grid is a panel of anchor blocks, a panel of row blocks and one
-chunk; it multiplies every two of its blocks. The partial int64 tiles of one pair of blocks are shuffled together and added up,
-and each whole tile gives only its best candidates, which are reduced over the tiles of an anchor.
+chunk; it multiplies every two of its blocks and gives back one tile at a time. The partial int64 tiles of one pair of blocks are
+shuffled together and added up, and each whole tile gives only its best candidates, which are reduced over the tiles of an anchor.
 
 Two passes make up the product. The first takes the tiles in which labels meet and yields each anchor's positives; the second
 takes the tiles in which labels differ and yields, for each anchor and positive, the best rows whose score lies in its
@@ -20,6 +20,7 @@ positive or a negative. Tables without rows or anchors give no rows; other colum
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -129,23 +130,25 @@ def _partial_tiles(anchors: DataFrame, rows: DataFrame, panels: tuple[int, int],
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = anchors.select("*", F.posexplode("chunks").alias("chunk", "part")).select(F.pmod("block", F.lit(p)).alias("p"), every(q).alias("q"), "chunk", "block", "held", "part", *of_first("uids", "ids", "labels", "windows"))
     right = rows.select("*", F.posexplode("chunks").alias("chunk", "part")).select(every(p).alias("r_p"), F.pmod("block", F.lit(q)).alias("r_q"), F.col("chunk"), "block", "held", "part", *of_first("uids", "ids", "labels"))
-    right = right.select("r_p", "r_q", F.col("chunk").alias("r_chunk"), "block", "held", "part", "uids", "ids", "labels")
-    names = [c.split()[0] for c in PARTIAL.split(", ")]
-
-    def multiply(a: pa.Table, b: pa.Table) -> pa.Table:
-        found: list[dict] = []
-        panel = [(r, _read(r["part"]).reshape(-1, WIDTH)) for r in b.to_pylist()]
-        for x in a.to_pylist():
+    right = right.select(F.col("r_p").alias("p"), F.col("r_q").alias("q"), "chunk", "block", "held", "part", "uids", "ids", "labels", F.lit(None).cast("binary").alias("windows"))
+    both = left.withColumn("anchor", F.lit(True)).unionByName(right.withColumn("anchor", F.lit(False)))
+    kinds = {"binary": pa.binary(), "int": pa.int32()}
+    kinds_of = dict(c.split() for c in PARTIAL.split(", "))
+    names = list(kinds_of)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell = [r for batch in batches for r in batch.to_pylist()]
+        panel = [(r, _read(r["part"]).reshape(-1, WIDTH)) for r in cell if not r["anchor"]]
+        for x in (r for r in cell if r["anchor"]):
             own = _read(x["part"]).reshape(-1, WIDTH)
             for y, other in panel:
                 if not (set(x["held"]) & set(y["held"]) if same else len({*x["held"], *y["held"]}) > 1):
                     continue
                 tile = product(own, other)
-                found.append({"anchor_block": x["block"], "row_block": y["block"], "chunk": x["chunk"], "n": tile.shape[0], "tile": _squeezed(tile), **{c: y[c] for c in ("uids", "ids", "labels")}, **{f"anchor_{c}": x[c] for c in ("uids", "ids", "labels")}, "windows": x["windows"]})
-        kinds = {"binary": pa.binary(), "int": pa.int32()}
-        return pa.table({c: pa.array([r[c] for r in found], kinds[k]) for c, k in (x.split() for x in PARTIAL.split(", "))}).select(names)
+                found = {"anchor_block": x["block"], "row_block": y["block"], "chunk": x["chunk"], "n": tile.shape[0], "tile": _squeezed(tile), **{c: y[c] for c in ("uids", "ids", "labels")}, **{f"anchor_{c}": x[c] for c in ("uids", "ids", "labels")}, "windows": x["windows"]}
+                yield pa.RecordBatch.from_arrays([pa.array([found[c]], kinds[k]) for c, k in kinds_of.items()], names)
 
-    return left.groupBy("p", "q", "chunk").cogroup(right.groupBy("r_p", "r_q", "r_chunk")).applyInArrow(multiply, PARTIAL)
+    return both.groupBy("p", "q", "chunk").applyInArrow(multiply, PARTIAL)
 
 
 def _whole(parts: pa.Table) -> tuple[dict, np.ndarray]:

@@ -79,3 +79,9 @@ def test_queries_gather_no_table_in_the_driver(spark, monkeypatch, name):
 def test_location_slices_joins_no_pages(spark):
     found = plan(html_queries.location_slices(spark, "/root/testdata/sf0.001"))
     assert "Join" not in found and found.count("FileScan") == 1
+
+
+def test_a_cell_of_the_product_gives_one_tile_at_a_time(spark):
+    rows = spark.createDataFrame([(0, [0], b"", b"", b"", [b"\0" * 8 * negatives.WIDTH])], negatives.BLOCK)
+    tiles = negatives._partial_tiles(rows.withColumn("windows", F.lit(None).cast("binary")), rows, (1, 1), same=True)
+    assert "CoGroup" not in plan(tiles) and tiles.count() == 1
