@@ -3,7 +3,9 @@
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from tagweft import schemas
 from tagweft.functions import html as H
 from tagweft.llm import negatives
 from tagweft.operators import edits, trees, walks
@@ -43,6 +45,25 @@ def test_rows_of_two_columns_come_in_small_batches():
     assert max(map(len, found)) <= H.ROWS and [x for a in found for x in a.to_pylist()] == [["😀", "a", None], None] * 100
 
 
+def test_node_tables_are_read_by_columns(monkeypatch):
+    """A call a value made serializing from node tables take several times as long as parsing."""
+    html = "<!doctype html><p id=a class='é'>x<svg xlink:href=#></svg><template><td>1</template><!--c-->"
+    made = pa.array([H.parsed(html, frozenset((H.NODES, H.LOC)), None, True), None, H.parsed("", frozenset((H.NODES,)), None, True), H.parsed("x", frozenset(), None, True)], to_arrow_type(schemas.PARSED))
+    for a in (made, made.slice(1), made.slice(2, 1), made.field("nodes"), made.field("nodes").slice(1, 2), made.slice(1, 1)):
+        assert H._plain(a) == a.to_pylist()
+    calls = []
+    monkeypatch.setattr(H, "_plain", lambda a, real=H._plain: calls.append(len(a)) or real(a))
+    nodes = pa.array([made.field("nodes")[0].as_py()[:1] * 1000], made.field("nodes").type)
+    assert len(H.html_dump.func(iter([nodes])).__next__()) == 1 and len(calls) < 100
+
+
+def test_a_node_table_is_built_once_to_be_written(spark):
+    assert plan(html_queries.serialize_from_nodes(spark, "/root/testdata/sf0.001")).count("ArrowEvalPython") == 2  # parsing, writing
+    df = X.parse(spark.createDataFrame([(0, "<p>a<template>b</template>"), (1, None), (2, "")], "page_id long, html string"), facets=(H.NODES, H.TEXT_HTML, H.DUMP))
+    found = df.select("page_id", "p.html", "p.dump", H.html_written()("p.nodes").alias("w")).orderBy("page_id").collect()
+    assert [r.w and (r.w.html, r.w.dump) for r in found] == [(found[0].html, found[0].dump), None, (found[2].html, found[2].dump)] and found[0].html
+
+
 def test_functions_in_one_select_and_in_a_chain(spark):
     df = spark.createDataFrame([(k, f"<p>{k}<b>x") for k in range(300)], "page_id long, html string").coalesce(1)
     p = df.select("page_id", H.html_parse((H.NODES, H.TEXT_HTML, H.DUMP))("html").alias("p"))
