@@ -840,6 +840,24 @@ def test_bm25_bounds_lose_no_row():
         assert found >= {(q, d) for q, d in zip(*np.nonzero(want >= low[:, None] + 1e-8))}
 
 
+def test_bm25_looks_up_short_lists_of_many_queries_at_once(monkeypatch):
+    """Calls a query took as long as its postings did; runs of any size give the same bits."""
+    r = np.random.default_rng(6)
+    rows = [np.unique(r.integers(0, 900, 30)) for _ in range(400)]
+    terms, df = np.unique(np.concatenate(rows), return_counts=True)
+    order = np.argsort(np.concatenate(rows), kind="stable")
+    shard = bm25.Shard(np.full(400, 30), terms.astype(np.uint64), df, np.repeat(np.arange(400), list(map(len, rows)))[order], np.ones(df.sum(), np.uint8), np.arange(900, dtype=np.uint64), np.log1p(400 / (1 + np.arange(900))), 30.0)
+    asked = [rows[0], np.zeros(0, np.int32), *rows[1:40], np.zeros(0, np.int32)]
+    runs, real, found = [], bm25._runs, {}
+    monkeypatch.setattr(bm25, "_runs", lambda *x: (y for y in real(*x) if runs.append(y) is None))
+    for most in (1, 1000, 1 << 17):
+        monkeypatch.setattr(bm25, "POSTINGS", most)
+        runs.clear()
+        found[most] = [x.tobytes() for x in shard.search(asked, np.zeros(len(asked)), 5)]
+        assert [y for x in runs for y in range(*x)] == list(range(len(asked)))
+    assert runs == [(0, len(asked))] and found[1] == found[1000] == found[1 << 17] and len(found[1][0])
+
+
 # --- quotes ---------------------------------------------------------------------------------------------------------------
 
 
