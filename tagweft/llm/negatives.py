@@ -2,14 +2,15 @@
 
 Anchors times rows is a product of two matrices, cut in both directions and along the dimensions. Rows are dealt to blocks by
 their label and a salt (a label of any size is cut into blocks of about ROWS), anchors likewise to blocks of about ANCHORS,
-and vectors into chunks of WIDTH dimensions. A cell of the grid is a panel of anchor blocks, a panel of row blocks and one
-chunk; it multiplies every two of its blocks and gives back one tile at a time. The partial int64 tiles of one pair of blocks are
-shuffled together and added up, and each whole tile gives only its best candidates, which are reduced over the tiles of an anchor.
+and vectors into chunks of WIDTH dimensions. A cell of the grid is a panel of anchor blocks and a panel of row blocks. The panels
+are what is shuffled; a tile, the product of two blocks, stays in its cell: it is added up chunk by chunk and gives only its
+best candidates, which are reduced over the tiles of an anchor.
 
 Two passes make up the product. The first takes the tiles in which labels meet and yields each anchor's positives; the second
 takes the tiles in which labels differ and yields, for each anchor and positive, the best rows whose score lies in its
-window. The number of panels follows from the number of rows; a cell holds PANEL blocks of either side and a group of tiles
-one tile, whatever the table. The product of anchors and rows is what is asked for; no pair of blocks is left out.
+window. A cell holds PANEL * ROWS rows of either side at most, compressed, and two blocks and one tile besides, whatever the table.
+What is shuffled is each row once for every so many anchors, and each anchor once for every so many rows or, where that makes
+fewer, CELLS times. The product of anchors and rows is what is asked for; no pair of blocks is left out.
 
 Rows with a null id, label, vector or component, or a component that isn't finite, take no part, and neither do rows whose
 scaled components are so large that scores would not fit 64 bits (some 26 million for 64 dimensions). Vectors that are shorter than the
@@ -20,7 +21,7 @@ positive or a negative. Tables without rows or anchors give no rows; other colum
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +30,18 @@ from pyspark.sql import functions as F
 
 from .text import stored
 
-#: Rows of a block of either side, blocks of a panel, dimensions of a chunk.
+#: Rows of a block of either side, row blocks of a panel (and as many anchors), dimensions of a chunk.
 ROWS, ANCHORS, PANEL, WIDTH = 4096, 256, 16, 32
+#: Cells that a smaller product is cut into, if there are so many row blocks.
+CELLS = 32
 #: Groups of labels whose rows share no block, at most.
 LABEL_GROUPS = 64
-#: Windows that are compared with a tile at a time.
+#: Windows that are compared with whole rows of a tile at a time, or more of them with parts of rows.
 WINDOWS = 256
 #: Components from here on don't fit 64 bits once scaled.
 LARGEST = 2.0**54
 LEAST = np.iinfo(np.int64).min
 BLOCK = "block int, held array<long>, uids binary, ids binary, labels binary, chunks array<binary>"
-PARTIAL = "anchor_block int, row_block int, chunk int, n int, tile binary, uids binary, ids binary, labels binary, anchor_uids binary, anchor_ids binary, anchor_labels binary, windows binary"
 
 
 def quantised(rows: DataFrame, label: Column) -> DataFrame:
@@ -60,7 +62,7 @@ def _read(raw: bytes) -> np.ndarray:
 
 
 def _squeezed(tile: np.ndarray) -> bytes:
-    """An int64 tile, compressed by planes of bytes: the upper ones are mostly signs."""
+    """An int64 matrix, compressed by planes of bytes: the upper ones are mostly signs."""
     planes = np.ascontiguousarray(tile.astype("<i8").reshape(-1).view(np.uint8).reshape(-1, 8).T)
     return pa.compress(planes.tobytes(), codec="lz4", asbytes=True)
 
@@ -116,74 +118,83 @@ def _blocks(rows: DataFrame, count: int, size: int, dimensions: int) -> DataFram
         row = np.repeat(np.arange(len(ids)), sizes)
         matrix[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = vectors.flatten().to_numpy()
         matrix = matrix[order]
-        chunks = [_numbers(matrix[:, i : i + WIDTH]) for i in range(0, matrix.shape[1], WIDTH)]
+        chunks = [_squeezed(matrix[:, i : i + WIDTH]) for i in range(0, matrix.shape[1], WIDTH)]
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "held": pa.array([np.unique(labels).tolist()], pa.list_(pa.int64())), **{c: pa.array([_numbers(x[order])], pa.binary()) for c, x in (("uids", uids), ("ids", ids), ("labels", labels))}, "chunks": pa.array([chunks], pa.list_(pa.binary()))})
 
     return stored(dealt.groupBy("block").applyInArrow(pack, BLOCK))
 
 
-def _partial_tiles(anchors: DataFrame, rows: DataFrame, panels: tuple[int, int], same: bool) -> DataFrame:
-    """PARTIAL of each two blocks and each chunk: of tiles where labels meet (same), or of those where they differ. The
-    numbers of the rows come with the first chunk."""
+def _panels(anchor_blocks: int, row_blocks: int) -> tuple[int, int]:
+    """How many panels anchor blocks and row blocks are dealt to."""
+    p = max(1, math.ceil(anchor_blocks / max(1, PANEL * ROWS // ANCHORS)))
+    return p, max(1, math.ceil(row_blocks / PANEL), min(row_blocks, math.ceil(CELLS / p)))
+
+
+def _candidates(anchors: DataFrame, rows: DataFrame, panels: tuple[int, int], same: bool, give: Callable[[dict, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """What `give` makes of (the numbers of both blocks, the scores) of each tile where labels meet (same), or of each where they
+    differ."""
     p, q = panels
-    of_first = lambda *names: [F.when(F.col("chunk") == 0, F.col(c)).alias(c) for c in names]
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = anchors.select("*", F.posexplode("chunks").alias("chunk", "part")).select(F.pmod("block", F.lit(p)).alias("p"), every(q).alias("q"), "chunk", "block", "held", "part", *of_first("uids", "ids", "labels", "windows"))
-    right = rows.select("*", F.posexplode("chunks").alias("chunk", "part")).select(every(p).alias("r_p"), F.pmod("block", F.lit(q)).alias("r_q"), F.col("chunk"), "block", "held", "part", *of_first("uids", "ids", "labels"))
-    right = right.select(F.col("r_p").alias("p"), F.col("r_q").alias("q"), "chunk", "block", "held", "part", "uids", "ids", "labels", F.lit(None).cast("binary").alias("windows"))
-    both = left.withColumn("anchor", F.lit(True)).unionByName(right.withColumn("anchor", F.lit(False)))
-    kinds = {"binary": pa.binary(), "int": pa.int32()}
-    kinds_of = dict(c.split() for c in PARTIAL.split(", "))
-    names = list(kinds_of)
+    names = ["block", "held", "uids", "ids", "labels", "chunks"]
+    left = anchors.select(F.pmod("block", F.lit(p)).alias("p"), every(q).alias("q"), *names, "windows", F.lit(True).alias("anchor"))
+    right = rows.select(every(p).alias("p"), F.pmod("block", F.lit(q)).alias("q"), *names, F.lit(None).cast("binary").alias("windows"), F.lit(False).alias("anchor"))
+
+    def chunks(block: dict) -> list[np.ndarray]:
+        return [_expanded(x, len(block["ids"]) // 8, WIDTH) for x in block["chunks"]]
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell = [r for batch in batches for r in batch.to_pylist()]
-        panel = [(r, _read(r["part"]).reshape(-1, WIDTH)) for r in cell if not r["anchor"]]
-        for x in (r for r in cell if r["anchor"]):
-            own = _read(x["part"]).reshape(-1, WIDTH)
-            for y, other in panel:
-                if not (set(x["held"]) & set(y["held"]) if same else len({*x["held"], *y["held"]}) > 1):
-                    continue
-                tile = product(own, other)
-                found = {"anchor_block": x["block"], "row_block": y["block"], "chunk": x["chunk"], "n": tile.shape[0], "tile": _squeezed(tile), **{c: y[c] for c in ("uids", "ids", "labels")}, **{f"anchor_{c}": x[c] for c in ("uids", "ids", "labels")}, "windows": x["windows"]}
-                yield pa.RecordBatch.from_arrays([pa.array([found[c]], kinds[k]) for c, k in kinds_of.items()], names)
-
-    return both.groupBy("p", "q", "chunk").applyInArrow(multiply, PARTIAL)
-
-
-def _whole(parts: pa.Table) -> tuple[dict, np.ndarray]:
-    """(the row with the numbers, the sum of the partial tiles) of one pair of blocks."""
-    rows = parts.to_pylist()
-    numbers = next(r for r in rows if r["chunk"] == 0)
-    columns = len(numbers["ids"]) // 8
-    total = np.zeros((numbers["n"], columns), np.int64)
-    for r in rows:
-        total += _expanded(r["tile"], r["n"], columns)
-    return numbers, total
-
-
-def _positives(key: tuple, parts: pa.Table, k: int) -> pa.Table:
-    numbers, scores = _whole(parts)
-    uids, ids, labels, anchor_uids, anchor_labels = (_read(numbers[c]) for c in ("uids", "ids", "labels", "anchor_uids", "anchor_labels"))
-    row, column = best(scores, (anchor_labels[:, None] == labels) & (anchor_uids[:, None] != uids), k)
-    return pa.table({"anchor_block": pa.array(np.full(len(row), numbers["anchor_block"]), pa.int32()), "row": pa.array(row, pa.int32()), "positive_id": pa.array(ids[column], pa.int64()), "score": pa.array(scores[row, column], pa.int64())})
-
-
-def _negatives(key: tuple, parts: pa.Table, k: int, window: tuple[int, int, int]) -> pa.Table:
-    numbers, scores = _whole(parts)
-    ids, labels, anchor_ids, anchor_labels = (_read(numbers[c]) for c in ("ids", "labels", "anchor_ids", "anchor_labels"))
+        for y in (r for r in cell if not r["anchor"]):
+            asking = [r for r in cell if r["anchor"] and (set(r["held"]) & set(y["held"]) if same else len({*r["held"], *y["held"]}) > 1)]
+            panel = chunks(y) if asking else []
+            for x in asking:
+                tile = sum(map(product, chunks(x), panel))
+                yield give({"anchor_block": x["block"], **{c: _read(y[c]) for c in ("uids", "ids", "labels")}, **{f"anchor_{c}": _read(x[c]) for c in ("uids", "ids", "labels")}, "windows": x["windows"]}, tile)
+
+    # as many tasks as cells: a cell is few bytes and much work
+    return left.unionByName(right).repartition(p * q, "p", "q").groupBy("p", "q").applyInArrow(multiply, schema)
+
+
+def _positives(numbers: dict, scores: np.ndarray, k: int) -> pa.RecordBatch:
+    row, column = best(scores, (numbers["anchor_labels"][:, None] == numbers["labels"]) & (numbers["anchor_uids"][:, None] != numbers["uids"]), k)
+    found = {"anchor_block": pa.array(np.full(len(row), numbers["anchor_block"]), pa.int32()), "row": pa.array(row, pa.int32()), "positive_id": pa.array(numbers["ids"][column], pa.int64()), "score": pa.array(scores[row, column], pa.int64())}
+    return pa.RecordBatch.from_pydict(found)
+
+
+def _negatives(numbers: dict, scores: np.ndarray, k: int, window: tuple[int, int, int]) -> pa.RecordBatch:
+    ids, labels, anchor_ids, anchor_labels = (numbers[c] for c in ("ids", "labels", "anchor_ids", "anchor_labels"))
     row, place, positive, score = _read(numbers["windows"] or b"").reshape(-1, 4).T
     unit, low, high = window
+    least, most = -(-low * score // unit), high * score // unit
+    # of an anchor, whatever is below the k best up to its lowest window's end is in no window's answer
+    shape = len(scores), 1
+    ends, first, last = np.full(shape, LEAST), np.full(shape, -(LEAST + 1)), np.full(shape, -(LEAST + 1))
+    np.maximum.at(ends, (row, 0), most)
+    np.minimum.at(first, (row, 0), most)
+    np.minimum.at(last, (row, 0), least)
+    shown = np.where((anchor_labels[:, None] != labels) & (scores <= ends), scores, LEAST)
+    if shown.shape[1] > k:
+        last = np.maximum(last, np.partition(np.where(shown <= first, shown, LEAST), shown.shape[1] - k, axis=1)[:, shown.shape[1] - k, None])
+    of, column = np.nonzero((shown >= last) & (shown > LEAST))
+    start = np.searchsorted(of, np.arange(len(scores) + 1))
+    upto = np.cumsum(np.r_[0, np.diff(start)[row]])
     out: list[np.ndarray] = []
-    for i in range(0, len(row), WINDOWS):
-        r, s = row[i : i + WINDOWS], score[i : i + WINDOWS, None]
-        own = scores[r]
-        scaled = unit * own
-        w, column = best(own, (anchor_labels[r][:, None] != labels) & (low * s <= scaled) & (scaled <= high * s), k)
-        out.append(np.stack([r[w], place[i + w], anchor_ids[r[w]], positive[i + w], score[i + w], ids[column], own[w, column]]))
+    a = 0
+    while a < len(row):
+        z = max(a + 1, int(np.searchsorted(upto, upto[a] + WINDOWS * scores.shape[1], "right")) - 1)
+        w = np.repeat(np.arange(a, z), np.diff(upto[a : z + 1]))
+        c = column[start[row[w]] + np.arange(upto[a], upto[z]) - upto[w]]
+        own = scores[row[w], c]
+        fit = (least[w] <= own) & (own <= most[w])
+        w, c, own = w[fit], c[fit], own[fit]
+        order = np.lexsort((c, -own, w))
+        order = order[np.arange(len(w)) - np.searchsorted(w, w) < k]
+        w, c, own = w[order], c[order], own[order]
+        out.append(np.stack([row[w], place[w], anchor_ids[row[w]], positive[w], score[w], ids[c], own]))
+        a = z
     found = np.concatenate(out, axis=1) if out else np.zeros((7, 0), np.int64)
     names = ("row", "place", "anchor_id", "positive_id", "positive_score", "negative_id", "negative_score")
-    return pa.table({"anchor_block": pa.array(np.full(found.shape[1], numbers["anchor_block"]), pa.int32()), **{c: pa.array(x, pa.int64()) for c, x in zip(names, found)}})
+    return pa.RecordBatch.from_pydict({"anchor_block": pa.array(np.full(found.shape[1], numbers["anchor_block"]), pa.int32()), **{c: pa.array(x, pa.int64()) for c, x in zip(names, found)}})
 
 
 def mine(rows: DataFrame, anchors: Column, label: Column | None = None, positives: int = 5, negatives: int = 3, window: tuple[int, int, int] = (100, 50, 95)) -> DataFrame:
@@ -203,10 +214,10 @@ def mine(rows: DataFrame, anchors: Column, label: Column | None = None, positive
     counts = found.agg(F.count("*").alias("rows"), F.count_if(anchors).alias("anchors")).first()
     row_blocks = _blocks(found, counts.rows, ROWS, dimensions)
     anchor_blocks = _blocks(found.where(anchors), counts.anchors, ANCHORS, dimensions).withColumn("windows", F.lit(None).cast("binary"))
-    panels = tuple(max(1, math.ceil(df.count() / PANEL)) for df in (anchor_blocks, row_blocks))
+    panels = _panels(anchor_blocks.count(), row_blocks.count())
 
-    tiles = _partial_tiles(anchor_blocks, row_blocks, panels, same=True).groupBy("anchor_block", "row_block")
-    near = tiles.applyInArrow(lambda key, t: _positives(key, t, positives), "anchor_block int, row int, positive_id long, score long")
+    schema = "anchor_block int, row int, positive_id long, score long"
+    near = _candidates(anchor_blocks, row_blocks, panels, True, lambda x, scores: _positives(x, scores, positives), schema)
     place = F.row_number().over(Window.partitionBy("anchor_block", "row").orderBy(F.desc("score"), "positive_id"))
     near = near.withColumn("place", place).where(F.col("place") <= positives)
 
@@ -216,8 +227,7 @@ def mine(rows: DataFrame, anchors: Column, label: Column | None = None, positive
 
     windows = near.groupBy(F.col("anchor_block").alias("of")).applyInArrow(pack, "of int, windows binary")  # a block's anchors times `positives`
     asked = stored(anchor_blocks.drop("windows").join(windows, F.col("block") == F.col("of")).drop("of"))
-    tiles = _partial_tiles(asked, row_blocks, panels, same=False).groupBy("anchor_block", "row_block")
     schema = "anchor_block int, row long, place long, anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long"
-    hard = tiles.applyInArrow(lambda key, t: _negatives(key, t, negatives, window), schema)
+    hard = _candidates(asked, row_blocks, panels, False, lambda x, scores: _negatives(x, scores, negatives, window), schema)
     rank = F.row_number().over(Window.partitionBy("anchor_block", "row", "place").orderBy(F.desc("negative_score"), "negative_id"))
     return hard.withColumn("rank", rank).where(F.col("rank") <= negatives).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

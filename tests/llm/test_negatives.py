@@ -98,3 +98,33 @@ def test_query_against_sql(spark):
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
     expected = con.sql(f"SELECT {', '.join(NAMES)} FROM ({queries.ORACLES['op13_negatives']})").fetchall()
     assert sorted(map(tuple, queries.op13_negatives(spark, sf).collect())) == sorted(expected) and expected
+
+
+def test_tiles_are_not_shuffled(spark, monkeypatch):
+    """Panels are shuffled, of which there are more than one of either side here; their products are not."""
+    for name, x in (("ROWS", 32), ("ANCHORS", 8), ("PANEL", 1)):
+        monkeypatch.setattr(negatives, name, x)
+    rows = [(10 * i, v, label) for i, v, label in vectors(random.Random(3), 300, 40, [0, 1, 2])]
+    assert negatives._panels(8, 10) == (2, 10)
+    got = mined(spark, rows)
+    assert got == slow(rows) and got
+    df = spark.createDataFrame([(*r, 1, "u") for r in rows], KIND)
+    plan = negatives.mine(df, F.col("vec_id") % 50 == 0)._jdf.queryExecution().analyzed().toString()
+    assert "multiply" in plan and "tile" not in plan
+
+
+@pytest.mark.parametrize("windows", [1, 4])
+def test_windows_of_a_tile(monkeypatch, windows):
+    monkeypatch.setattr(negatives, "WINDOWS", windows)
+    rng = np.random.default_rng(4)
+    for unit, low, high in ((100, 50, 95), (7, 3, 9)):
+        n, m = 6, 40
+        scores, labels, own = rng.integers(-20, 60, (n, m)), rng.integers(0, 3, m), rng.integers(0, 3, n)
+        asked = [(i, j, 0, int(rng.integers(-10, 80))) for i in range(n) for j in range(5)]
+        numbers = {"anchor_block": 0, "ids": np.arange(m), "labels": labels, "anchor_ids": np.arange(n), "anchor_labels": own, "windows": negatives._numbers(np.array(asked))}
+        found = negatives._negatives(numbers, scores, 3, (unit, low, high)).to_pydict()
+        expected = []
+        for i, j, _, s in asked:
+            fit = sorted((-int(x), c) for c, x in enumerate(scores[i]) if labels[c] != own[i] and low * s <= unit * x <= high * s)
+            expected += [(i, j, c, -x) for x, c in fit[:3]]
+        assert sorted(zip(found["row"], found["place"], found["negative_id"], found["negative_score"])) == sorted(expected) and expected
