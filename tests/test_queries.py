@@ -75,6 +75,20 @@ def test_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "nodes")).count() == 6
 
 
+def test_a_file_a_row(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sources, "FOLDER", 3)
+    rows = [(i, f"<p>é{i}\n\n") for i in range(20)] + [(7, "again"), (-1, ""), (90, None)]
+    df = spark.createDataFrame(rows, "page_id long, html string").repartition(2)
+    sources.write_files(df, str(tmp_path / "out"), by="page_id")
+    files = list((tmp_path / "out").glob("*/*.txt"))
+    assert len(files) == len(rows) and len({f.parent for f in files}) >= 8  # not a folder for each
+    found = sources.read_files(spark, str(tmp_path / "out"))
+    got = sorted((int(r.url.split("page_id=")[1].rsplit("-", 1)[0]), r.html) for r in found.collect())
+    assert got == sorted((i, x or "") for i, x in rows)
+    sources.write_files(df.where("false"), str(tmp_path / "none"), by="page_id")
+    assert sources.read_files(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_events_limit_and_kinds(spark):
     df = spark.createDataFrame([(1, "<p>a<b>c")], "page_id int, html string")
     assert [r.name for r in X.events(df, kinds=("start",), limit=1).collect()] == ["p"]
